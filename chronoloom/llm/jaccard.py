@@ -202,7 +202,7 @@ def candidate_edges(sets: DataFrame, small: int, propose: float) -> DataFrame:
     count1 = first.groupBy("r", "k").agg(F.count("*").alias("size")).filter("size > 1")
     level1 = written(first.join(count1, ["r", "k"]), "paths")
     large = level1.filter(F.col("size") > small).select("sid", "r", "k")
-    second = large.join(sets.select("sid", "p2"), "sid").select("sid", "r", "k", F.explode("p2").alias("p")).filter("p.r = r").select("sid", F.col("r"), F.xxhash64("k", "p.k").alias("k"))
+    second = large.join(sets.select("sid", "p2"), "sid").select("sid", "r", "k", F.explode(F.filter("p2", lambda p: p["r"] == F.col("r"))).alias("p")).select("sid", F.col("r"), F.xxhash64("k", "p.k").alias("k"))
     second = second.distinct()
     count2 = second.groupBy("r", "k").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = level1.filter(F.col("size") <= small).select("sid", "r", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
