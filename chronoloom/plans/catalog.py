@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from chronoloom.plans import audits, library, ranges, signal, texts, timeline
+
+FAMILIES = (signal, ranges, library, texts, audits, timeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: f for family in FAMILIES for name, (f, _) in family.REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for family in FAMILIES for name, (_, sql) in family.REGISTRY.items() if sql}
