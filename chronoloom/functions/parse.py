@@ -40,9 +40,9 @@ def subtitle_cues(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame
     lines = F.filter(F.split("_block", r"\r?\n"), lambda l: F.trim(l) != "")
     at = F.array_position(F.transform(lines, lambda l: F.contains(l, F.lit("-->"))), F.lit(True)).cast("int")
     rows = blocks.select(*keys, "cue_no", lines.alias("_lines"), at.alias("_at")).filter("size(_lines) >= 2 and _at > 0")
-    ends = F.split(F.element_at("_lines", F.col("_at")), "-->")
+    ends = F.split(F.get("_lines", F.col("_at") - 1), "-->")
     body = F.array_join(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), " ")
-    out = rows.select(*keys, "cue_no", srt_seconds(F.trim(ends[0])).alias("start"), srt_seconds(F.trim(ends[1])).alias("end"), F.trim(F.regexp_replace(body, "<[^>]+>", "")).alias("text"))
+    out = rows.select(*keys, "cue_no", srt_seconds(F.trim(F.get(ends, 0))).alias("start"), srt_seconds(F.trim(F.get(ends, 1))).alias("end"), F.trim(F.regexp_replace(body, "<[^>]+>", "")).alias("text"))
     return out.filter("start is not null and end is not null and text <> ''")
 
 
@@ -108,4 +108,4 @@ def dotenv(lines: DataFrame, line: str = "value") -> DataFrame:
     """name, value of lines name=value; blank lines and comments go, quotes are stripped."""
     t = F.trim(F.col(line))
     parts = F.split(t, "=", 2)
-    return lines.filter((t != "") & ~t.startswith("#") & F.contains(t, F.lit("="))).select(F.trim(parts[0]).alias("name"), F.regexp_replace(F.trim(parts[1]), "^[\"']+|[\"']+$", "").alias("value"))
+    return lines.filter((t != "") & ~t.startswith("#") & F.contains(t, F.lit("="))).select(F.trim(F.get(parts, 0)).alias("name"), F.regexp_replace(F.trim(F.get(parts, 1)), "^[\"']+|[\"']+$", "").alias("value"))

@@ -1,0 +1,50 @@
+"""Every registered query against its SQL on DuckDB, over whole tables."""
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+
+from chronoloom.plans import catalog
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def db(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return c
+
+
+def same(a: pd.Series, b: pd.Series) -> bool:
+    if pd.api.types.is_numeric_dtype(a) and not pd.api.types.is_bool_dtype(a):
+        return np.allclose(a.astype(float), b.astype(float), rtol=0, atol=1e-9, equal_nan=True)
+    return (a.fillna("~") == b.fillna("~")).all()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, sf, db, name):
+    got, want = catalog.queries()[name](spark, sf).toPandas(), db.execute(catalog.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) == len(want) > 0
+    got, want = (f[columns].sort_values(columns).reset_index(drop=True) for f in (got, want))
+    assert [c for c in columns if not same(got[c], want[c])] == []
+
+
+def test_assignment_equals_a_plain_loop(spark, sf):
+    got = catalog.queries()["assign_greedy"](spark, sf).toPandas()
+    assert not got.duplicated(["user_id", "slot"]).any() and len(got) > 0
+    for _, one in got.groupby("user_id"):
+        last = {}
+        for r in one.sort_values("slot").itertuples():
+            assert r.slot - last.get(r.clip_id, -99) >= 3
+            last[r.clip_id] = r.slot
+
+
+def test_contract(spark):
+    import __spark_entry__ as entry
+
+    frame = entry.entry(spark)
+    assert frame.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
