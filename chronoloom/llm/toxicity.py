@@ -22,6 +22,7 @@ columns named like a result are replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import pick, with_text_columns
+from chronoloom.llm.common import groups_by_bytes, pick, with_text_columns
+
+WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
@@ -65,7 +68,6 @@ class Bags:
     place: np.ndarray  # of each gram: index of a character in its word
     starts: np.ndarray  # first character of each word
     ends: np.ndarray
-    key: np.ndarray  # hash of each word
     n_chars: int
 
 
@@ -102,9 +104,7 @@ def bags(texts: list[str], s: Settings) -> Bags:
         key = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         grams.append((key >> np.uint64(40)).astype(np.int64) % s.buckets)
         places.append(starts)
-    else:
-        key = np.zeros(0, dtype=np.uint64)
-    return Bags(n_words, np.concatenate(grams) if grams else np.zeros(0, np.int64), np.concatenate(places) if places else np.zeros(0, np.int64), starts, ends, key, len(code))
+    return Bags(n_words, np.concatenate(grams) if grams else np.zeros(0, np.int64), np.concatenate(places) if places else np.zeros(0, np.int64), starts, ends, len(code))
 
 
 def word_means(b: Bags, value: np.ndarray) -> np.ndarray:
@@ -116,6 +116,14 @@ def word_means(b: Bags, value: np.ndarray) -> np.ndarray:
     return (total[b.ends] - total[b.starts]) / np.maximum(count[b.ends] - count[b.starts], 1)
 
 
+def words_of(text: str) -> list[str]:
+    """The same words as in :func:`bags`: runs of letters, lower-cased."""
+    out: list[str] = []
+    for w in WORD.findall(text.lower()):
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def window_starts(n: int, s: Settings) -> np.ndarray:
     """Starts of windows that cover ``n`` words; one for short texts."""
     return np.arange(0, max(n - s.window, 0) + s.stride, s.stride) if n > s.window else np.zeros(1, dtype=np.int64)
@@ -132,10 +140,14 @@ class Model:
 
     def evidences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Evidence and number of words of each text."""
-        b = bags(texts, self.settings)
-        parts = word_means(b, self.gram_logit)
-        at = np.concatenate([[0], np.cumsum(b.n_words)])
-        return np.array([self.evidence(parts[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]), b.n_words
+        evidence, length = [], []
+        for i, j in groups_by_bytes([len(t) for t in texts], 1 << 19):
+            b = bags(texts[i:j], self.settings)
+            parts = word_means(b, self.gram_logit)
+            at = np.concatenate([[0], np.cumsum(b.n_words)])
+            evidence += [self.evidence(parts[k:m]) for k, m in zip(at[:-1], at[1:], strict=True)]
+            length += b.n_words.tolist()
+        return np.array(evidence), np.array(length, dtype=np.int64)
 
     def evidence(self, parts: np.ndarray) -> float:
         """Logit of the best window, from the words' parts."""
@@ -183,41 +195,35 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
 
 def train(texts: list[str], y: np.ndarray, s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
-    b = bags(texts, s)
-    _, first, row_word = np.unique(b.key, return_index=True, return_inverse=True)
-    # windows of words: (text, distinct words); of a text with many, a random choice
-    at = np.concatenate([[0], np.cumsum(b.n_words)])
-    owner, picked = [], []
-    for i in range(len(texts)):
-        starts = window_starts(int(b.n_words[i]), s)
+    # windows of words: (text, words); of a text with many, a random choice
+    index: dict[str, int] = {}
+    owner, row_list, sizes = [], [], []
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        starts = window_starts(len(words), s)
         if len(starts) > s.max_windows:
             starts = np.sort(rng.choice(starts, s.max_windows, replace=False))
-        for a in starts + at[i]:
-            if a < at[i + 1]:
+        for a in starts.tolist():
+            if part := words[a : a + s.window]:
                 owner.append(i)
-                picked.append((a, min(a + s.window, at[i + 1])))
-    owner, picked = np.array(owner), np.array(picked)
-    size = (picked[:, 1] - picked[:, 0]).astype(np.float32)
-    of_row = np.repeat(np.arange(len(owner)), size.astype(np.int64))
-    row_starts = np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]])
-    rows = row_word[picked[of_row, 0] + np.arange(len(of_row)) - row_starts[of_row]]
-    # grams of the distinct words in these windows
-    used, rows = np.unique(rows, return_inverse=True)
-    word_of = np.full(b.n_chars, -1, dtype=np.int64)
-    for_char = np.repeat(np.arange(len(used)), b.ends[first[used]] - b.starts[first[used]])
-    spans = b.ends[first[used]] - b.starts[first[used]]
-    offset = np.arange(len(for_char)) - np.repeat(np.cumsum(spans) - spans, spans)
-    word_of[np.repeat(b.starts[first[used]], spans) + offset] = for_char
-    gram_word = word_of[b.place]
-    gram, gram_word = b.gram[gram_word >= 0], gram_word[gram_word >= 0]
-    order = np.argsort(gram_word, kind="stable")
-    gram, gram_word = gram[order], gram_word[order]
-    n_grams = np.bincount(gram_word, minlength=len(used)).astype(np.float32)
+                sizes.append(len(part))
+                row_list += [index.setdefault(w, len(index)) for w in part]
+    owner, rows, size = np.array(owner), np.array(row_list, dtype=np.int32), np.array(sizes, dtype=np.float32)
+    of_row = np.repeat(np.arange(len(owner), dtype=np.int32), sizes)
+    row_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    # grams of the distinct words, one word after another
+    b = bags([" ".join(index)], s)
+    order = np.argsort(b.place, kind="stable")
+    gram_word = (np.searchsorted(b.starts, b.place[order], side="right") - 1).astype(np.int32)
+    buckets, gram = np.unique(b.gram[order], return_inverse=True)
+    gram = gram.astype(np.int32)
+    n_grams = np.bincount(gram_word, minlength=len(index)).astype(np.float32)
     word_starts = np.concatenate([[0], np.cumsum(n_grams.astype(np.int64))[:-1]])
-    buckets, gram = np.unique(gram, return_inverse=True)
+    del b, order, row_list
     row_order, gram_order = np.argsort(rows, kind="stable"), np.argsort(gram, kind="stable")
-    row_first, gram_first = (np.searchsorted(k[o], np.arange(n)) for k, o, n in ((rows, row_order, len(used)), (gram, gram_order, len(buckets))))
+    row_first, gram_first = (np.searchsorted(k[o], np.arange(n)) for k, o, n in ((rows, row_order, len(index)), (gram, gram_order, len(buckets))))
     of_row_by_word, word_by_gram = of_row[row_order], gram_word[gram_order]
+    del row_order, gram_order, gram_word
     text_starts = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1])
     text_sizes = np.diff(np.concatenate([text_starts, [len(owner)]]))
 
