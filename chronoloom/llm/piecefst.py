@@ -74,8 +74,11 @@ class PieceTransducer:
             for c in p:
                 state = state.setdefault(c, {})
             state[None] = p
-        self.word_ids = Memo(lambda w: self.packed(META + w))
-        self.plain_ids = Memo(self.packed)
+        # marks that no piece has next to a letter: a word and the mark after it are chunks of their own
+        beside = {c for p in self.id_of for pair in zip(p, p[1:]) if pair[0].isalpha() != pair[1].isalpha() for c in pair}
+        self.marks = frozenset(c for c in ".,!?;:" if c not in beside)
+        self.word_ids = Memo(self, META)
+        self.plain_ids = Memo(self, "")
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short string by its merges, best score first, then leftmost."""
@@ -102,10 +105,11 @@ class PieceTransducer:
     def arcs(self, text: str, at: int) -> list[str]:
         """Pieces that the lexicon reads at ``at``; a character outside it is read alone (as bytes)."""
         out, state, i = [], self.lexicon, at
-        while i < len(text) and (state := state.get(text[i])) is not None:
+        n = len(text)
+        while i < n and (state := state.get(text[i])) is not None:
             i += 1
-            if None in state:
-                out.append(state[None])
+            if (piece := state.get(None)) is not None:
+                out.append(piece)
         if not out or len(out[0]) > 1:
             out.append(text[at])  # spelled in bytes unless it is merged
         return out
@@ -129,9 +133,12 @@ class PieceTransducer:
                 return out[::-1]
             for b in self.arcs(text, at):
                 reached = (at + len(b), b)
-                if reached not in seen and self.bigram(a, b):
+                if reached in seen:
+                    continue
+                stable = self.stable.get((a, b))
+                if stable or stable is None and self.bigram(a, b):
                     seen.add(reached)
-                    todo.append((*reached, state))
+                    todo.append((reached[0], b, state))
         raise ValueError(f"no segmentation of {text!r}")
 
     def least_path(self, text: str) -> list[str]:
@@ -186,16 +193,22 @@ class PieceTransducer:
 
 
 class Memo(dict):
-    """Values of distinct chunks, computed when first asked for; the longer ones and those beyond ``most`` aren't held."""
+    """Ids of distinct chunks after ``lead``, computed when first asked for; the newest ``most`` and those used since are held."""
 
-    def __init__(self, value, most: int = 300_000):
+    def __init__(self, machine: PieceTransducer, lead: str, most: int = 150_000):
         super().__init__()
-        self.value, self.most = value, most
-
-    def __missing__(self, key: str):
-        got = self.value(key)
+        self.machine, self.lead, self.most = machine, lead, most
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            if len(key) > 1 and key[-1] in self.machine.marks and (word := key[:-1]).isalpha():
+                return self[word] + self.machine.plain_ids[key[-1]]
+            got = self.machine.packed(self.lead + key)
         if len(key) <= 40:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = got
         return got
