@@ -1,9 +1,12 @@
 """Tokenizer calls over pieces of text that end at safe boundaries, each distinct piece encoded once a task.
 
-A piece is what stands between two spaces, with the space before it.  For the
-tokenizers used here no token spans the start of such a space, so a text's ids
-are the concatenation of its pieces' ids.  Where that can't be shown (special
-strings, white space runs that a space splits) the whole text goes to the library.
+A piece is what stands between two spaces, with the space before it where the
+tokenizer keeps spaces.  No token of the tokenizers used here spans the start
+of such a space, so a text's ids are the concatenation of its pieces' ids.
+Where that can't be shown (special strings, white space runs that a space
+splits) the whole text goes to the library.  A piece of letters is one
+pre-token and goes straight to the library's model; a mark or line break after
+it is a pre-token of its own; any other piece goes through the whole library.
 """
 
 from __future__ import annotations
@@ -16,7 +19,14 @@ from tokenizers import Tokenizer
 
 #: A space that splits a run of white space, which byte-level pre-tokenizers treat as one.
 SPLIT_RUN = re.compile("[\\s᠎] (?=[\\s᠎]|\\Z)|  ")
-LONGEST = 256
+#: White space to Python, but not to the tokenizers.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+LONGEST = 48
+MARKS = frozenset(".,!?;:")
+
+# Byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
 def load(path: str) -> Tokenizer:
@@ -27,25 +37,51 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
+class Pieces(dict):
+    """Values of pieces after ``lead``; the newest ``most`` and those used since are held."""
+
+    def __init__(self, memo: PieceMemo, lead: str, most: int = 150_000):
+        super().__init__()
+        self.memo, self.lead, self.most = memo, lead, most
+        self.older: dict[str, object] = {}
+
+    def __missing__(self, piece: str):
+        got = self.older.get(piece)
+        if got is None:
+            if len(piece) > 1 and piece[-1] in MARKS and (word := piece[:-1]).isalpha():
+                return self[word] + self.memo.plain[piece[-1]]
+            got = self.memo.new(self.lead, piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class PieceMemo:
-    """Values of distinct pieces, filled by batch calls of the library; forgotten when ``most`` are held."""
+    """``value`` of pieces' ids, to be added up; ``spaced`` tokenizers keep the space before a piece, ``lower`` ones lower-case it."""
 
-    def __init__(self, tokenizer: Tokenizer, value: Callable[[list[int]], object], most: int = 300_000):
-        self.tokenizer, self.value, self.most = tokenizer, value, most
-        self.held: dict[str, object] = {}
+    def __init__(self, tokenizer: Tokenizer, value: Callable[[list[int]], object], spaced: bool, lower: bool):
+        self.tokenizer, self.model, self.value, self.lower = tokenizer, tokenizer.model, value, lower
+        self.plain = Pieces(self, "")
+        self.after = Pieces(self, " ") if spaced else self.plain
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, texts: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        missing = sorted(pieces.difference(self.held))
-        if len(self.held) + len(missing) > self.most:
-            self.held.clear()
-            missing = sorted(pieces)
-        for a in range(0, len(missing), 2048):
-            part = missing[a : a + 2048]
-            self.held.update(zip(part, self.encode(part), strict=True))
+    def whole(self, text: str):
+        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def new(self, lead: str, piece: str):
+        if piece.isalpha() and (piece.isascii() or not self.lower):
+            raw = lead + (piece.lower() if self.lower else piece)
+            mapped = raw.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET)
+            return self.value([t.id for t in self.model.tokenize(mapped)])
+        if piece.count("\n") == 1:
+            before, after = piece.split("\n")
+            if before and after and not before[-1].isspace() and not after[0].isspace():
+                inner = self.after if lead else self.plain
+                return inner[before] + self.plain["\n"] + self.plain[after]
+        return self.whole(lead + piece)
 
     def has_special(self, text: str) -> bool:
         return "<|" in text and any(s in text for s in self.special)

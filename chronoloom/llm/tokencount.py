@@ -1,8 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Rows are dealt out in groups balanced by bytes.  Long texts are split at
-spaces, which no token of this tokenizer spans; each distinct piece is encoded
-once a task, in batches, and a text's count is the sum over its pieces.
+white space, which no token of this tokenizer spans; each distinct piece is
+encoded once a task, and a text's count is the sum over its pieces.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are
 counted each on their own; an empty table gives an empty result; columns named
@@ -16,28 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.chunks import LONGEST, PieceMemo, load
+from chronoloom.llm.chunks import ODD_SPACE, PieceMemo, load
 from chronoloom.llm.common import with_text_columns
 
 
 def counter(tokenizer_path: str):
     """A function from texts to [UTF-8 lengths, token counts]."""
-    memo = PieceMemo(load(tokenizer_path), len)
+    memo = PieceMemo(load(tokenizer_path), len, spaced=False, lower=True)
+    get = memo.plain.__getitem__
 
     def compute(texts: list[str]) -> list[list[int]]:
-        split = [None if memo.has_special(t) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for pieces in split:
-            if pieces is not None:
-                seen.update(pieces)
-        long = {p for p in seen if len(p) > LONGEST}
-        memo.learn(seen - long)
-        held = memo.held
-        if long:
-            held = dict(memo.held)
-            held.update(zip(long, memo.encode(list(long)), strict=True))
-        get = held.__getitem__
-        counts = [memo.encode([t])[0] if p is None else sum(map(get, p)) for t, p in zip(texts, split, strict=True)]
+        counts = [memo.whole(t) if memo.has_special(t) or ODD_SPACE.search(t) else sum(map(get, t.split())) for t in texts]
         return [[len(t.encode("utf-8")) for t in texts], counts]
 
     return compute

@@ -20,8 +20,10 @@ null key come first and can't be looked up; an empty table gives no shard.
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.chunks import LONGEST, SPLIT_RUN, PieceMemo, load
+from chronoloom.llm.chunks import SPLIT_RUN, PieceMemo, load
 from chronoloom.llm.common import groups_by_bytes, pick, shared_dir, written
 
 MAGIC = b"idshard1"
@@ -156,36 +158,30 @@ class Encoder:
     """Ids of whole texts as packed bytes, with the end id."""
 
     def __init__(self, tokenizer_path: str, end_id: int):
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed in native order, which must be little-endian")
         tokenizer = load(tokenizer_path)
         self.width = 2 if max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        kind = f"<u{self.width}"
-        self.memo = PieceMemo(tokenizer, lambda ids: np.array(ids, dtype=kind).tobytes())
-        self.end = np.array([end_id], dtype=kind).tobytes()
+        kind = "H" if self.width == 2 else "I"
+        self.memo = PieceMemo(tokenizer, lambda ids: array(kind, ids).tobytes(), spaced=True, lower=False)
+        self.end = array(kind, [end_id]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        seen: set[str] = set()
+        out = []
+        plain, after = self.memo.plain, self.memo.after.__getitem__
         for t in texts:
             if self.memo.has_special(t) or SPLIT_RUN.search(t):
-                split.append(None)
-                continue
-            first, *rest = t.split(" ")
-            pieces = [first, *[" " + p for p in rest]]
-            split.append(pieces)
-            seen.update(pieces)
-        long = {p for p in seen if len(p) > LONGEST}
-        self.memo.learn(seen - long)
-        held = self.memo.held
-        if long:
-            held = held | dict(zip(long, self.memo.encode(list(long)), strict=True))
-        get = held.__getitem__
-        return [(self.memo.encode([t])[0] if p is None else b"".join(map(get, p))) + self.end for t, p in zip(texts, split, strict=True)]
+                out.append(self.memo.whole(t) + self.end)
+            else:
+                first, *rest = t.split(" ")
+                out.append(b"".join([plain[first], *map(after, rest), self.end]))
+        return out
 
 
 MANIFEST = "path string, part int, seq int, min_key long, max_key long, n_records long, n_ids long"
 
 
-def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes_limit: int = 32 << 20) -> DataFrame:
+def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes_limit: int = 16 << 20) -> DataFrame:
     """Writes the shards below ``uri``; returns the manifest, one row a shard, with ``start_id`` (ids of all shards before it)."""
     docs = pick(df, key=id_col, text=text_col).select(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))
@@ -217,7 +213,7 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_c
         for batch in batches:
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts).to_pylist()
-            for a, b in groups_by_bytes(sizes, 4 << 20):
+            for a, b in groups_by_bytes(sizes, 1 << 20):
                 if keys and held + sum(sizes[a:b]) > shard_bytes_limit:
                     yield flush()
                 keys += batch.column(0).slice(a, b - a).to_pylist()
