@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Speakers that are told apart.
-SPEAKERS = ("denji", "reze", "aki", "makima", "power", "beam")
+from chronoloom.functions.vocab import IMPACT_CUES, SPEAKERS
+
 STAMP = r"^(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
 LYRIC = r"^\[(\d{1,2}):(\d{2})(?:[.:](\d{1,3}))?\]\s*(.*)"
 
@@ -20,7 +20,7 @@ def group(text: Column, pattern: str, i: int) -> Column:
 
 def srt_seconds(stamp: Column) -> Column:
     """Seconds of HH:MM:SS,mmm at the start of the text; null if it isn't there."""
-    h, m, s, ms = (F.try_to_number(group(stamp, STAMP, i), F.lit("999")).cast("double") for i in range(1, 5))
+    h, m, s, ms = (group(stamp, STAMP, i).try_cast("double") for i in range(1, 5))
     return h * 3600 + m * 60 + s + ms / 1000
 
 
@@ -63,6 +63,10 @@ def labelled(cues: DataFrame, text: str = "text", vocabulary: Sequence[str] = SP
     return cues.withColumns({"speaker": speaker, "sounds": sounds, "dialogue": F.nullif(left, F.lit(""))})
 
 
+def is_impact(cue: Column) -> Column:
+    return cue.isin(*IMPACT_CUES)
+
+
 def banner(lines: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
     """keys, duration, width, height, fps, has_audio from a media tool's banner; the last matching line counts."""
     text, n = F.col(line), F.col("line_no")

@@ -11,7 +11,7 @@ from chronoloom.plans.ranges import seconds
 from chronoloom.plans.registry import registrar, table
 
 REGISTRY, query = registrar()
-# Emotions that a tag may have.
+# The closed list of this query.
 EMOTIONS = ("click", "view", "error", "purchase")
 
 
