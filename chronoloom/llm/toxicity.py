@@ -9,9 +9,10 @@ a toxic text the windows that score best count as toxic, of others all count
 as clean.  The evidence is turned into a probability by a logistic fit.
 
 The model is fitted on a bounded sample: ``max_texts`` labelled texts (of which
-at most ``toxic_share`` toxic) and ``max_windows`` windows a text.  Scoring covers every
-whole text; as averaging and the softmax are linear, a word's part
-of the score is a sum over its n-grams, computed for a batch of texts at once.
+at most ``toxic_share`` toxic), each of at most ``max_chars`` characters, and
+``max_windows`` windows a text.  Scoring covers every whole text; as averaging
+and the softmax are linear, a word's part of the score is a mean over its
+n-grams, computed for a batch of texts at once.
 
 Edge cases: a text without words (null, empty) gets the score of no evidence;
 texts with several labels count by their highest; null labels and null ids
@@ -36,10 +37,12 @@ from chronoloom.llm.common import groups_by_bytes, pick, with_text_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 
+
 @dataclass(frozen=True)
 class Settings:
     max_texts: int = 4500
     toxic_share: float = 1 / 3
+    max_chars: int = 60_000
     max_windows: int = 24
     window: int = 8
     stride: int = 4
@@ -256,13 +259,14 @@ def train(texts: list[str], y: np.ndarray, s: Settings) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``s.max_texts`` labelled texts, chosen by a hash of their ids."""
+    """At most ``s.max_texts`` labelled texts of at most ``s.max_chars`` characters, chosen by a hash of their ids; so what comes to the driver is bounded."""
     n_toxic = int(s.max_texts * s.toxic_share)
     marks = pick(labels, key=id_col, toxic=label_col).filter("key is not null and toxic is not null").groupBy("key").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("key"), F.lit(11))
     parts = [marks.filter(cond).orderBy(order, "key").limit(n) for cond, n in (("toxic = 1", n_toxic), ("toxic <> 1", s.max_texts - n_toxic))]
     chosen = parts[0].unionByName(parts[1])  # bounded by s.max_texts
-    texts = pick(docs, key=id_col, text=text_col).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    short = pick(docs, key=id_col, text=text_col).filter(F.coalesce(F.length("text"), F.lit(0)) <= s.max_chars)
+    texts = short.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(texts.collect(), key=lambda r: r["key"])
     return [r["text"] or "" for r in rows], [int(r["toxic"] == 1) for r in rows]
 
