@@ -9,20 +9,22 @@ from chronoloom.operators import audit as A
 from chronoloom.operators import series as S
 from chronoloom.plans import library, ranges, signal
 from chronoloom.plans.registry import registrar, table
+from chronoloom.sources.store import written
 
 REGISTRY, query = registrar()
 KEYS = ["user_id"]
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips with the energy of their hour, its rank, and whether the hour is a drop."""
+    """Clips with the energy of their hour, its rank, and whether the hour is a drop; written, as rules, runs and scores all read it."""
     c = ranges.clips(spark, sf_dir).select("user_id", "pos", F.col("track").alias("cluster"), "value", "start_s", "end_s", F.floor(F.col("start_s") / 3600).cast("int").alias("h"))
     s = S.with_quantiles(signal.unit(spark, sf_dir), signal.KEYS, "s", q_hi=0.72)
     s = S.rank_below(s, signal.KEYS, "s").select(F.col("track").alias("cluster"), F.col("i").alias("h"), F.col("s").alias("e"), "q_hi", "rel")
-    return c.join(s, ["cluster", "h"]).select(
+    joined = c.join(s, ["cluster", "h"]).select(
         "user_id", "pos", "cluster", F.floor((F.col("end_s") - F.col("start_s")) / 600).cast("int").alias("duration"),
         F.round(F.col("value") / 500, 4).alias("intensity"), "e", "q_hi", "rel", (F.col("h") % 24 == 0).alias("is_drop"), F.floor(F.col("start_s") / 600).cast("int").alias("track_start"),
     )
+    return written(joined, "plan")
 
 
 PLAN = signal.UNIT + """, ev AS (SELECT user_id, event_id, event_type AS track, value, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS DOUBLE) AS start_s FROM events),

@@ -28,7 +28,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"), (F.col("p_size") / 20.0).alias("dur"),
         F.round(F.col("p_retailprice") % 100 / 100, 4).alias("brightness"), F.round(F.col("p_partkey") % 97 / 97, 2).alias("sharpness"), F.round(F.col("p_partkey") % 31 / 31, 2).alias("colour"),
     )
-    found = p.join(samples(spark, sf_dir), "id")
+    found = written(p.join(samples(spark, sf_dir), "id"), "features")  # read for the bounds and for the rows
     bounds = found.agg(*[F.round(F.percentile(c, F.lit(q)), 6).alias(f"{c}_{n}") for c in ("motion_mean", "motion_max") for q, n in ((0.05, "lo"), (0.95, "hi"))])
     found = found.crossJoin(F.broadcast(bounds))  # one row
     reason = X.reject_reason(F.col("dur"), F.col("brightness"), F.col("sharpness"), F.col("colour"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import series as S
 from chronoloom.plans.registry import registrar, table
+from chronoloom.sources.store import written
 
 REGISTRY, query = registrar()
 KEYS = ["track"]
@@ -20,10 +21,14 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy as a share of the track's largest, smoothed."""
+    """Energy as a share of the track's largest, smoothed.
+
+    Events are read once: what is left of them, one row an hour and track, is
+    written, as quantiles, sections and jumps all read it.
+    """
     e = hourly(spark, sf_dir)
-    top = e.groupBy(*KEYS).agg(F.max("e").alias("_m"))
-    return S.box_smooth(e.join(top, KEYS).withColumn("e", F.round(F.col("e") / (F.col("_m") + 1e-9), 6)).drop("_m"), KEYS, SMOOTH)
+    share = e.withColumn("e", F.round(F.col("e") / (F.max("e").over(Window.partitionBy(*KEYS)) + 1e-9), 6))
+    return written(S.box_smooth(share, KEYS, SMOOTH), "energy")
 
 
 UNIT = """
