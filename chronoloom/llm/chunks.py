@@ -40,7 +40,7 @@ def load(path: str) -> Tokenizer:
 class Pieces(dict):
     """Values of pieces after ``lead``; the newest ``most`` and those used since are held."""
 
-    def __init__(self, memo: PieceMemo, lead: str, most: int = 150_000):
+    def __init__(self, memo: PieceMemo, lead: str, most: int = 100_000):
         super().__init__()
         self.memo, self.lead, self.most = memo, lead, most
         self.older: dict[str, object] = {}

@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,10 +44,14 @@ META = "▁"
 # Fixed values of the model format: kinds of piece, kinds of model.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Judged pairs and words' ids that a task holds (as many again of the older ones).
+MOST_PAIRS, MOST_WORDS = 150_000, 120_000
 
 
 class PieceTransducer:
     def __init__(self, path: str):
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed in native order, which must be little-endian")
         model = model_pb2.ModelProto()
         with open(path if "/" in path else public_tokenizers.path(path), "rb") as f:
             model.ParseFromString(f.read())
@@ -65,6 +71,7 @@ class PieceTransducer:
         self.single = {p for p in self.id_of if len(p) == 1}
         self.spelled = {c for p in self.id_of for c in p}
         self.stable: dict[tuple[str, str], bool] = {}
+        self.older_stable: dict[tuple[str, str], bool] = {}
         # lexicon: a trie; a state is a dict from characters to states, None holds the piece that ends there
         self.lexicon: dict = {}
         for p in self.id_of:
@@ -99,7 +106,12 @@ class PieceTransducer:
             return True
         known = self.stable.get((a, b))
         if known is None:
-            known = self.stable[a, b] = a[-1] not in self.spelled or b[0] not in self.spelled or self.merge(a + b) == [a, b]
+            known = self.older_stable.get((a, b))
+            if known is None:
+                known = a[-1] not in self.spelled or b[0] not in self.spelled or self.merge(a + b) == [a, b]
+            if len(self.stable) >= MOST_PAIRS:
+                self.older_stable, self.stable = self.stable, {}
+            self.stable[a, b] = known
         return known
 
     def arcs(self, text: str, at: int) -> list[str]:
@@ -119,26 +131,34 @@ class PieceTransducer:
         return self.finite_path(text) if self.bpe else self.least_path(text)
 
     def finite_path(self, text: str) -> list[str]:
-        """The only path of finite weight: states are composed when they are reached, longest arcs first."""
-        seen: set[tuple[int, str]] = set()
+        """The only path of finite weight: a state is where its last piece starts and ends; states are composed when they are reached, longest arcs first."""
+        n, lexicon, stable = len(text), self.lexicon, self.stable
+        seen: set[int] = set()
         todo: list[tuple] = [(0, None, None)]
         while todo:
             state = todo.pop()
             at, a, _ = state
-            if at == len(text):
+            if at == n:
                 out = []
                 while state[2] is not None:
                     out.append(state[1])
                     state = state[2]
                 return out[::-1]
-            for b in self.arcs(text, at):
-                reached = (at + len(b), b)
-                if reached in seen:
-                    continue
-                stable = self.stable.get((a, b))
-                if stable or stable is None and self.bigram(a, b):
-                    seen.add(reached)
-                    todo.append((reached[0], b, state))
+            i, node, alone = at, lexicon, False
+            while i < n:
+                node = node.get(text[i])
+                if node is None:
+                    break
+                i += 1
+                b = node.get(None)
+                if b is not None:
+                    alone = alone or i == at + 1
+                    if (at * (n + 1) + i) not in seen and (a is None or (ok := stable.get((a, b))) or ok is None and self.bigram(a, b)):
+                        seen.add(at * (n + 1) + i)
+                        todo.append((i, b, state))
+            if not alone and (at * (n + 1) + at + 1) not in seen and self.bigram(a, text[at]):  # spelled in bytes unless it is merged
+                seen.add(at * (n + 1) + at + 1)
+                todo.append((at + 1, text[at], state))
         raise ValueError(f"no segmentation of {text!r}")
 
     def least_path(self, text: str) -> list[str]:
@@ -169,7 +189,7 @@ class PieceTransducer:
         return (self.prefix + text.replace(" ", META)) if text else ""
 
     def packed(self, chunk: str) -> bytes:
-        return np.array(self.ids_of(self.shortest(chunk)), dtype="<u4").tobytes()
+        return array("I", self.ids_of(self.shortest(chunk))).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as unsigned 32-bit little-endian integers."""
@@ -195,7 +215,7 @@ class PieceTransducer:
 class Memo(dict):
     """Ids of distinct chunks after ``lead``, computed when first asked for; the newest ``most`` and those used since are held."""
 
-    def __init__(self, machine: PieceTransducer, lead: str, most: int = 150_000):
+    def __init__(self, machine: PieceTransducer, lead: str, most: int = MOST_WORDS):
         super().__init__()
         self.machine, self.lead, self.most = machine, lead, most
         self.older: dict[str, bytes] = {}
@@ -226,25 +246,31 @@ def compiled(path: str) -> PieceTransducer:
 class Codec:
     """Encodes texts and decodes them again."""
 
-    def __init__(self, path: str):
-        self.machine = compiled(path)
+    def __init__(self, path: str, with_ids: bool):
+        self.machine, self.with_ids = compiled(path), with_ids
         if "\n" in self.machine.spelled:
             raise ValueError("a piece spells the line break")
+        self.is_byte = np.zeros(len(self.machine.pieces), dtype=bool)
+        self.is_byte[list(self.machine.byte_of)] = True
 
-    def __call__(self, texts: list[str]) -> list[list]:
-        m, n_pieces, crc, fallback, digest, lossless = self.machine, [], [], [], [], []
-        byte_ids = np.zeros(len(m.pieces), dtype=bool)
-        byte_ids[list(m.byte_of)] = True
+    def __call__(self, texts: list[str]) -> list:
+        rows, crc, fallback, digest, lossless = [], [], [], [], []
         for text in texts:
-            ids = m.encode(text)
+            ids = self.machine.encode(text)
             row = np.frombuffer(ids, dtype="<u4")
-            back = m.decode(ids)
-            n_pieces.append(len(row))
+            back = self.machine.decode(ids)
+            rows.append(row)
             crc.append(zlib.crc32(ids))
-            fallback.append(int(byte_ids[row].sum()))
+            fallback.append(int(self.is_byte[row].sum()))
             digest.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
             lossless.append(back == text)
-        return [n_pieces, crc, fallback, digest, lossless]
+        return [[len(r) for r in rows], crc, fallback, digest, lossless, *([id_lists(rows)] if self.with_ids else [])]
+
+
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 FIELDS = (
@@ -254,21 +280,24 @@ FIELDS = (
     ("decoded_sha256", T.StringType(), pa.string()),
     ("lossless", T.BooleanType(), pa.bool_()),
 )
+IDS = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+GROUP_BYTES = 1 << 20
 
 
-def with_round_trip(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with n_pieces, pieces_crc32 (of the ids as unsigned 32-bit little-endian), n_byte_pieces, decoded_sha256 and lossless."""
-    return with_text_columns(df, lambda: Codec(model_path), FIELDS, text_col)
+def with_round_trip(df: DataFrame, model_path: str, text_col: str = "text", ids_into: str | None = None) -> DataFrame:
+    """``df`` with n_pieces, pieces_crc32 (of the ids as unsigned 32-bit little-endian), n_byte_pieces, decoded_sha256 and lossless; with the ids themselves too if ``ids_into`` names a column."""
+    fields = [*FIELDS, *([(ids_into, *IDS)] if ids_into else [])]
+    return with_text_columns(df, lambda: Codec(model_path, bool(ids_into)), fields, text_col, GROUP_BYTES)
 
 
 def with_ids(df: DataFrame, model_path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text (array<bigint>)."""
+    """``df`` with the ids of each text (array<int>)."""
 
     def make():
         machine = compiled(model_path)
-        return lambda texts: [[np.frombuffer(machine.encode(t), dtype="<u4").astype(np.int64).tolist() for t in texts]]
+        return lambda texts: [id_lists([np.frombuffer(machine.encode(t), dtype="<u4") for t in texts])]
 
-    return with_text_columns(df, make, [(into, T.ArrayType(T.LongType()), pa.list_(pa.int64()))], text_col)
+    return with_text_columns(df, make, [(into, *IDS)], text_col, GROUP_BYTES)
 
 
 def with_decoded(df: DataFrame, model_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

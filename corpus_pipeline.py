@@ -36,8 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, with the round trip's digest."""
-    coded = piecefst.with_round_trip(docs.select("doc_id", "text"), PIECES)
-    return piecefst.with_ids(coded, PIECES).drop("text")
+    return piecefst.with_round_trip(docs.select("doc_id", "text"), PIECES, ids_into="ids").drop("text")
 
 
 STAGES = [
