@@ -1,5 +1,7 @@
 """Literal inputs with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,21 @@ def test_components(spark):
     assert {r[1] for r in rows(graph.connected_components(chain, store.written), "node")} == {0}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    """Ids in random order, as hashes are: needs hundreds of rounds where only neighbours hear of a smaller label."""
+    ids = random.Random(1).sample(range(1000), 1000)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").coalesce(1)
+    written = []
+
+    def keep(df, name):
+        written.append(name)
+        return store.written(df, name)
+
+    got = rows(graph.connected_components(chain, keep), "node")
+    assert got == [(i, 0) for i in range(1000)]
+    assert written.count("taken") <= 12
+
+
 def test_hamming(spark):
     assert value(spark, X.hamming(lit(1), lit(3))) == 1
     assert value(spark, X.hamming(F.lit(-1).cast("long"), F.lit(5).cast("long"))) == 62
