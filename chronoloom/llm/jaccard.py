@@ -9,7 +9,11 @@ on bottom-k sketches; what is still large at the last level is compared in
 pairs of blocks, none left out.  Runs are repeated until a pair at the
 threshold has been put together with the target probability.
 
-The sketch comparison only proposes: sets that it links form candidate groups,
+The sketch comparison only proposes, at a bound far below the threshold: of a
+set inside the other at 0.8 about Binomial(64, 0.8) elements of the sketches are
+common, and fewer than half of them with a probability below 1e-6 (sketches are
+the same in all runs, so a pair that fails here is lost).  Sets that it links
+form candidate groups,
 within which every pair of sets is compared exactly (again in pairs of blocks).
 Equal sets are one row with a count from the start, so copies never meet.
 Pairs never leave a task: a task returns, for each set, how many documents it
@@ -84,8 +88,13 @@ def set_ids(sets: list[np.ndarray]) -> list[bytes | None]:
 
 
 def runs_needed(target: float, threshold: float, levels: int = 2) -> int:
-    """Runs after which a pair at the threshold has shared a bucket of the last level with probability ``target``."""
-    shared = 2 / (1 + threshold)  # common tokens of two equal-sized sets, times 1 / (threshold n)
+    """Runs after which a pair at the threshold has shared a bucket of the last level with probability ``target``.
+
+    Counted for a set inside the other, the worst case: its threshold x n tokens
+    are common and the larger set chooses each with 1 / (threshold n), so 1 on
+    average; equal-sized sets share 2 / (1 + threshold).
+    """
+    shared = 1.0
     once = (1 - math.exp(-shared)) ** levels
     return math.ceil(math.log(1 - target) / math.log(1 - once))
 
@@ -226,7 +235,7 @@ def candidate_edges(sets: DataFrame, small: int, propose: float) -> DataFrame:
     return sketched.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, small: int = 1000, block: int = 512, propose: float = 0.7) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, small: int = 1000, block: int = 512, propose: float = 0.5) -> DataFrame:
     """One row a document: doc_id, sid, class_id (least doc_id of its class), n_links (documents linked to it), and
     ``chosen`` (whether its set is the class's representative)."""
     runs = runs_needed(target, threshold)

@@ -103,6 +103,24 @@ def test_jaccard_classes_equal_all_pairs(spark):
         assert got == want
 
 
+def test_jaccard_finds_truncated_copies(spark):
+    """One set inside the other, at the threshold and a little above, with the parameters of production."""
+    rng = np.random.default_rng(8)
+    rows, n = [], 400
+    for i in range(n):
+        words = [f"w{v}" for v in rng.integers(0, 1 << 40, 604)]  # 600 shingles
+        kept = 480 + i % 31  # of which so many stay: 0.8 to 0.85
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: kept + 4]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (d - d % 2, 1) for d, _ in rows}
+
+
+def test_jaccard_runs_for_contained_sets():
+    """In split buckets both levels must meet; a set of 0.8 n inside one of n has one common token a level on average."""
+    once = (1 - (1 - 1 / (0.8 * 1000)) ** 800) ** 2
+    assert (1 - once) ** jaccard.runs_needed(0.999, 0.8) <= 0.001
+
+
 def test_jaccard_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b, c d e f", "y"), (3, None, "z"), (None, "a b c d e f", "n")], "doc_id long, text string, sid string")
     got = sorted(jaccard.classes(docs).select("doc_id", "class_id", "n_links").collect(), key=str)
