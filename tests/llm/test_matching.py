@@ -222,3 +222,34 @@ def test_nearest_edge_cases(spark):
     assert crosspoly.search(df.limit(0), df).count() == 0
     few = crosspoly.search(df.filter("vec_id < 3"), df.filter("vec_id = 0"), probes=1000)
     assert sorted(few.toPandas().vec_id) == [1, 2]
+
+
+def recall(spark, x, k=20):
+    """Of the nearest k with the parameters of production, for every 20th vector."""
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    got = crosspoly.search(df, df.filter("vec_id % 20 = 0"), k=k).toPandas()
+    want = brute_nearest(list(range(len(x))), x, range(0, len(x), 20), k)
+    return sum(len(set(got[got.query_id == q].vec_id) & {i for _, i in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_nearest_recall_with_unequal_norms(spark):
+    rng = np.random.default_rng(1)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one = np.ones(2000)
+    for norms in (np.r_[10, one[1:]], rng.uniform(0.5, 1.5, 2000)):
+        assert recall(spark, unit * norms[:, None]) >= 0.95
+
+
+def test_nearest_of_few_vectors(spark):
+    unit = np.random.default_rng(4).normal(size=(39, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert recall(spark, unit[:15]) == 1 and recall(spark, unit) == 1
+
+
+def test_nearest_finishes_queries_that_found_too_few(spark):
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(300), "embedding": x.tolist()}))
+    got = crosspoly.search(df, df.filter("vec_id = 0"), k=20, tables=1, probes=1).toPandas().sort_values("rank")
+    assert got.vec_id.tolist() == [i for _, i in brute_nearest(list(range(300)), x, [0], 20)[0]]
