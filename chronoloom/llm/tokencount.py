@@ -1,8 +1,10 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Rows are dealt out in groups balanced by bytes.  Long texts are split at
-white space, which no token of this tokenizer spans; each distinct piece is
-encoded once a task, and a text's count is the sum over its pieces.
+Rows are dealt out in groups balanced by bytes.  All texts, long ones too, are
+split at white space, which this tokenizer drops, so no token spans it.  The
+pieces of a group that a worker has not met go to the library's batch encoding
+in calls balanced by bytes; only their lengths are kept, and a text's count is
+the sum over its pieces.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are
 counted each on their own; an empty table gives an empty result; columns named
@@ -11,25 +13,27 @@ like a result are replaced, others passed on by :func:`with_counts`.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.chunks import ODD_SPACE, PieceMemo, load
+from chronoloom.llm.chunks import WordCounts, load
 from chronoloom.llm.common import with_text_columns
 
 
-def counter(tokenizer_path: str):
-    """A function from texts to [UTF-8 lengths, token counts]."""
-    memo = PieceMemo(load(tokenizer_path), len, spaced=False, lower=True)
-    get = memo.plain.__getitem__
+@functools.lru_cache(maxsize=1)
+def counts_of(tokenizer_path: str) -> WordCounts:
+    """One memo a Python worker: later tasks find the pieces of earlier ones."""
+    return WordCounts(load(tokenizer_path))
 
-    def compute(texts: list[str]) -> list[list[int]]:
-        counts = [memo.whole(t) if memo.has_special(t) or ODD_SPACE.search(t) else sum(map(get, t.split())) for t in texts]
-        return [[len(t.encode("utf-8")) for t in texts], counts]
 
-    return compute
+def counter(tokenizer_path: str):
+    """A function from texts to [UTF-8 lengths, token counts]."""
+    counts = counts_of(tokenizer_path)
+    return lambda texts: [[len(t.encode("utf-8")) for t in texts], counts(texts)]
 
 
 def with_counts(df: DataFrame, tokenizer_path: str, limit: int = 2048, text_col: str = "text", group_bytes: int = 4 << 20) -> DataFrame:

@@ -19,6 +19,7 @@ null key come first and can't be looked up; an empty table gives no shard.
 
 from __future__ import annotations
 
+import functools
 import struct
 import sys
 import uuid
@@ -32,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.chunks import SPLIT_RUN, PieceMemo, load
+from chronoloom.llm.chunks import ByteLevelPieces, load
 from chronoloom.llm.common import groups_by_bytes, pick, shared_dir, written
 
 MAGIC = b"idshard1"
@@ -163,19 +164,17 @@ class Encoder:
         tokenizer = load(tokenizer_path)
         self.width = 2 if max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         kind = "H" if self.width == 2 else "I"
-        self.memo = PieceMemo(tokenizer, lambda ids: array(kind, ids).tobytes(), spaced=True, lower=False)
+        self.pieces = ByteLevelPieces(tokenizer, lambda ids: array(kind, ids).tobytes())
         self.end = array(kind, [end_id]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        plain, after = self.memo.plain, self.memo.after.__getitem__
-        for t in texts:
-            if self.memo.has_special(t) or SPLIT_RUN.search(t):
-                out.append(self.memo.whole(t) + self.end)
-            else:
-                first, *rest = t.split(" ")
-                out.append(b"".join([plain[first], *map(after, rest), self.end]))
-        return out
+        return [self.pieces(t) + self.end for t in texts]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer_path: str, end_id: int) -> Encoder:
+    """One encoder a Python worker: later tasks find the pieces of earlier ones."""
+    return Encoder(tokenizer_path, end_id)
 
 
 MANIFEST = "path string, part int, seq int, min_key long, max_key long, n_records long, n_ids long"
@@ -193,7 +192,7 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_c
         part = TaskContext.get().partitionId()
         fs, base = filesystem(uri)
         fs.create_dir(base)
-        encode = Encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         keys: list[int | None] = []
         ids: list[bytes] = []
         held, seq = 0, 0
@@ -233,6 +232,10 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_c
     return manifest.withColumn("inner", inner).join(parts, "part").withColumn("start_id", F.col("part_start") + F.col("inner")).drop("inner", "part_start")
 
 
+#: Most tasks that read shards back.
+READERS = 100_000
+
+
 def read_records(manifest: DataFrame) -> DataFrame:
     """One row a record, read from the shards by keyed lookup: doc_id, start, n_tokens, ids_crc32 (of unsigned 32-bit little-endian ids)."""
 
@@ -256,16 +259,29 @@ def read_records(manifest: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    files = manifest.select("path", "start_id")
-    files = files.repartition(F.col("path"))
+    # a manifest is small, so a plain exchange would be coalesced into one task: deal the shards out by number
+    files = manifest.select("path", "start_id").repartition(min(max(manifest.count(), 1), READERS))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """Ids of the given keys (columns key, ids array<int>), each found through its shard's index; absent keys give no row."""
     wanted = pick(keys, key=key_col).select(F.col("key").cast("long").alias("key")).filter("key is not null").distinct()
-    ranges = manifest.filter("min_key is not null").select("path", "min_key", "max_key")
-    pairs = wanted.join(ranges, F.col("key").between(F.col("min_key"), F.col("max_key"))).select("path", "key").repartition("path").sortWithinPartitions("path")
+    there = manifest.filter("min_key is not null")
+    # one row a range partition: as many as the writing job had partitions, whatever the number of documents
+    parts = sorted(there.groupBy("part").agg(F.min("min_key").alias("least"), F.max("max_key").alias("most")).collect(), key=lambda r: r["part"])
+    number, least, most = (np.array([r[i] for r in parts], dtype=np.int64) for i in range(3))
+
+    def dealt(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            first, end = np.searchsorted(most, key, side="left"), np.searchsorted(least, key, side="right")
+            n = np.maximum(end - first, 0)
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(number[at].astype(np.int32))], names=["key", "part"])
+
+    mine = wanted.mapInArrow(dealt, "key long, part int").join(there.select("part", "path", "min_key", "max_key"), "part")
+    pairs = mine.filter(F.col("key").between(F.col("min_key"), F.col("max_key"))).select("path", "key").repartition("path").sortWithinPartitions("path")
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:

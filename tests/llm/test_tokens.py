@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,12 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from chronoloom.llm import piecefst, queries, tokencount, tokenstore
+from chronoloom.llm import chunks, piecefst, queries, tokencount, tokenstore
 from chronoloom.llm.common import shared_dir
 
 BYTE, WORD, PIECES = queries.BYTE_BPE, queries.WORD_BPE, queries.PIECES
-HARD = ["", " ", "  ", "a  b", "a \n b", "\n a", "a\n ", "x\t y", "don't 's", "<|endoftext|>", "a <|endoftext|> b", "a \n<|endoftext|>  c", "é漢字🙂 x", "word " * 500, "y" * 3000, "a b\xa0 c", "\x1c \x1d a", "ΟΔΟΣ Σ. É", "<|startoftext|>x", " lead", "trail ", "i̇ ́x"]
-TEXTS = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "the", "é", "漢", "'s", ".", "<|endoftext|>", "▁", "1", "Σ", "́", "\xa0"]), max_size=30).map("".join)
+HARD = ["", " ", "  ", "a  b", "a \n b", "\n a", "a\n ", "x\t y", "don't 's", "<|endoftext|>", "a <|endoftext|> b", "a \n<|endoftext|>  c", "é漢字🙂 x", "word " * 500, "y" * 3000, "a b\xa0 c", "\x1c \x1d a", "ΟΔΟΣ Σ. É", "<|startoftext|>x", " lead", "trail ", "i̇ ́x", "İ.", "DİYARBAKIRİ.", "TARİHİ, x", "x\n\n", "a.\n\n\n b", "a \n", "\n\na", "x<|endoftext|>y ,<|", "² a²", "(a) 'tis '"]
+TEXTS = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "the", "é", "漢", "'s", ".", "<|endoftext|>", "▁", "1", "Σ", "́", "\xa0", "İ", "ẞ", "ǅ", "K", "²", "(", "<|"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,35 @@ def test_any_texts(some):
     assert COUNTER(some)[1] == [len(e.ids) for e in WORDS.encode_batch(some, add_special_tokens=False)]
 
 
+def test_characters_whose_lower_case_differs(library):
+    odd = [c for c in map(chr, range(0x80, 0x20000)) if len(c.lower()) > 1 or unicodedata.category(c) != unicodedata.category(c.lower())]
+    some = [f"a{c}. {c}, {c}b {c}{c}\n{c}" for c in odd]
+    assert COUNTER(some)[1] == [len(e.ids) for e in WORDS.encode_batch(some, add_special_tokens=False)]
+    for t, g, e in zip(some, ENCODER(some), library[BYTE].encode_batch(some, add_special_tokens=False), strict=True):
+        assert np.frombuffer(g, "<u2").tolist() == [*e.ids, 2], repr(t)
+
+
+def test_long_texts_and_old_pieces(library):
+    """Pieces leave the memo and come back; megabytes in one text."""
+    some = [" ".join(f"w{(i * 7919 + j) % 9001}x." for j in range(3000)) for i in range(5)] + ["ab\n" * 400_000, "z" * 300_000]
+    counts = chunks.WordCounts(chunks.load(WORD))
+    counts.known.most = 500
+    packed = chunks.ByteLevelPieces(chunks.load(BYTE), lambda ids: np.array(ids, "<u2").tobytes())
+    packed.raw.most = packed.after.most = 500
+    for t in some:
+        assert counts([t]) == [len(library[WORD].encode(t, add_special_tokens=False))]
+        assert np.frombuffer(packed(t), "<u2").tolist() == fresh_ids(library[BYTE], t)
+    assert len(counts.known.older) + len(packed.after.older) > 0
+
+
+def test_counts_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "A b", 5), (3, "A b", 5), (None, "x", 5)], "doc_id long, text string, N_TOKENS int")
+    got = tokencount.with_counts(df, WORD, limit=1)
+    assert set(got.columns) == {"doc_id", "text", "n_bytes", "n_tokens", "over_limit"}
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == [(0, 1, 1, False), (1, 0, 0, False), (2, 0, 0, False), (3, 3, 2, True), (3, 3, 2, True)]
+    assert tokencount.with_counts(df.limit(0), WORD).count() == 0
+
+
 def fresh_ids(tokenizer, text):
     return tokenizer.encode(text, add_special_tokens=False).ids
 
