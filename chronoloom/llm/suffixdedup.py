@@ -8,33 +8,37 @@ Every window of ``length`` bytes has an anchor: the position in it whose
 anchors at equal offsets, so all that can match meets when windows are dealt
 out by their anchor's hash, and a run of windows with one anchor travels as one
 short segment.  Anchors whose hash occurs in one document only are dropped
-first.  A task then takes the segments of its hashes in ascending order of
-document, a batch at a time: each batch gets a suffix array (its suffixes
-sorted by their first ``length`` bytes), is merge-scanned against the existing
-levels for matches, and becomes the newest level; levels of equal size are
-merged, so there are logarithmically many.
-
-Equal segments are one entry with their least document: first within a block
-of documents, before anything is shuffled, then within a task.  So a passage
-that a third of all documents share is a few entries.
-
-Rows travel packed: a block holds about 4 MB of text, compressed, and answers
-come back as bit masks in the order of the block's own entries.
+first.  A task then takes the distinct segments of its hashes in ascending
+order of document, a batch at a time: each batch gets a suffix array (window
+positions in the order of their first ``length`` bytes), is merge-scanned
+against the existing levels for matches, and becomes the newest level; levels
+of equal size are merged, so there are logarithmically many.
+
+Documents are held in blocks of about 4 MB.  A block sends each digit of the
+hash (there are ``fan``) one packet, and gets back one answer to each, in the
+order of its own entries.  Where a digit's packets would be more than
+``bucket_bytes`` of text can make, they are gathered into units of about a
+block's size, which send packets by the next digit in turn, and pass the
+answers on.  So packets are ``fan`` a block and a level, and levels grow with
+the logarithm of the input.  Equal entries are one from the block on, and again
+in every unit: a passage that a third of all documents share is one entry a
+block, a few a unit.  Segments are compared byte by byte.
 
 Edge cases: null and empty texts have 0 bytes; texts shorter than ``length``
-lose nothing; rows with a null id are kept whole and remove nothing elsewhere;
-rows with equal ids remove nothing from each other; an empty table gives an
-empty result; other columns are ignored.
+lose nothing; a text longer than a block is a block of its own, whose anchors
+are found a stretch at a time; rows with a null id are kept whole and remove
+nothing elsewhere; rows with equal ids remove nothing from each other; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,7 @@ from chronoloom.llm.common import groups_by_bytes, pick, written
 from chronoloom.llm.jaccard import in_groups
 
 GRAM = 20
+STRETCH = 1 << 20
 
 
 def pack(data: bytes) -> bytes:
@@ -53,6 +58,14 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def table_bytes(batch: pa.RecordBatch) -> bytes:
+    return pack(batch.serialize().to_pybytes())
+
+
+def table_of(data: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(unpack(data)), schema)
+
+
 def least(values: np.ndarray, places: np.ndarray, shift: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Element-wise least of two stretches of ``n``, ``shift`` apart; the left one on ties."""
     a, b = values[:n], values[shift : shift + n]
@@ -61,17 +74,28 @@ def least(values: np.ndarray, places: np.ndarray, shift: int, n: int) -> tuple[n
 
 
 class Runs:
-    """Runs of consecutive windows of one document that have one anchor."""
+    """Runs of consecutive windows of one document that have one anchor: first window, count, document's place, anchor's hash."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, judged: np.ndarray, length: int):
         self.text, self.length = text, length
-        n = len(text)
-        empty = np.zeros(0, dtype=np.int64)
-        self.first, self.count, self.anchor, self.doc, self.hash = empty, empty, empty, empty, np.zeros(0, dtype=np.uint64)
-        if n < length:
-            return
+        long = (ends - starts >= length) & judged
+        self.starts, self.lasts = starts[long], ends[long] - length  # first and last windows of documents
+        parts = [self._stretch(a, min(a + STRETCH, len(text) - length + 1)) for a in range(0, len(text) - length + 1, STRETCH)]
+        parts = [p for p in parts if len(p[0])] or [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)]
+        first, count, anchor, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if len(first):  # runs that a stretch's end cut
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + count[:-1])])
+            at = np.nonzero(new)[0]
+            first, count, value = first[at], np.add.reduceat(count, at), value[at]
+        self.first, self.count, self.hash = first, count, value
+        self.doc = np.searchsorted(ends, first, side="right")
+
+    def _stretch(self, a: int, z: int) -> tuple[np.ndarray, ...]:
+        """Runs of the windows from ``a`` to before ``z``."""
+        text, length = self.text[a : z + self.length - 1], self.length
         padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
-        words = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded.tobytes(), strides=(1,))
+        n = z - a + length - 1
+        words = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded, strides=(1,))
         m = n - GRAM + 1
         h = words[:m] * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -88,39 +112,29 @@ class Runs:
             reach *= 2
         if reach < width:
             values, places = least(values, places, width - reach, m - width + 1)
-        # places[p]: the anchor of the window at p
-        long = (ends - starts >= length) & judged
-        change = np.zeros(len(places) + 1, dtype=np.int8)
-        np.add.at(change, starts[long], 1)
-        np.add.at(change, ends[long] - length + 1, -1)
+        # places[p]: the anchor of the window at a + p
+        change = np.zeros(z - a + 1, dtype=np.int32)
+        np.add.at(change, np.clip(self.starts - a, 0, z - a), 1)
+        np.add.at(change, np.clip(self.lasts + 1 - a, 0, z - a), -1)
         valid = np.nonzero(np.cumsum(change[:-1]) > 0)[0]
-        if not len(valid):
-            return
         at = places[valid]
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(valid) != 1)])
+        new = np.ones(len(valid), dtype=bool)
+        new[1:] = (at[1:] != at[:-1]) | (np.diff(valid) != 1)
         begin = np.nonzero(new)[0]
-        self.first = valid[begin]
-        self.count = np.diff(np.concatenate([begin, [len(valid)]]))
-        self.anchor = at[begin].astype(np.int64)
-        self.doc = np.searchsorted(ends, self.first, side="right")
-        self.hash = h[self.anchor]
+        return valid[begin] + a, np.diff(np.concatenate([begin, [len(valid)]])), at[begin].astype(np.int64) + a, h[at[begin]]
 
     def select(self, chosen: np.ndarray) -> None:
-        self.first, self.count, self.anchor, self.doc, self.hash = (x[chosen] for x in (self.first, self.count, self.anchor, self.doc, self.hash))
-
-    def segment_hash(self) -> np.ndarray:
-        """64-bit hash of each run's bytes (first window's start to last one's end) and anchor."""
-        rng = np.random.default_rng(17)
-        table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        factor = np.uint64(0x9DDFEA08EB382D69)
-        inverse = np.uint64(pow(0x9DDFEA08EB382D69, -1, 1 << 64))
-        n = len(self.text)
-        power = np.multiply.accumulate(np.full(n, factor))
-        back = np.multiply.accumulate(np.full(n, inverse))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(table[self.text] * power)])
-        value = (total[self.first + self.count + self.length - 1] - total[self.first]) * back[self.first]
-        value = value * np.uint64(0xD6E8FEB86659FD93) + self.hash + (self.anchor - self.first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.count.astype(np.uint64)
-        return value ^ (value >> np.uint64(31))
+        self.first, self.count, self.doc, self.hash = (x[chosen] for x in (self.first, self.count, self.doc, self.hash))
+
+    def segments(self) -> pa.DictionaryArray:
+        """Each run's bytes, from its first window's start to its last one's end; equal ones have one index."""
+        out = []
+        for a in range(0, max(len(self.first), 1), 1 << 15):
+            first, size = self.first[a : a + (1 << 15)], self.count[a : a + (1 << 15)] + self.length - 1
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(first - offsets[:-1], size) + np.arange(int(offsets[-1]))
+            out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.text[at])]))
+        return pa.chunked_array(out).dictionary_encode().combine_chunks()
 
 
 class Block:
@@ -134,36 +148,90 @@ class Block:
         self.text = np.frombuffer(unpack(packed), dtype=np.uint8)
         self.runs = Runs(self.text, self.starts, self.ends, self.judged, length)
 
-    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Buckets of the runs' hashes and the runs in each."""
-        bucket = (self.runs.hash % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, start = np.unique(bucket[order], return_index=True)
-        for b, part in zip(found.tolist(), np.split(order, start[1:]), strict=True):
-            yield b, part
-
-    def keep_shared(self, marks: list, buckets: int) -> None:
-        """Only the runs whose anchors other documents have, by the answers' masks."""
-        masks = {m["bucket"]: m["mask"] for m in marks or []}
-        chosen = np.zeros(len(self.runs.first), dtype=bool)
-        for b, part in self.by_bucket(buckets):
-            if b in masks:
-                chosen[part] = np.unpackbits(np.frombuffer(masks[b], dtype=np.uint8), count=len(part)).astype(bool)
-        self.runs.select(chosen)
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of equal segments, the run with the least document stands for all: (runs that stand, which of them each run has)."""
-        order = np.lexsort((self.ids[self.runs.doc], self.runs.segment_hash()))
-        value = self.runs.segment_hash()[order]
-        new = np.concatenate([[True], value[1:] != value[:-1]]) if len(order) else np.zeros(0, dtype=bool)
-        which = np.empty(len(order), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        return order[new], which
+
+#: Entries of packets: an anchor's hash and the least and greatest document that have it; a segment and its least document.
+ANCHORS = pa.schema([("hash", pa.uint64()), ("lo", pa.int64()), ("hi", pa.int64())])
+SEGMENTS = pa.schema([("hash", pa.uint64()), ("doc", pa.int64()), ("segment", pa.binary())])
+
+
+def distinct_anchors(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Distinct entries, and which of them each row has."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.nonzero(new)[0]
+    columns = [hashes[order[at]], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)] if len(at) else [hashes, lo, hi]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=ANCHORS), which
+
+
+def distinct_segments(hashes: np.ndarray, docs: np.ndarray, segments: pa.DictionaryArray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Distinct entries, and which of them each row has."""
+    which = segments.indices.to_numpy().astype(np.int64)
+    n = len(segments.dictionary)
+    least_doc, value = np.full(n, np.iinfo(np.int64).max), np.zeros(n, dtype=np.uint64)
+    np.minimum.at(least_doc, which, docs)
+    value[which] = hashes
+    return pa.RecordBatch.from_arrays([pa.array(value), pa.array(least_doc), segments.dictionary], schema=SEGMENTS), which
+
+
+class AnchorWork:
+    """First round: which anchors do several documents have?  Answers are 0 or 1."""
+
+    schema, answer = ANCHORS, np.uint8
+
+    @staticmethod
+    def of_block(b: Block) -> tuple[pa.RecordBatch, np.ndarray]:
+        docs = b.ids[b.runs.doc]
+        return distinct_anchors(b.runs.hash, docs, docs)
+
+    @staticmethod
+    def gathered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        return distinct_anchors(*(c.to_numpy() for c in batch.columns))
+
+    @staticmethod
+    def judged(entries: pa.RecordBatch, length: int, batch: int) -> np.ndarray:
+        return (entries.column("lo").to_numpy() != entries.column("hi").to_numpy()).astype(np.uint8)
+
+    @staticmethod
+    def passed_on(rows: pa.RecordBatch, entries: pa.RecordBatch, which: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        return answers[which]
+
+
+class SegmentWork:
+    """Second round: which windows of a segment also start in a smaller document?  Answers are bit masks."""
+
+    schema, answer = SEGMENTS, np.uint64
+
+    @staticmethod
+    def of_block(b: Block) -> tuple[pa.RecordBatch, np.ndarray]:
+        return distinct_segments(b.runs.hash, b.ids[b.runs.doc], b.runs.segments())
+
+    @staticmethod
+    def gathered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        return distinct_segments(batch.column("hash").to_numpy(), batch.column("doc").to_numpy(), batch.column("segment").dictionary_encode())
+
+    @staticmethod
+    def judged(entries: pa.RecordBatch, length: int, batch: int) -> np.ndarray:
+        segments = entries.column("segment")
+        offsets = np.frombuffer(segments.buffers()[1], dtype=np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+        text = np.frombuffer(segments.buffers()[2] or b"", dtype=np.uint8)
+        return judged_segments(entries.column("doc").to_numpy(), np.diff(offsets) - length + 1, offsets[:-1], text, length, batch)
+
+    @staticmethod
+    def passed_on(rows: pa.RecordBatch, entries: pa.RecordBatch, which: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        return masks_of(rows.column("doc").to_numpy(), entries, which, answers)
+
+
+def masks_of(docs: np.ndarray, entries: pa.RecordBatch, which: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Masks of rows from their entries' answers: a later document than the entry's has all bits (readers look at a segment's own windows)."""
+    return np.where(docs > entries.column("doc").to_numpy()[which], ~np.uint64(0), answers[which])
 
 
 def block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Documents in blocks of about ``block_bytes``: block, ids, null, ends, packed."""
-    schema = "block long, ids binary, null binary, ends binary, packed binary"
+    schema = "block long, ids binary, null binary, ends binary, packed binary, size long"
 
     def run(batches):
         from pyspark import TaskContext
@@ -181,8 +249,9 @@ def block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
                         pa.array([mine.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                         pa.array([np.cumsum([len(r) for r in raw[a:b]]).astype("<i8").tobytes()], pa.binary()),
                         pa.array([pack(b"".join(raw[a:b]))], pa.binary()),
+                        pa.array([sum(map(len, raw[a:b]))], pa.int64()),
                     ],
-                    names=["block", "ids", "null", "ends", "packed"],
+                    names=["block", "ids", "null", "ends", "packed", "size"],
                 )
                 seq += 1
 
@@ -193,31 +262,36 @@ BLOCK = ["ids", "null", "ends", "packed"]
 
 
 class SuffixLevels:
-    """Sorted arrays of distinct suffixes, cut to ``length`` bytes, in levels of geometric size."""
+    """Suffix arrays over one text: positions of distinct windows in the order of their bytes, in levels of geometric size."""
 
-    def __init__(self):
+    def __init__(self, text: np.ndarray, length: int):
+        self.text, self.length = text, length
         self.levels: list[np.ndarray] = []
 
-    def add(self, suffixes: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Which suffixes are in a level or belong to a smaller owner of the batch; then the batch joins the levels.
+    def keys(self, positions: np.ndarray) -> np.ndarray:
+        return self.text[positions[:, None] + np.arange(self.length)].reshape(-1).view(f"S{self.length}")
+
+    def add(self, positions: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Which windows are in a level or belong to a smaller owner of the batch; then the batch joins the levels.
 
         Owners are ascending, and greater than all added before.
         """
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
+        keys = self.keys(positions)
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         group = np.cumsum(new) - 1
         distinct = ranked[new]
         known = owners[order] > owners[order][new][group]
         old = np.zeros(len(distinct), dtype=bool)
         for level in self.levels:
-            old |= merge_scan(level, distinct)
+            old |= merge_scan(self.keys(level), distinct)
         out = np.empty(len(order), dtype=bool)
         out[order] = known | old[group]
-        self.levels.append(distinct[~old])
+        self.levels.append(positions[order][new][~old])
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate([self.levels[-1], last]), kind="stable")
+            both = np.concatenate([self.levels[-2], self.levels.pop()])
+            self.levels[-1] = both[np.argsort(self.keys(both), kind="stable")]
         return out
 
 
@@ -234,144 +308,177 @@ def merge_scan(level: np.ndarray, batch: np.ndarray) -> np.ndarray:
     return found
 
 
-def judged_segments(hashes: np.ndarray, docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, text: np.ndarray, length: int, batch: int) -> np.ndarray:
-    """For each entry a mask of its windows (bit j: the window at offset j) that also start in a smaller document."""
-    every = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
-    order = np.lexsort((docs, hashes))
-    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-    stands = order[new]  # of equal segments, the least document
-    which = np.empty(len(order), dtype=np.int64)
-    which[order] = np.cumsum(new) - 1
-    by_doc = np.argsort(docs[stands], kind="stable")
-    levels, masks = SuffixLevels(), np.zeros(len(stands), dtype=np.uint64)
-    sizes, owners = counts[stands][by_doc], docs[stands][by_doc]
+def judged_segments(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, text: np.ndarray, length: int, batch: int) -> np.ndarray:
+    """For each of distinct segments a mask of its windows (bit j: the window at offset j) that also start in a smaller document."""
+    by_doc = np.argsort(docs, kind="stable")
+    levels, masks = SuffixLevels(text, length), np.zeros(len(docs), dtype=np.uint64)
+    owners, total = docs[by_doc], np.cumsum(counts[by_doc])
     done = 0
-    total = np.cumsum(sizes)
     while done < len(by_doc):
         before = int(total[done - 1]) if done else 0
         end = max(int(np.searchsorted(total, before + batch, side="right")), done + 1)
         end = int(np.searchsorted(owners, owners[end - 1], side="right"))  # a document's windows stay in one batch
         part = by_doc[done:end]
-        n = counts[stands[part]]
+        n = counts[part]
         entry = np.repeat(np.arange(len(part)), n)
         j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = offsets[stands[part]][entry] + j
-        suffixes = text[at[:, None] + np.arange(length)].reshape(-1).view(f"S{length}")
-        hit = levels.add(suffixes, owners[done:end][entry])
+        hit = levels.add(offsets[part][entry] + j, owners[done:end][entry])
         np.bitwise_or.at(masks, part[entry[hit]], np.uint64(1) << j[hit].astype(np.uint64))
         done = end
-    return np.where(docs > docs[stands][which], every, masks[which])
+    return masks
+
+
+def by_digit(entries: pa.RecordBatch, level: int, fan: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Digits of the entries' hashes and the entries of each, in order."""
+    digit = ((entries.column("hash").to_numpy() // np.uint64(fan**level)) % np.uint64(fan)).astype(np.int64)
+    order = np.argsort(digit, kind="stable")
+    found, start = np.unique(digit[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, start[1:]), strict=False)  # no entries: no digits
+
+
+#: A packet: its sender, the digits so far as a number, the bytes of its entries.
+PACKET = "sender long, bucket long, size long, payload binary"
+REPLY = "sender long, bucket long, answer binary"
+
+
+def packets(entries: pa.RecordBatch, sender: int, bucket: int, level: int, fan: int) -> pa.RecordBatch:
+    out: dict[str, list] = {"sender": [], "bucket": [], "size": [], "payload": []}
+    for digit, part in by_digit(entries, level, fan):
+        mine = entries.take(pa.array(part))
+        out["sender"].append(sender)
+        out["bucket"].append(bucket * fan + digit)
+        out["size"].append(mine.nbytes)
+        out["payload"].append(table_bytes(mine))
+    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("sender", pa.int64()), ("bucket", pa.int64()), ("size", pa.int64()), ("payload", pa.binary())]))
+
+
+def answers_in_order(entries: pa.RecordBatch, replies: dict[int, bytes], level: int, fan: int, kind: type) -> np.ndarray:
+    """Answers to all entries of a sender, from the replies by digit (none: all 0)."""
+    out = np.zeros(len(entries), dtype=kind)
+    for digit, part in by_digit(entries, level, fan):
+        if digit in replies:
+            out[part] = np.frombuffer(unpack(replies[digit]), dtype=kind)
+    return out
+
+
+def reply_batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    kept = [(s, b, pack(a.tobytes())) for s, b, a in rows if a.any()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["sender", "bucket", "answer"])
+
+
+def concatenated(payloads: list[bytes], schema: pa.Schema) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The packets' entries one after another, and where each packet's begin."""
+    tables = [table_of(p, schema) for p in payloads]
+    joined = pa.Table.from_batches(tables, schema).combine_chunks().to_batches()
+    batch = joined[0] if joined else pa.RecordBatch.from_pylist([], schema)
+    return batch, np.cumsum([0] + [len(t) for t in tables])
+
+
+def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int, fan: int, unit_bytes: int) -> DataFrame:
+    """Replies to the packets ``sent`` by blocks: sender, bucket, answer."""
+    stages = []
+    for level in range(1, levels):
+        stored = written(sent, "packets")
+        many = stored.groupBy("bucket").agg(F.ceil(F.sum("size") / unit_bytes).alias("units"))
+        unit = F.pmod(F.xxhash64("sender"), F.col("units"))
+        # a sender of this level: a part of a bucket; a bucket's number is below fan ** level
+        mine = stored.join(many, "bucket").select((unit * fan**level + F.col("bucket")).alias("unit"), F.lit(1).alias("kind"), "sender", "bucket", "payload")
+        stages.append((level, mine))
 
+        def regroup(batches, level=level):
+            for group in in_groups(1)(batches):
+                rows, _ = concatenated([g[4] for g in group], work.schema)
+                entries, _ = work.gathered(rows)
+                yield packets(entries, group[0][0], group[0][3], level, fan)
 
-def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, batch: int = 1 << 17) -> DataFrame:
+        sent = mine.repartition("unit").sortWithinPartitions("unit", "sender").mapInArrow(regroup, PACKET)
+
+    def judge(batches):
+        for group in in_groups(1)(batches):
+            rows, at = concatenated([g[2] for g in group], work.schema)
+            entries, which = work.gathered(rows)
+            answers = work.passed_on(rows, entries, which, work.judged(entries, length, batch))
+            yield reply_batch([(g[1], g[0], answers[a:z]) for g, a, z in zip(group, at[:-1], at[1:], strict=True)])
+
+    replies = sent.select("bucket", "sender", "payload").repartition("bucket").sortWithinPartitions("bucket", "sender").mapInArrow(judge, REPLY)
+    for level, mine in reversed(stages):
+        back = replies.select(F.col("sender").alias("unit"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("sender"), "bucket", F.col("answer").alias("payload"))
+
+        def pass_on(batches, level=level):
+            for group in in_groups(1)(batches):
+                got = {g[3] % fan: g[4] for g in group if g[1] == 0}
+                own = [g for g in group if g[1] == 1]
+                if not got or not own:
+                    continue
+                rows, at = concatenated([g[4] for g in own], work.schema)
+                entries, which = work.gathered(rows)
+                answers = work.passed_on(rows, entries, which, answers_in_order(entries, got, level, fan, work.answer))
+                yield reply_batch([(g[2], g[3], answers[a:z]) for g, a, z in zip(own, at[:-1], at[1:], strict=True)])
+
+        replies = back.unionByName(mine).repartition("unit").sortWithinPartitions("unit", "kind", "sender").mapInArrow(pass_on, REPLY)
+    return replies
+
+
+def per_block(replies: DataFrame, name: str) -> DataFrame:
+    """All replies of a block, ``fan`` at most, in one row: block, replies."""
+    grouped = replies.groupBy(F.col("sender").alias("block")).agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+    return written(grouped, name)
+
+
+def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 17, fan: int = 256) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not GRAM + 1 <= length <= GRAM + 62:
         raise ValueError("length must be between 21 and 82")
     blocks = written(block_rows(docs, block_bytes), "blocks")
-    n_blocks = blocks.count()
-    buckets = max(64, math.ceil(n_blocks * block_bytes / bucket_bytes))
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    levels = 1
+    while size > bucket_bytes * fan**levels:
+        levels += 1
+
+    def loaded(rows: pa.RecordBatch) -> Iterator[tuple]:
+        """A block and the other columns of each row."""
+        for ids, null, ends, packed, *rest in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            yield Block(ids, null, ends, packed, length), *rest
+
+    def keep_shared(b: Block, marks: list | None) -> None:
+        """Only the runs whose anchors other documents have."""
+        entries, which = AnchorWork.of_block(b)
+        b.runs.select(answers_in_order(entries, {m["bucket"]: m["answer"] for m in marks or []}, 0, fan, np.uint8)[which] > 0)
 
     def anchors(batches):
         for rows in batches:
-            for block, *rest in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                b = Block(*rest, length)
-                out: dict[str, list] = {"bucket": [], "block": [], "payload": []}
-                for bucket, part in b.by_bucket(buckets):
-                    mine, doc = np.unique(b.runs.doc[part], return_inverse=True)
-                    head = np.array([len(part), len(mine)], dtype="<i8").tobytes()
-                    short = ((b.runs.hash[part] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    out["bucket"].append(bucket)
-                    out["block"].append(block)
-                    out["payload"].append(head + b.ids[mine].astype("<i8").tobytes() + short.tobytes() + doc.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())]))
-
-    def shared(batches):
-        for group in in_groups(1)(batches):
-            hashes, ids = [], []
-            for _, _, payload in group:
-                n, d = np.frombuffer(payload, dtype="<i8", count=2)
-                mine = np.frombuffer(payload, dtype="<i8", count=d, offset=16)
-                hashes.append(np.frombuffer(payload, dtype="<u4", count=n, offset=16 + 8 * d))
-                ids.append(mine[np.frombuffer(payload, dtype="<u4", count=n, offset=16 + 8 * d + 4 * n)])
-            h, i = np.concatenate(hashes), np.concatenate(ids)
-            order = np.argsort(h, kind="stable")
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            first = np.nonzero(new)[0]
-            differ = np.minimum.reduceat(i[order], first) != np.maximum.reduceat(i[order], first)
-            several = np.empty(len(h), dtype=bool)
-            several[order] = differ[np.cumsum(new) - 1]
-            at = np.cumsum([0] + [len(x) for x in hashes])
-            found = [(g[1], g[0], np.packbits(several[a:b]).tobytes()) for g, a, b in zip(group, at[:-1], at[1:], strict=True) if several[a:b].any()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "mask"])
-
-    dealt = blocks.select("block", *BLOCK).mapInArrow(anchors, "bucket long, block long, payload binary")
-    answers = dealt.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(shared, "block long, bucket long, mask binary")
-    marks = written(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("marks")), "marks")
+            for b, block in loaded(rows):
+                yield packets(AnchorWork.of_block(b)[0], block, 0, 0, fan)
+
+    marks = per_block(answered(blocks.select(*BLOCK, "block").mapInArrow(anchors, PACKET), AnchorWork, levels, length, batch, fan, block_bytes), "marks")
 
     def segments(batches):
         for rows in batches:
-            for block, *rest, found in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                b = Block(*rest, length)
-                b.keep_shared(found, buckets)
-                stands, _ = b.entries()
-                value = b.runs.segment_hash()[stands]
-                b.runs.select(stands)
-                out: dict[str, list] = {"bucket": [], "block": [], "payload": []}
-                for bucket, part in b.by_bucket(buckets):
-                    first, n = b.runs.first[part], b.runs.count[part]
-                    size = n + length - 1
-                    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    parts = (np.array([len(part)], dtype="<i8"), value[part], b.ids[b.runs.doc[part]].astype("<i8"), n.astype(np.uint8), b.text[at])
-                    out["bucket"].append(bucket)
-                    out["block"].append(block)
-                    out["payload"].append(pack(b"".join(p.tobytes() for p in parts)))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())]))
+            for b, block, found in loaded(rows):
+                keep_shared(b, found)
+                yield packets(SegmentWork.of_block(b)[0], block, 0, 0, fan)
 
-    def judge(batches):
-        for group in in_groups(1)(batches):
-            hashes, ids, counts, texts = [], [], [], []
-            for _, _, payload in group:
-                raw = unpack(payload)
-                n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-                hashes.append(np.frombuffer(raw, dtype="<u8", count=n, offset=8))
-                ids.append(np.frombuffer(raw, dtype="<i8", count=n, offset=8 + 8 * n))
-                counts.append(np.frombuffer(raw, dtype=np.uint8, count=n, offset=8 + 16 * n).astype(np.int64))
-                texts.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 17 * n))
-            count = np.concatenate(counts)
-            size = count + length - 1
-            masks = judged_segments(np.concatenate(hashes), np.concatenate(ids), count, np.cumsum(size) - size, np.concatenate(texts), length, batch)
-            at = np.cumsum([0] + [len(x) for x in hashes])
-            found = [(g[1], g[0], pack(masks[a:b].astype("<u8").tobytes())) for g, a, b in zip(group, at[:-1], at[1:], strict=True) if masks[a:b].any()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "mask"])
-
-    sent = blocks.join(marks, "block").select("block", *BLOCK, "marks").mapInArrow(segments, "bucket long, block long, payload binary")
-    verdicts = sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(judge, "block long, bucket long, mask binary")
-    hits = written(verdicts.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("hits")), "hits")
+    sent = blocks.join(marks, "block").select(*BLOCK, "block", "marks").mapInArrow(segments, PACKET)
+    hits = per_block(answered(sent, SegmentWork, levels, length, batch, fan, 4 * block_bytes), "hits")
 
     def cut(batches):
         for rows in batches:
-            for ids, null, ends, packed, found, windows in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                b = Block(ids, null, ends, packed, length)
-                covered = np.zeros(len(b.text) + 1, dtype=np.int64)
+            for b, found, windows in loaded(rows):
+                covered = np.zeros(len(b.text) + 1, dtype=np.int32)
                 if found:
-                    b.keep_shared(found, buckets)
-                    stands, which = b.entries()
-                    first, count, doc = b.runs.first, b.runs.count, b.ids[b.runs.doc]
-                    least_doc = doc[stands][which]
-                    mask = np.zeros(len(stands), dtype=np.uint64)
-                    got = {w["bucket"]: w["mask"] for w in windows or []}
-                    b.runs.select(stands)
-                    for bucket, part in b.by_bucket(buckets):
-                        if bucket in got:
-                            mask[part] = np.frombuffer(unpack(got[bucket]), dtype="<u8")
-                    mine = np.where(doc > least_doc, (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1), mask[which])
-                    run = np.repeat(np.arange(len(first)), count)
-                    j = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-                    hit = (mine[run] >> j.astype(np.uint64)) & np.uint64(1) == 1
-                    at = (first[run] + j)[hit]
-                    covered += np.bincount(at, minlength=len(covered)) - np.bincount(at + length, minlength=len(covered))
+                    keep_shared(b, found)
+                    entries, which = SegmentWork.of_block(b)
+                    answers = answers_in_order(entries, {w["bucket"]: w["answer"] for w in windows or []}, 0, fan, np.uint64)
+                    first, count = b.runs.first, b.runs.count
+                    mine = masks_of(b.ids[b.runs.doc], entries, which, answers)
+                    for a in range(0, len(first), 1 << 16):
+                        part = slice(a, a + (1 << 16))
+                        run = np.repeat(np.arange(len(first[part])), count[part])
+                        j = np.arange(len(run)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+                        hit = (mine[part][run] >> j.astype(np.uint64)) & np.uint64(1) == 1
+                        at = (first[part][run] + j)[hit]
+                        np.add.at(covered, at, 1)
+                        np.add.at(covered, at + length, -1)
                 gone = np.cumsum(covered[:-1]) > 0
                 edge = gone & np.concatenate([[True], ~gone[:-1]]) if len(gone) else gone
                 removed, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(edge)])

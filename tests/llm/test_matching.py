@@ -178,14 +178,35 @@ def test_suffix_dedup_on_documents(spark, sf):
 
 
 def test_suffix_levels_are_geometric():
-    levels = suffixdedup.SuffixLevels()
     rng = np.random.default_rng(0)
+    text = rng.integers(0, 256, 30 * 5000, dtype=np.uint8)
+    levels = suffixdedup.SuffixLevels(text, 50)
     for i in range(30):
-        s = rng.integers(0, 256, (100, 50), dtype=np.uint8).reshape(-1).view("S50")
-        levels.add(s, np.full(100, i))
+        levels.add(np.arange(100) * 50 + i * 5000, np.full(100, i))
     assert len(levels.levels) <= 8 and sum(map(len, levels.levels)) == 3000
 
 
+def test_suffix_dedup_in_several_levels(spark):
+    """Few digits and small buckets: packets go through units, and answers come back through them."""
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abc d") for _ in range(rng.randint(60, 200))) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(4))) for i in range(150)]
+    rows += [(i, passages[0]) for i in range(500, 560)]
+    check_removed(spark, rows, block_bytes=3000, bucket_bytes=500, batch=300, fan=4)
+
+
+def test_suffix_dedup_edge_cases(spark):
+    schema = "doc_id long, text string, BLOCK int, size int"
+    assert suffixdedup.remove(spark.createDataFrame([], schema)).count() == 0
+    rng = np.random.default_rng(1)
+    long = rng.integers(97, 123, 3 << 20, dtype=np.uint8).tobytes().decode()
+    rows = [(1, long, 1, 1), (2, long[1000:1_500_000] + "#" + long[-70:], 1, 1), (None, long[:200], 1, 1), (3, None, None, None)]
+    got = {r.doc_id: r for r in suffixdedup.remove(spark.createDataFrame(rows, schema)).collect()}
+    kept = {1: long, 2: "#", None: long[:200], 3: ""}
+    assert {k: r.kept_sha256 for k, r in got.items()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in kept.items()}
+    assert (got[2].n_removed, got[2].n_spans) == (1_499_070, 2)
+
+
 def brute_nearest(ids, x, queries, k):
     out = {}
     for q in queries:
