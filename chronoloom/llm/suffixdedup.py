@@ -48,6 +48,7 @@ from chronoloom.llm.jaccard import in_groups
 
 GRAM = 20
 STRETCH = 1 << 20
+MOST_TASKS = 50_000
 
 
 def pack(data: bytes) -> bytes:
@@ -400,7 +401,9 @@ def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int,
             answers = work.passed_on(rows, entries, which, work.judged(entries, length, batch))
             yield reply_batch([(g[1], g[0], answers[a:z]) for g, a, z in zip(group, at[:-1], at[1:], strict=True)])
 
-    replies = sent.select("bucket", "sender", "payload").repartition("bucket").sortWithinPartitions("bucket", "sender").mapInArrow(judge, REPLY)
+    # two partitions a bucket, so that few tasks get several; a given number is not coalesced
+    tasks = min(2 * fan**levels, MOST_TASKS)
+    replies = sent.select("bucket", "sender", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket", "sender").mapInArrow(judge, REPLY)
     for level, mine in reversed(stages):
         back = replies.select(F.col("sender").alias("unit"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("sender"), "bucket", F.col("answer").alias("payload"))
 
@@ -430,8 +433,8 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
     if not GRAM + 1 <= length <= GRAM + 62:
         raise ValueError("length must be between 21 and 82")
     blocks = written(block_rows(docs, block_bytes), "blocks")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
-    levels = 1
+    size, n_blocks = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    tasks, levels = min(max(n_blocks, 1), MOST_TASKS), 1
     while size > bucket_bytes * fan**levels:
         levels += 1
 
@@ -458,7 +461,8 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
                 keep_shared(b, found)
                 yield packets(SegmentWork.of_block(b)[0], block, 0, 0, fan)
 
-    sent = blocks.join(marks, "block").select(*BLOCK, "block", "marks").mapInArrow(segments, PACKET)
+    dealt = blocks.repartition(tasks, "block")
+    sent = dealt.join(marks.repartition(tasks, "block"), "block").select(*BLOCK, "block", "marks").mapInArrow(segments, PACKET)
     hits = per_block(answered(sent, SegmentWork, levels, length, batch, fan, 4 * block_bytes), "hits")
 
     def cut(batches):
@@ -490,5 +494,5 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
                     out.append((int(b.ids[i]) if b.judged[i] else None, z - a, n_removed, n_spans, hashlib.sha256(kept.tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    final = blocks.join(marks, "block", "left").join(hits, "block", "left").select(*BLOCK, "marks", "hits")
+    final = dealt.join(marks.repartition(tasks, "block"), "block", "left").join(hits.repartition(tasks, "block"), "block", "left").select(*BLOCK, "marks", "hits")
     return final.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,8 +1,14 @@
 import base64
 import hashlib
 import json
+import string
+import time
 
-from chronoloom.llm import secrets
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chronoloom.llm import queries, secrets
 
 
 def der(tag, *parts):
@@ -55,8 +61,108 @@ def test_structural_confirmation():
 
 def test_ssh_container():
     s = lambda b: len(b).to_bytes(4, "big") + b
-    data = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"p" * 51) + s(b"q" * 140)
+    data = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"p" * 51) + s(b"abcdabcd" + b"q" * 136)
     assert secrets.is_openssh_key(data) and not secrets.is_openssh_key(data + b"x")
+    assert not secrets.is_openssh_key(data.replace(b"abcdabcd", b"abcdabce"))
+    assert ("key", data.hex()) in kinds(f"x {data.hex()} y")
+
+
+def test_contents_are_parsed_by_their_algorithm():
+    def pkcs8(oid, octets):
+        return der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex(oid))), der(4, octets))
+
+    rsa, ec, ed = "2a864886f70d010101", "2a8648ce3d0201", "2b6570"
+    assert secrets.is_key(pkcs8(rsa, RSA)) and secrets.is_key(pkcs8(ec, EC)) and secrets.is_key(pkcs8(ed, der(4, b"k" * 32)))
+    noise = bytes(range(200))
+    assert not any(secrets.is_key(pkcs8(o, noise)) for o in (rsa, ec, ed, "2a0304"))
+    assert not secrets.is_key(pkcs8(rsa, EC)) and not secrets.is_key(pkcs8(ed, der(4, b"k" * 31)))
+    scheme = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30))
+    assert secrets.is_key(der(0x30, scheme, der(4, b"c" * 64))) and not secrets.is_key(der(0x30, scheme, der(4, b"c" * 63)))
+
+
+def test_wrapped_and_nested_encodings():
+    run = base64.b64encode(RSA).decode()
+    wrapped = "\n".join(run[i : i + 64] for i in range(0, len(run), 64))
+    assert ("key", wrapped) in kinds(f"key:\n{'x' * 50}\n{wrapped}\nend\nof")
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped}\n-----END RSA PRIVATE KEY-----\n"
+    twice = base64.b64encode(pem.encode()).decode()
+    assert ("key", twice) in kinds(f"data: {twice}")
+    assert ("key", pem.encode().hex()) in kinds(pem.encode().hex() + " ")
+    other = pem.replace("RSA PRIVATE KEY-----\n", "EC PRIVATE KEY-----\n", 1)  # begins and ends under other names
+    assert all(k != "pem" for k, _ in kinds(other))
+
+
+def test_long_texts_take_linear_time():
+    for text in ("-----BEGIN PRIVATE KEY-----\n" * 300_000, "A" * 4_000_000, ("QUJD" * 16 + "\n") * 60_000, "0a" * 2_000_000, "ey" * 1_000_000, "token=" * 500_000):
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 10
+
+
+def brute_base(text):
+    """The base kinds a character at a time."""
+    words, value = ("password", "passwd", "secret", "token", "apikey", "api_key"), set(string.ascii_letters + string.digits + "+/_.=-")
+    out = []
+
+    def skip(i, chars, most=None):
+        n = 0
+        while i < len(text) and text[i] in chars and (most is None or n < most):
+            i, n = i + 1, n + 1
+        return i
+
+    def assign(i):
+        for w in words:
+            if text[i : i + len(w)].isascii() and text[i : i + len(w)].lower() == w:
+                j = skip(skip(i + len(w), "\"'", 1), " ")
+                if text[j : j + 1] in (":", "="):
+                    j = skip(skip(j + 1, " "), "\"'", 1)
+                    k = skip(j, value)
+                    if k > j:
+                        return j, k
+        return None
+
+    def runs(kind, start, chars, least):
+        i = 0
+        while i < len(text):
+            if text.startswith(start, i) and skip(i + len(start), chars) > i + len(start):
+                k = skip(i + len(start), chars)
+                if k - i >= least:
+                    out.append((i, k, kind))
+                i = k
+            else:
+                i += 1
+
+    i = 0
+    while i < len(text):
+        if got := assign(i):
+            if got[1] - got[0] >= 6:
+                out.append((i, got[1], "assign"))
+            i = got[1]
+        else:
+            i += 1
+    runs("access", "AKIA", set(string.ascii_uppercase + string.digits), 20)
+    runs("hex", "", set("0123456789abcdef"), 24)
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2]), s[1]))
+
+
+PARTS = ["token", "API_KEY", "apikey", "pass", "word", "PassWd", "secret", "=", ":", " ", '"', "'", "abc", "abcdef1", "AKIA", "ABCDEFGHIJKLMNOP", "0f" * 13, "é", "ſ", "K", ".", "\n", "\t", "_"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24).map("".join))
+def test_base_spans_equal_brute_force(text):
+    assert [s for s in secrets.find_spans(text) if s[2] in secrets.KINDS[:3]] == brute_base(text)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    got = queries.op1_secret_scan(spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for d, t in zip(docs.doc_id, docs.text, strict=True):
+        want = brute_base(t or "")
+        row = got.loc[d]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(s[2] == k for s in want) for k in ("assign", "access", "hex"))
 
 
 def test_scan_edge_cases(spark):
