@@ -5,26 +5,29 @@ consecutive words of a benchmark item (or the whole of a shorter item) is one
 pattern.  Each document is scanned once; matches are mapped to word positions
 and, through the words' offsets, to the original text.
 
-The patterns are sent to the tasks in blocks of at most ``block_bytes`` of
-benchmark text; usually that is one block.  More text makes more blocks, each
-one more scan in the same task, so nothing grows with the benchmark.
+The automaton's alphabet are the words that occur in the benchmark, so a window
+is ``width`` nodes.  Benchmark text of more than ``block_words`` words makes
+several automata; a task builds them one after another over the same group of
+documents and holds one at a time, besides the compressed texts.
 
 Edge cases: null or empty texts have no words and no hits; items without words
-never occur; repeated items count once per item_id, null item_ids not at all;
-an empty benchmark leaves every document clean; columns named like a result
-are replaced.
+never occur; repeated items count once per item_id; windows of an item without
+an id hit words, but name no item; an empty benchmark leaves every document
+clean; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.llm.common import pick, with_text_columns
@@ -38,63 +41,75 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(WORD_BYTES).split()
 
 
-def line_of(words: list[bytes]) -> str:
-    """The words between single spaces; each byte is one character of the automaton's alphabet."""
-    return (b" " + b" ".join(words) + b" ").decode("latin-1")
-
-
-def windows(words: list[bytes], width: int) -> set[str]:
-    if not words:
-        return set()
-    return {line_of(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def automaton(items: list[tuple[int, str]], width: int) -> ahocorasick.Automaton | None:
-    """Patterns hold their number of words and the ids of their items."""
-    by_window: dict[str, set[int]] = {}
-    for item, text in items:
-        if item is not None:
-            for w in windows(words_of(text or ""), width):
-                by_window.setdefault(w, set()).add(item)
-    if not by_window:
-        return None
-    built = ahocorasick.Automaton()
-    for w, ids in by_window.items():
-        built.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
-    built.make_automaton()
-    return built
-
-
-def scan_words(words: list[bytes], built: ahocorasick.Automaton | None) -> tuple[np.ndarray, set[int]]:
-    """Which words lie inside an occurrence, and the items that occur."""
-    hit = np.zeros(len(words) + 1, dtype=np.int64)
-    found: set[int] = set()
-    if built is not None and words:
-        matches = list(built.iter(line_of(words)))
-        if matches:
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)  # of the space after each word
-            last = np.searchsorted(ends, np.fromiter((e for e, _ in matches), dtype=np.int64, count=len(matches)))
-            for at, (_, (n, ids)) in zip(last, matches, strict=True):
-                hit[at + 1 - n] += 1
-                hit[at + 1] -= 1
-                found.update(ids)
-    return np.cumsum(hit[:-1]) > 0, found
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items, a bounded part at a time."""
+class Patterns:
+    """The windows of some items as one automaton over word numbers."""
+
+    def __init__(self, items: list[tuple[object, str]], width: int):
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set] = {}
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text or "")]
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                owners.setdefault(tuple(words[i : i + width]), set()).add(item)
+        self.kinds: list[tuple[int, frozenset]] = []  # words of a pattern and its items; many patterns have the same
+        place: dict[tuple[int, frozenset], int] = {}
+        self.built = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for window, ids in owners.items():
+            kind = (len(window), frozenset(i for i in ids if i is not None))
+            if kind not in place:
+                place[kind] = len(self.kinds)
+                self.kinds.append(kind)
+            self.built.add_word(window, place[kind])
+        if owners:
+            self.built.make_automaton()
+        self.any, self.shortest = bool(owners), min(map(len, owners), default=0)
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
+        """Which words lie inside an occurrence, and the items that occur."""
+        hit = np.zeros(len(words) + 1, dtype=np.int32)
+        found: set = set()
+        if self.any and len(words) >= self.shortest:
+            numbers = np.fromiter(map(self.number.get, words, itertools.repeat(0)), dtype=np.int64, count=len(words))
+            # only stretches of words that the benchmark has can hold a pattern
+            edge = np.diff(np.concatenate([[0], (numbers > 0).astype(np.int8), [0]]))
+            starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+            long = ends - starts >= self.shortest
+            for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+                for last, kind in self.built.iter(tuple(numbers[a:b].tolist())):
+                    n, ids = self.kinds[kind]
+                    hit[a + last + 1 - n] += 1
+                    hit[a + last + 1] -= 1
+                    found |= ids
+        return np.cumsum(hit[:-1]) > 0, found
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[bytes]:
+    """Benchmark items, compressed, a bounded part at a time."""
     part, size = [], 0
     for item, text in pick(benchmark, item=id_col, text=text_col).toLocalIterator():
-        n = len(text or "")
-        if part and size + n > block_bytes:
-            yield part
+        n = len(words_of(text or ""))
+        if part and size + n > block_words:
+            yield zlib.compress(pickle.dumps(part))
             part, size = [], 0
         part.append((item, text))
         size += n
     if part:
-        yield part
+        yield zlib.compress(pickle.dumps(part))
 
 
+def in_turn(sent: list, width: int):
+    """A function that gives each block's patterns one after another; those of a single block are kept."""
+    built = lambda b: Patterns(pickle.loads(zlib.decompress(b.value)), width)
+    if len(sent) == 1:
+        only = built(sent[0])
+        return lambda: [only]
+    return lambda: map(built, sent)
+
+
+#: Documents' bytes that meet an automaton before the next is built, where there are several.
+GROUP_BYTES = 32 << 20
+BLOCK_WORDS = 250_000
+
 FIELDS = (
     ("n_words", T.LongType(), pa.int64()),
     ("n_hit", T.LongType(), pa.int64()),
@@ -104,35 +119,37 @@ FIELDS = (
 )
 
 
-def flag(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def flag(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with n_words, n_hit, n_items, items_sha256 and contaminated; other columns are passed on."""
-    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_bytes)]
+    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_words)]
 
     def make():
-        built = [automaton(b.value, width) for b in sent]
+        patterns = in_turn(sent, width)
 
         def compute(texts: list[str]) -> list[list]:
+            words = [words_of(t) for t in texts]
+            hits, items = [np.zeros(len(w), dtype=bool) for w in words], [set() for _ in words]
+            for one in patterns():
+                for k, w in enumerate(words):
+                    more, found = one.scan(w)
+                    if more.any():
+                        hits[k] |= more
+                        items[k] |= found
             rows = []
-            for text in texts:
-                words = words_of(text)
-                hit, items = np.zeros(len(words), dtype=bool), set()
-                for one in built:
-                    more, found = scan_words(words, one)
-                    hit |= more
-                    items |= found
-                digest = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-                rows.append((len(words), int(hit.sum()), len(items), digest, bool(hit.any())))
+            for w, hit, ids in zip(words, hits, items, strict=True):
+                digest = hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+                rows.append((len(w), int(hit.sum()), len(ids), digest, bool(hit.any())))
             return [list(c) for c in zip(*rows, strict=True)]
 
         return compute
 
-    return with_text_columns(df, make, FIELDS, text_col)
+    return with_text_columns(df, make, FIELDS, text_col, GROUP_BYTES if len(sent) > 1 else 4 << 20)
 
 
-def spans_in_text(text: str, built: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
+def spans_in_text(text: str, patterns: Patterns) -> list[tuple[int, int]]:
     """Code point ranges of ``text`` that lie inside occurrences: word positions mapped to the original."""
     raw = text.encode("utf-8").translate(WORD_BYTES)
-    hit, _ = scan_words(raw.split(), built)
+    hit, _ = patterns.scan(raw.split())
     bytes_at = np.frombuffer(raw, dtype=np.uint8)
     word = np.concatenate([[False], bytes_at != 32, [False]])
     starts, ends = np.nonzero(word[1:] & ~word[:-1])[0], np.nonzero(~word[1:] & word[:-1])[0]
@@ -147,28 +164,28 @@ def spans_in_text(text: str, built: ahocorasick.Automaton | None) -> list[tuple[
     return out
 
 
-def without_spans(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", into: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def without_spans(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", into: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with all passages of the benchmark cut out of its texts (null texts become empty)."""
-    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, "item_id", "text", block_bytes)]
+    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, "item_id", "text", block_words)]
 
     def make():
-        built = [automaton(b.value, width) for b in sent]
+        patterns = in_turn(sent, width)
 
-        def clean(text: str) -> str:
-            marked = np.zeros(len(text) + 1, dtype=np.int64)
-            spans = [s for one in built for s in spans_in_text(text, one)]
-            if not spans:
-                return text
-            for a, b in spans:
-                marked[a] += 1
-                marked[b] -= 1
-            cut = np.cumsum(marked[:-1]) > 0
-            return "".join(c for c, x in zip(text, cut, strict=True) if not x)
+        def compute(texts: list[str]) -> list[list[str]]:
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for one in patterns():
+                for k, t in enumerate(texts):
+                    spans[k] += spans_in_text(t, one)
+            return [[without(t, s) for t, s in zip(texts, spans, strict=True)]]
 
-        return lambda texts: [[clean(t) for t in texts]]
+        return compute
 
-    return with_text_columns(df, make, [(into, T.StringType(), pa.string())], text_col)
+    return with_text_columns(df, make, [(into, T.StringType(), pa.string())], text_col, GROUP_BYTES if len(sent) > 1 else 4 << 20)
 
 
-def hits_only(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(F.col("contaminated"))
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join(out) + text[at:]
