@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` (a local folder only where that is unset) and read again; deleted when the driver's JVM ends."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below ``spark.checkpoint.dir``, deleted when the driver's JVM ends; only where that is unset (tests) a local one is made and set.
+
+    A path without a scheme belongs to the cluster's default file system, as
+    Spark's own writers take it; it is completed to a URI, so that readers
+    outside Spark's, which take a bare path for a local one, find it too.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(base)
-    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = fs.makeQualified(path)
+    fs.deleteOnExit(path)
+    uri = path.toString()
+    return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and no executor's loss can undo it."""
+    uri = shared_dir(df.sparkSession, name)
     df.write.parquet(uri)
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
 def signature(name: Column, size: Column, modified: Column) -> Column:
