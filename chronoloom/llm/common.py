@@ -6,8 +6,6 @@ writing them to the folder that the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,35 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made and set.
-
-    The folder is deleted when the driver's JVM ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        base = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-            sc.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    elif base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[len("file:"):]
-    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return uri
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and no executor's loss can undo it."""
-    spark = df.sparkSession
-    uri = shared_dir(spark, name)
-    df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+from chronoloom.sources.store import shared_dir, written  # noqa: F401
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:

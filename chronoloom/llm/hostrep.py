@@ -4,7 +4,8 @@ Labelled page outcomes (bad or not) are counted by host.  Each host's rate is
 shrunk towards its registered domain's, that towards its suffix's, and that
 towards the overall rate, through beta priors whose strength is estimated from
 the spread of the rates one level down (method of moments).  A host is blocked
-if the lower bound of its posterior exceeds ``block_rate``.  Rules come first.
+if the lower bound of its posterior, by the normal approximation (mean less
+``z`` standard deviations), exceeds ``block_rate``.  Rules come first.
 
 Counts are summed by host before anything is joined, so one host may hold any
 share of the pages; the table of hosts is joined, and Spark broadcasts it only
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import pick
+from chronoloom.llm.common import pick, written
 
 # Host, path, verdict.
 RULES = (
@@ -50,12 +51,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(after_scheme(F.coalesce(url, F.lit(""))), "^[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+# Public suffixes of two labels that are told from registered domains; a bounded list, to be given whole where more are wanted.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk", "github.io", "blogspot.com")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def named(host: Column) -> Column:
+    """The host without user name and port, which are no part of a domain."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: one label more than the suffix; an address in digits is its own."""
+    name = named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike("^[0-9.]+$"), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    name = named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike("^[0-9.]+$"), "").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -97,7 +112,8 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
     marks = pick(outcomes, page_id="page_id", bad="bad").filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("double")).alias("bad"))
     once = pages.groupBy("page_id", "host").agg(F.lit(1).alias("one"))
     hosts = once.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("k"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    # a row a host, written, as three levels read it
+    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.0)).alias("overall"))

@@ -37,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import groups_by_bytes, pick, with_text_columns, written
+from chronoloom.llm.common import groups_by_bytes, pick, position, with_text_columns, written
 from chronoloom.llm.decontaminate import WORD_BYTES
 from chronoloom.operators.graph import connected_components
 
 SKETCH = 64
+SLICE = 1 << 20
+#: A set with more than this share of all documents is hot; there are at most 1 / HOT such sets.
+HOT = 1 / 500
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -62,11 +65,18 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     if not len(starts):
         return [np.zeros(0, dtype=np.uint64) for _ in texts]
     lengths = ends - starts
-    power = np.full(int(lengths.max()), 0x9DDFEA08EB382D69, dtype=np.uint64)
-    power = np.multiply.accumulate(power)
-    chars = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-    place = chars - np.repeat(starts, lengths)
-    hashed = np.add.reduceat((code[chars].astype(np.uint64) + np.uint64(1)) * power[place], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+    power = np.multiply.accumulate(np.full(int(lengths.max()), 0x9DDFEA08EB382D69, dtype=np.uint64))
+    total = np.cumsum(lengths)
+    hashed = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):  # words of about SLICE bytes at a time, so that a long text takes little more than itself
+        j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE)))
+        size = lengths[i:j]
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        chars = place + np.repeat(starts[i:j], size)
+        hashed[i:j] = np.add.reduceat((code[chars].astype(np.uint64) + np.uint64(1)) * power[place], first)
+        i = j
     hashed = mix(hashed)
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
@@ -256,7 +266,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, smal
     of_set = with_rep.join(best, "component").select("sid", F.col("best.rep").alias("class_rep"), F.col("best.sid").alias("class_sid"))
     per_set = groups.join(of_set, "sid", "left").join(counted, "sid", "left")
     per_set = per_set.select("sid", F.coalesce("class_rep", "rep").alias("class_rep"), F.coalesce("class_sid", "sid").alias("class_sid"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("set_links"))
-    out = all_docs.select("doc_id", "sid").join(per_set, "sid", "left")
+    # documents of hot sets meet their few rows in a broadcast, so no task gets all copies of one text
+    per_set = written(per_set, "per_set")
+    many = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.broadcast(per_set.join(groups.filter(F.col("copies") > many * HOT).select("sid"), "sid", "left_semi"))
+    ids = all_docs.select("doc_id", "sid")
+    columns = ["doc_id", "sid", "class_rep", "class_sid", "set_links"]
+    out = ids.join(hot, "sid").select(columns).unionByName(ids.join(hot.select("sid"), "sid", "left_anti").join(per_set, "sid", "left").select(columns))
     lone = F.col("sid").isNull() | F.col("doc_id").isNull()
     return out.select(
         "doc_id",
@@ -320,12 +336,12 @@ def with_set_ids(df: DataFrame, text_col: str = "text", into: str = "sid") -> Da
 def one_of_each(docs: DataFrame, threshold: float = 0.8, target: float = 0.999) -> DataFrame:
     """``docs`` without all but one document of each class; documents without words or id stay."""
     found = classes(docs, threshold, target).filter(F.col("chosen") & F.col("sid").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = found.select(F.col("doc_id").alias("_doc_id"), F.col("sid").alias("_set")).distinct().withColumn("_stays", F.lit(True))
-    at = docs.columns.index("doc_id")
-    marked = with_set_ids(docs, into="_sid")
-    same = (marked[marked.columns[at]].cast("long") == chosen["_doc_id"]) & (marked["_sid"] == chosen["_set"])
-    joined = marked.join(chosen, same, "left")
-    lone = F.col("_sid").isNull() | F.col("doc_id").isNull()
-    stays = joined.filter(lone | F.col("_stays")).drop("_doc_id", "_set", "_stays")
-    words = stays.filter("_sid is not null and doc_id is not null").dropDuplicates(["doc_id", "_sid"])
-    return words.unionByName(stays.filter("_sid is null or doc_id is null")).drop("_sid")
+    chosen = found.select(F.col("doc_id").alias("doc"), F.col("sid").alias("set"), F.lit(True).alias("stays")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc, text = (names[position(docs.columns, c)] for c in ("doc_id", "text"))
+    marked = with_set_ids(plain, text, "sid").withColumn("doc", F.col(doc).cast("long"))
+    joined = marked.join(chosen, (marked["doc"] == chosen["doc"]) & (marked["sid"] == chosen["set"]), "left").select(*names, marked["doc"], "sid", "stays")
+    lone = F.col("sid").isNull() | F.col("doc").isNull()
+    words = joined.filter(~lone & F.col("stays")).dropDuplicates(["doc", "sid"])
+    return words.unionByName(joined.filter(lone)).select(*names).toDF(*docs.columns)

@@ -115,8 +115,10 @@ outcomes AS (
   WHERE page_id IS NOT NULL AND bad IS NOT NULL GROUP BY page_id),
 hosts AS (
   SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0.0) AS k,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN outcomes USING (page_id) GROUP BY host),
+         CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name WHEN two IN (SUFFIX_LIST) THEN array_to_string(list_slice(labels, -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN '' WHEN two IN (SUFFIX_LIST) THEN two ELSE labels[-1] END AS suffix
+  FROM (SELECT *, string_split(name, '.') AS labels, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two
+        FROM (SELECT DISTINCT page_id, host, regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', '') AS name FROM p)) LEFT JOIN outcomes USING (page_id) GROUP BY host, name, labels, two),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 overall AS (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.0) AS m FROM suffixes),
@@ -149,5 +151,8 @@ FROM ruled LEFT JOIN low USING (host)
 """
 
 
+REPUTATION_SQL = REPUTATION_SQL.replace("SUFFIX_LIST", ", ".join(f"'{s}'" for s in hostrep.SUFFIXES))
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op5_decontaminate": DECONTAMINATE_SQL, "op9_host_reputation": REPUTATION_SQL}

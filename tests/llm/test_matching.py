@@ -208,6 +208,22 @@ def test_suffix_dedup_on_documents(spark, sf):
     check_removed(spark, rows, block_bytes=1 << 16, batch=1 << 12)
 
 
+def test_shingles_of_long_texts_in_slices(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "É", "c1", "x" * 40]) for _ in range(rng.randint(0, 300))) for _ in range(20)]
+    want = jaccard.shingle_sets(texts)
+    monkeypatch.setattr(jaccard, "SLICE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(want, jaccard.shingle_sets(texts), strict=True))
+
+
+def test_one_of_each_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", 1, 1), (2, text, "b", 2, 2), (2, text, "b", 2, 2), (3, None, "c", 3, 3), (None, text, "d", 4, 4), (5, text + " more", "e", 5, 5)]
+    df = spark.createDataFrame(rows, "DOC_ID long, text string, _sid string, _stays int, _set int")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns and sorted(r._sid for r in got.collect()) == ["a", "c", "d"]
+
+
 def test_suffix_levels_are_geometric():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 256, 30 * 5000, dtype=np.uint8)
@@ -286,13 +302,23 @@ def recall(spark, x, k=20):
 
 def test_nearest_recall_with_unequal_norms(spark):
     rng = np.random.default_rng(1)
-    unit = rng.normal(size=(2000, 64))
+    unit = rng.normal(size=(3000, 64))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    one = np.ones(2000)
-    for norms in (np.r_[10, one[1:]], rng.uniform(0.5, 1.5, 2000)):
+    one = np.ones(3000)
+    for norms in (np.r_[10, one[1:]], rng.uniform(0.5, 1.5, 3000), np.exp(rng.normal(0, 0.5, 3000))):
         assert recall(spark, unit * norms[:, None]) >= 0.95
 
 
+def test_nearest_of_extreme_components_and_repeated_ids(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = crosspoly.search(df, df.filter("vec_id % 20 = 0"), k=2).toPandas()
+    assert {q: sorted(p.vec_id) for q, p in got.groupby("query_id")} == {0: [3, 20], 20: [0, 0, 1, 3]}
+    assert got[got.query_id == 20].sort_values(["rank", "vec_id"]).vec_id.tolist() == [0, 0, 1, 3]
+    first = got[(got.query_id == 0)].sort_values("rank")
+    assert first.vec_id.tolist() == [3, 20] and first.score.tolist() == [3e200, 1e200]
+
+
 def test_nearest_of_few_vectors(spark):
     unit = np.random.default_rng(4).normal(size=(39, 64))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
@@ -300,8 +326,8 @@ def test_nearest_of_few_vectors(spark):
 
 
 def test_nearest_finishes_queries_that_found_too_few(spark):
-    x = np.random.default_rng(5).normal(size=(300, 64))
+    x = np.random.default_rng(5).normal(size=(2300, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(300), "embedding": x.tolist()}))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(2300), "embedding": x.tolist()}))
     got = crosspoly.search(df, df.filter("vec_id = 0"), k=20, tables=1, probes=1).toPandas().sort_values("rank")
-    assert got.vec_id.tolist() == [i for _, i in brute_nearest(list(range(300)), x, [0], 20)[0]]
+    assert got.vec_id.tolist() == [i for _, i in brute_nearest(list(range(2300)), x, [0], 20)[0]]

@@ -26,9 +26,9 @@ def test_each_stage_against_brute_force(spark, sf):
     assert sorted(single.toPandas().doc_id) == sorted({c for c, _ in classes.values()})
 
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    built = decontaminate.automaton(items, 10)
+    built = decontaminate.Patterns(items, 10)
     out = steps["decontamination"](spark, part, sf)
-    want = [i for i, t in zip(small.doc_id, small.text, strict=True) if not decontaminate.scan_words(decontaminate.words_of(t), built)[0].any()]
+    want = [i for i, t in zip(small.doc_id, small.text, strict=True) if not built.scan(decontaminate.words_of(t))[0].any()]
     assert out.columns == docs.columns and sorted(out.toPandas().doc_id) == sorted(want)
 
     masked = steps["secret_scan"](spark, part, sf).toPandas()
@@ -45,5 +45,19 @@ def test_each_stage_against_brute_force(spark, sf):
 
 def test_empty_input(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_run_is_the_stages_in_turn(spark, sf, tmp_path):
+    """A small folder of tables: run() gives what the stages give one after another, and only clean documents' rows."""
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(120).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).toPandas()) if stage is not corpus_pipeline.STAGES[-1][1] else stage(spark, docs, str(tmp_path))
+    want = docs.toPandas()
+    assert sorted(got.doc_id) == sorted(want.doc_id) and 60 < len(got) <= 120
+    ids = lambda f: {d: list(i) for d, i in zip(f.doc_id, f.ids, strict=True)}
+    assert ids(got) == ids(want)
