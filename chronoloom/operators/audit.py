@@ -62,8 +62,8 @@ def convergence(history: DataFrame, keys: Sequence[str], good: int = 96, gain: i
 def replacements(found: DataFrame, plan: DataFrame, candidates: DataFrame, keys: Sequence[str], most: int = 8) -> DataFrame:
     """One pass of revision: the ``most`` worst findings that ask for another clip, each with the best candidate.
 
-    Candidates are bucketed by intensity into eleven classes beforehand, so a
-    finding meets the few best of its class, not the library.
+    Candidates are bucketed by intensity into eleven classes beforehand, with
+    the best of each cluster, so a finding meets one row a cluster, not the library.
     """
     asked = found.filter(F.col("type").isin("weak_in_strong", "repetition", "busy_in_calm"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("severity"), "pos", "type"))

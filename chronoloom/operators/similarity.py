@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.exprs import cosine, cosine_or_zero, hamming, median_of, packed_bits
+from chronoloom.functions.exprs import cosine, hamming, median_of, packed_bits
 
 
 def sign_hash(vectors: DataFrame, vector: str, into: str = "hash") -> DataFrame:
@@ -13,20 +15,64 @@ def sign_hash(vectors: DataFrame, vector: str, into: str = "hash") -> DataFrame:
     return vectors.withColumn("_m", median_of(F.col(vector))).withColumn(into, packed_bits(F.transform(vector, lambda x: x.cast("double") > F.col("_m")))).drop("_m")
 
 
-def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", value: str = "hash") -> DataFrame:
+#: Bits of a band from which on bands are worth a join: below, most pairs would meet in some band.
+BAND_BITS = 12
+
+
+def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", value: str = "hash", block: int = 8192) -> DataFrame:
     """(a, b, distance) of pairs a < b at most ``most`` bits apart.
 
-    64 bits are cut into ``most`` + 1 bands; a pair that close agrees on one of
-    them, so pairs meet in an equality join on band and value, and each is
-    checked where its first equal band is (so none is made twice).
+    For a few bits, 64 bits are cut into ``most`` + 1 bands; a pair that close
+    agrees on one of them, so pairs meet in an equality join on band and value
+    and are made at their first equal band only.  Bands narrower than BAND_BITS
+    would join a large share of all pairs in every band; then packed blocks of
+    ``block`` hashes are compared, each pair of blocks once, 64 bits an
+    operation, and nothing but the pairs that are close enough is made.
     """
+    rows = hashes.select(F.col(key).cast("long").alias("k"), F.col(value).alias("h")).filter("k is not null and h is not null")
+    bands = most + 1
+    return banded_pairs(rows, most) if 64 // bands >= BAND_BITS else blocked_pairs(rows, most, block)
+
+
+def banded_pairs(rows: DataFrame, most: int) -> DataFrame:
     bands = most + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(value), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("part")) for i in range(bands)])
-    split = hashes.select(F.col(key).alias("k"), F.col(value).alias("h"), F.explode(parts).alias("p")).select("k", "h", "p.*")
+    part = lambda h, i: F.shiftrightunsigned(F.shiftleft(h, 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i])
+    parts = F.array(*[F.struct(F.lit(i).alias("band"), part(F.col("h"), i).alias("part")) for i in range(bands)])
+    split = rows.select("k", "h", F.explode(parts).alias("p")).select("k", "h", "p.*")
     a, b = (split.select(F.col("k").alias(n), F.col("h").alias(n + "_h"), "band", "part") for n in "ab")
     met = a.join(b, ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("a_h"), F.col("b_h"))).filter(F.col("distance") <= most)
-    return met.select("a", "b", "distance").distinct()
+    first = F.coalesce(*[F.when(part(F.col("a_h"), i) == part(F.col("b_h"), i), F.lit(i)) for i in range(bands)])
+    return met.filter(F.col("band") == first).select("a", "b", "distance").distinct()
+
+
+def blocked_pairs(rows: DataFrame, most: int, block: int) -> DataFrame:
+    """All pairs of packed blocks; the number of blocks comes from a count."""
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+
+    def pack(part):
+        ids, h = (part.column(c).to_numpy().astype("<i8").tobytes() for c in ("k", "h"))
+        return pa.table({"i": pa.array([part.column("i")[0].as_py()], pa.int32()), "ids": pa.array([ids], pa.binary()), "bits": pa.array([h], pa.binary())})
+
+    packed = dealt.select("i", "k", "h").groupBy("i").applyInArrow(pack, "i int, ids binary, bits binary")
+    left = packed.select(F.col("i").alias("li"), F.col("ids").alias("lids"), F.col("bits").alias("lbits"), F.explode(F.sequence("i", F.lit(n - 1))).alias("i"))
+
+    def compare(batches):
+        for batch in batches:
+            for li, lids, lbits, i, ids, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a_ids, b_ids = np.frombuffer(lids, dtype="<i8"), np.frombuffer(ids, dtype="<i8")
+                a, b = np.frombuffer(lbits, dtype="<u8"), np.frombuffer(bits, dtype="<u8")
+                for at in range(0, len(a), 256):
+                    apart = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+                    x, y = np.nonzero(apart <= most)
+                    first, second, distance = a_ids[at + x], b_ids[y], apart[x, y]
+                    use = first < second if li == i else first != second
+                    lo, hi = np.minimum(first, second)[use], np.maximum(first, second)[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(distance[use].astype(np.int32))], names=["a", "b", "distance"])
+
+    met = left.join(packed, "i").select("li", "lids", "lbits", "i", "ids", "bits")
+    return met.repartition(min(max(n * (n + 1) // 2, 1), 4096)).mapInArrow(compare, "a long, b long, distance int").distinct()
 
 
 def vector_mean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -40,12 +86,37 @@ def adjacent(vectors: DataFrame, key: str, order: str, vector: str) -> DataFrame
     return vectors.withColumns({"before": F.lag(order).over(w), "_v": F.lag(vector).over(w)}).filter("before is not null").select(key, order, "before", F.round(cosine(F.col("_v"), F.col(vector)), 4).alias("cos"))
 
 
-def best_reference(vectors: DataFrame, references: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def best_reference(vectors: DataFrame, references: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 1024) -> DataFrame:
     """id, label, score: for each vector and label the best cosine with that label's references, if at least ``least``.
 
-    The reference index is small by nature (a few vectors a label); it is
-    broadcast by Spark below its size threshold only.
+    References are packed into blocks of one label; every batch of vectors meets
+    each block in a matrix product, and keeps one score a vector and block.
+    Sums are in double precision, in the order of numpy's product; scores are
+    rounded to four places.  Null vectors take no part; zero ones score 0.
     """
-    refs = references.select(F.col(label).alias("label"), F.col(vector).alias("_r"))
-    scored = vectors.select(id_col, F.col(vector).alias("_v")).crossJoin(refs).groupBy(id_col, "label").agg(F.max(F.round(cosine_or_zero(F.col("_v"), F.col("_r")), 4)).alias("score"))
-    return scored.filter(F.col("score") >= least)
+    refs = references.select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("r")).filter("r is not null")
+    numbered = refs.withColumn("part", F.pmod(F.xxhash64("r"), F.greatest(F.ceil(F.count("*").over(Window.partitionBy("label")) / block), F.lit(1))))
+    packed = numbered.groupBy("label", "part").agg(F.collect_list("r").alias("refs"))
+    mine = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    lots = mine.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-mine.count() // (8 * block)))))).groupBy("lot").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x, np.sqrt((x * x).sum(axis=1))
+
+    def compare(batches):
+        for batch in batches:
+            for rows, of, refs_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = [r["id"] for r in rows]
+                (v, nv), (r, nr) = unit(np.array([x["v"] for x in rows])), unit(np.array(refs_))
+                norm = nv[:, None] * nr[None, :]
+                score = np.where(norm == 0, 0.0, (v @ r.T) / np.where(norm == 0, 1.0, norm)).max(axis=1)
+                good = np.nonzero(score >= least - 1e-4)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([of] * len(good), pa.string()), pa.array(score[good])], names=["id", "label", "score"])
+
+    pairs = lots.crossJoin(packed).select("rows", "label", "refs")  # lots x blocks of references
+    kind = dict(refs.dtypes)["label"]
+    scored = pairs.select("rows", F.col("label").cast("string").alias("label"), "refs").mapInArrow(compare, "id long, label string, score double")
+    best = scored.groupBy("id", "label").agg(F.round(F.max("score"), 4).alias("score")).filter(F.col("score") >= least)
+    return best.select(F.col("id").alias(id_col), F.col("label").cast(kind).alias("label"), "score")
+
+

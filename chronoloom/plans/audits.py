@@ -100,7 +100,7 @@ def stop_rule(spark, sf_dir):
 
 @query(PLAN.replace("WITH raw", "WITH raw") + ", " + library.LIBRARY.strip().removeprefix("WITH ").replace("p AS (SELECT p_partkey", "pa AS (SELECT p_partkey").replace("FROM p JOIN li", "FROM pa JOIN li") + """,
 cand AS (SELECT CAST(s AS INT) AS slot, id, cluster AS clip_cluster, round(0.9 * quality + 1.2 * (1 - abs(intensity - s / 10.0)), 6) AS clip_score FROM lib, range(11) r(s) WHERE usable),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY clip_score DESC, id) AS n FROM cand) WHERE n <= 5),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot, clip_cluster ORDER BY clip_score DESC, id) AS n FROM cand) WHERE n = 1),
 asked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY severity DESC, pos, type) AS n FROM issues WHERE type IN ('weak_in_strong', 'repetition', 'busy_in_calm')),
 aim AS (SELECT a.user_id, a.pos, a.type, plan.cluster, CAST(round(CASE WHEN a.type = 'weak_in_strong' THEN greatest(0.7, rel) ELSE rel END * 10) AS INT) AS slot FROM asked a JOIN plan ON plan.user_id = a.user_id AND plan.pos = a.pos WHERE a.n <= 8)
 SELECT user_id, pos, type, clip_id FROM (SELECT user_id, pos, type, id AS clip_id, row_number() OVER (PARTITION BY user_id, pos, type ORDER BY clip_score DESC, id) AS n2 FROM aim JOIN top USING (slot) WHERE cluster <> clip_cluster) WHERE n2 = 1""")
@@ -109,6 +109,6 @@ def revise_pass(spark, sf_dir):
     lib = library.library(spark, sf_dir).filter("usable").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(10))))
     score = F.round(0.9 * F.col("quality") + 1.2 * (1 - F.abs(F.col("intensity") - F.col("slot") / 10)), 6)
     scored = lib.select("slot", F.struct((-score).alias("s"), F.col("id").alias("clip_id"), F.col("cluster").alias("clip_cluster")).alias("c"))
-    ranked = scored.withColumn("n", F.row_number().over(Window.partitionBy("slot").orderBy("c.s", "c.clip_id"))).filter("n <= 5")
+    ranked = scored.withColumn("n", F.row_number().over(Window.partitionBy("slot", "c.clip_cluster").orderBy("c.s", "c.clip_id"))).filter("n = 1")  # the best of each cluster: a finding rules out one cluster
     top = ranked.select("slot", "c.clip_id", "c.clip_cluster", (-F.col("c.s")).alias("clip_score"))
     return A.replacements(A.issues(p, KEYS), p, top, KEYS)

@@ -84,18 +84,21 @@ def frame_difference(spark, sf_dir):
     return e.select("label", "vec_id", F.when(F.col("p").isNull(), 0.0).otherwise(F.round(gap, 5)).alias("motion"))
 
 
-@query("""WITH f AS (SELECT label, vec_id, CASE WHEN p IS NULL THEN 0.0 ELSE round(list_sum(list_transform(range(64), lambda i: greatest(0.0, CAST(embedding[i + 1] AS DOUBLE) - CAST(p[i + 1] AS DOUBLE)))), 6) END AS flux
+@query("""WITH f AS (SELECT label, vec_id, CASE WHEN p IS NULL THEN 0 ELSE list_sum(list_transform(range(64), lambda i: greatest(0, CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1e9) AS BIGINT) - CAST(round(CAST(p[i + 1] AS DOUBLE) * 1e9) AS BIGINT)))) END AS flux
   FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)),
-n AS (SELECT label, vec_id, round(flux / (max(flux) OVER (PARTITION BY label) + 1e-9), 6) AS x FROM f)
-SELECT label, vec_id, round(0.25 * coalesce(lag(x) OVER w, 0) + 0.5 * x + 0.25 * coalesce(lead(x) OVER w, 0), 6) AS onset FROM n WINDOW w AS (PARTITION BY label ORDER BY vec_id)""")
+n AS (SELECT label, vec_id, CAST(flux AS HUGEINT) AS x, CAST(max(flux) OVER (PARTITION BY label) AS HUGEINT) AS most FROM f)
+SELECT label, vec_id, CASE WHEN most = 0 THEN 0.0 ELSE CAST(((coalesce(lag(x) OVER w, 0) + 2 * x + coalesce(lead(x) OVER w, 0)) * 1000000 + 2 * most) // (4 * most) AS DOUBLE) / 1e6 END AS onset FROM n WINDOW w AS (PARTITION BY label ORDER BY vec_id)""")
 def spectral_flux(spark, sf_dir):
+    """Positive change from frame to frame as a share of the largest, smoothed by 0.25, 0.5, 0.25; in integers up to the last step, so the sums don't depend on their order."""
     w = Window.partitionBy("label").orderBy("vec_id")
     e = library.embeddings(spark, sf_dir).withColumn("p", F.lag("embedding").over(w))
-    rise = F.aggregate(F.zip_with("embedding", "p", lambda a, b: F.greatest(F.lit(0.0), a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    f = e.select("label", "vec_id", F.when(F.col("p").isNull(), 0.0).otherwise(F.round(rise, 6)).alias("flux"))
-    x = f.withColumn("x", F.round(F.col("flux") / (F.max("flux").over(Window.partitionBy("label")) + X.EPS), 6))
-    side = lambda f_: F.coalesce(f_("x").over(w), F.lit(0.0))
-    return x.select("label", "vec_id", F.round(0.25 * side(F.lag) + 0.5 * F.col("x") + 0.25 * side(F.lead), 6).alias("onset"))
+    fixed = lambda x: F.round(x.cast("double") * 1e9).cast("long")
+    rise = F.aggregate(F.zip_with("embedding", "p", lambda a, b: F.greatest(F.lit(0), fixed(a) - fixed(b))), F.lit(0).cast("long"), lambda s, x: s + x)
+    f = e.select("label", "vec_id", F.coalesce(rise, F.lit(0)).cast("decimal(20,0)").alias("x"))
+    x = f.withColumn("most", F.max("x").over(Window.partitionBy("label")))
+    side = lambda f_: F.coalesce(f_("x").over(w), F.lit(0))
+    share = F.expr("CAST((total * 1000000 + 2 * most) div (4 * most) AS DOUBLE) / 1e6")
+    return x.withColumn("total", side(F.lag) + 2 * F.col("x") + side(F.lead)).select("label", "vec_id", F.when(F.col("most") == 0, 0.0).otherwise(share).alias("onset"))
 
 
 @query(library.LIBRARY + "SELECT id, CAST(greatest(1, least(6, 1 + floor(dur * 4 / 2) + CASE WHEN intensity > 0.5 THEN 2 ELSE 0 END)) AS INT) AS n_keyframes FROM lib")
@@ -118,14 +121,17 @@ def flash_frames(spark, sf_dir):
     return strong.unionByName(d.select("track", "i")).select("track", X.frames(F.col("i"), 30).alias("frame")).distinct()
 
 
-@query(audits.PLAN + """, a AS (SELECT user_id, CAST(greatest(0, 100 - coalesce(sum(CASE severity WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 9 END), 0)) AS INT) AS a FROM issues WHERE severity >= 2 GROUP BY 1),
-b AS (SELECT user_id, CAST(greatest(0, 100 - 4 * count(*)) AS INT) AS b FROM issues WHERE severity = 1 GROUP BY 1) SELECT user_id, a, b, CAST(floor((a + b) / 2) AS INT) AS score FROM a JOIN b USING (user_id)""")
+@query(audits.PLAN + """, a AS (SELECT user_id, CAST(greatest(0, 100 - coalesce(sum(CASE severity WHEN 2 THEN 5 WHEN 3 THEN 9 END), 0)) AS INT) AS a FROM (SELECT DISTINCT user_id FROM plan) LEFT JOIN (SELECT * FROM issues WHERE severity >= 2) USING (user_id) GROUP BY 1),
+b AS (SELECT user_id, CAST(greatest(0, 100 - 3 * count(*)) AS INT) AS b FROM issues WHERE severity = 1 GROUP BY 1)
+SELECT user_id, a, b, CAST(round_even((a + coalesce(b, a)) / 2.0, 0) AS INT) AS score FROM a LEFT JOIN b USING (user_id)""")
 def blended_scores(spark, sf_dir):
-    """Two critics' scores of one plan, and their mean."""
-    found = store.written(audits.A.issues(audits.plan(spark, sf_dir), audits.KEYS), "issues")
-    a = found.filter("severity >= 2").groupBy("user_id").agg(F.greatest(F.lit(0), 100 - F.sum(X.penalty(F.col("severity")))).cast("int").alias("a"))
-    b = found.filter("severity = 1").groupBy("user_id").agg(F.greatest(F.lit(0), 100 - 4 * F.count("*")).cast("int").alias("b"))
-    return a.join(b, "user_id").select("user_id", "a", "b", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("score"))
+    """Two critics' scores of one plan, and their mean, half to even; where the second has none, the first stands for it."""
+    p = audits.plan(spark, sf_dir)
+    found = store.written(audits.A.issues(p, audits.KEYS), "issues")
+    lost = found.filter("severity >= 2").groupBy("user_id").agg(F.sum(X.penalty(F.col("severity"))).alias("lost"))
+    a = p.select("user_id").distinct().join(lost, "user_id", "left").select("user_id", F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("int").alias("a"))
+    b = found.filter("severity = 1").groupBy("user_id").agg(F.greatest(F.lit(0), 100 - 3 * F.count("*")).cast("int").alias("b"))
+    return a.join(b, "user_id", "left").select("user_id", "a", "b", F.bround((F.col("a") + F.coalesce("b", "a")) / 2).cast("int").alias("score"))
 
 
 @query("SELECT doc_id, sha1(coalesce(source, '') || ':' || CAST(n_chars AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR) || coalesce(lang, '')) AS key FROM documents")
@@ -152,11 +158,13 @@ def transition_entrance(spark, sf_dir):
     return p.groupBy("transition", "f").agg(F.count("*").alias("n"), F.round(F.avg(opacity), 6).alias("opacity"), F.round(F.avg(scale), 6).alias("scale"))
 
 
-@query(timeline.PLAN + """, c AS (SELECT user_id, pos, track_start, duration, CAST(t AS INT) AS f FROM plan, range(0, 60, 10) r(t) WHERE t < duration)
-SELECT user_id, pos, f, round(least(1 - power(1 - greatest(0.0, least(1.0, f / 12.0)), 3), greatest(0.0, least(1.0, (duration - f) / 10.0))), 6) AS opacity, round(1.06 + 0.1 * f / duration, 6) AS zoom FROM c WHERE pos % 5 = 0""".replace("1 - power(1 - greatest(0.0, least(1.0, f / 12.0)), 3)", "1 - (1 - greatest(0.0, least(1.0, f / 12.0))) * (1 - greatest(0.0, least(1.0, f / 12.0))) * (1 - greatest(0.0, least(1.0, f / 12.0)))"))
+@query(timeline.PLAN + """, c AS (SELECT DISTINCT user_id, pos, duration, f FROM (SELECT user_id, pos, duration, CAST(unnest(list_concat(range(0, least(13, duration)), range(greatest(0, duration - 10), duration))) AS INT) AS f FROM plan)),
+o AS (SELECT *, greatest(0.0, least(1.0, f / 12.0)) AS p, greatest(0.0, least(1.0, (duration - f) / 10.0)) AS q FROM c)
+SELECT user_id, pos, f, round(least(1 - (1 - p) * (1 - p) * (1 - p), q), 6) AS opacity, round(1.06 + 0.1 * f / duration, 6) AS zoom FROM o""")
 def caption_envelope(spark, sf_dir):
-    """Opacity of a caption (eased in over 12 frames, out over the last 10) and the zoom beside it, for every fifth clip of a user."""
-    c = timeline.plan(spark, sf_dir).filter("pos % 5 = 0").withColumn("f", F.explode(F.sequence(F.lit(0), F.least(F.lit(50), F.col("duration") - 1), F.lit(10))))
+    """Opacity of a caption (eased in over 12 frames, out over the last 10) and the zoom beside it, at every frame of both ramps; between them both stay on their lines."""
+    ramps = F.array_distinct(F.concat(F.sequence(F.lit(0), F.least(F.lit(12), F.col("duration") - 1)), F.sequence(F.greatest(F.lit(0), F.col("duration") - 10), F.col("duration") - 1)))
+    c = timeline.plan(spark, sf_dir).withColumn("f", F.explode(ramps))
     opacity = F.least(X.ease_out(X.clamp01(F.col("f") / 12.0)), X.clamp01((F.col("duration") - F.col("f")) / 10.0))
     return c.select("user_id", "pos", "f", F.round(opacity, 6).alias("opacity"), F.round(1.06 + 0.1 * F.col("f") / F.col("duration"), 6).alias("zoom"))
 

@@ -65,11 +65,11 @@ def presence_coalesce(spark, sf_dir):
     return I.coalesced(speech(spark, sf_dir), ["conv_id", "role"], 9.0)
 
 
-@query(SPEECH + """, shots AS (SELECT conv_id, CAST(n AS INT) AS shot, n * 15.0 AS a, n * 15.0 + 5 AS b FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY 1), range(0, 1000) r(n) WHERE n <= m)
+@query(SPEECH + """, shots AS (SELECT conv_id, CAST(n AS INT) AS shot, n * 15.0 AS a, n * 15.0 + 5 AS b FROM (SELECT conv_id, unnest(range(0, CAST(max(turn) AS BIGINT) + 1)) AS n FROM conversations GROUP BY 1))
 SELECT conv_id, shot, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM shots s WHERE EXISTS (SELECT 1 FROM presence p WHERE p.conv_id = s.conv_id AND p.role = 'assistant' AND s.a <= p."end" AND s.b >= p.start)""")
 def presence_semi(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
-    last = F.least(F.col("m"), F.lit(999)).cast("int")
+    last = F.col("m").cast("int")
     shots = talk.groupBy("conv_id").agg(F.max("turn").alias("m")).filter("m >= 0").withColumn("shot", F.explode(F.sequence(F.lit(0), last))).select("conv_id", "shot", (F.col("shot") * 15.0).alias("a"), (F.col("shot") * 15.0 + 5).alias("b"))
     there = I.coalesced(speech(spark, sf_dir).filter("role = 'assistant'"), ["conv_id", "role"], 9.0).drop("role")
     keyed = shots.withColumn("key", F.struct("conv_id", "shot"))

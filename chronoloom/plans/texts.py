@@ -29,10 +29,10 @@ def lrc_parse(spark, sf_dir):
     return P.lyric_lines(stamped(spark, sf_dir), ["user_id"], "text")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS BIGINT) AS s FROM events WHERE event_id % 3 = 0)
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS BIGINT) AS s FROM events)
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS cue_no, s % 86400 + 0.25 AS start, s % 86400 + 1.5 AS "end", event_type || ' again' AS text FROM e""".replace("s % 86400 + 0.25 AS start", "CAST(s % 86400 + 0.25 AS DOUBLE) AS start").replace("s % 86400 + 1.5 AS", "CAST(s % 86400 + 1.5 AS DOUBLE) AS"))
 def srt_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("user_id", "event_id", "event_type", seconds().cast("long").alias("s")).withColumn("d", F.col("s") % 86400)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seconds().cast("long").alias("s")).withColumn("d", F.col("s") % 86400)
     clock = lambda ms: F.format_string("%02d:%02d:%02d,%03d", (F.col("d") / 3600).cast("int"), (F.col("d") / 60).cast("int") % 60, F.col("d") % 60 + (1 if ms == 1500 else 0), F.lit(ms % 1000))
     block = F.concat(F.col("event_id").cast("string"), F.lit("\n"), clock(250), F.lit(" --> "), clock(1500), F.lit("\n<i>"), F.col("event_type"), F.lit("</i>\nagain"))
     joined = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
@@ -40,14 +40,14 @@ def srt_parse(spark, sf_dir):
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as cues: a capitalised label (each fifth a sound), the text's first words, and a sound."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"[\s\[\]]+"), 1, 5), " ").alias("words"))
+    """Turns as cues: a capitalised label (each fifth a sound), the text without brackets, and a sound."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(F.split(F.coalesce("text", F.lit("")), r"[\s\[\]]+"), " ").alias("words"))
     label = F.when(F.col("turn") % 5 == 4, F.lower("role")).otherwise(F.initcap("role"))
     return P.labelled(c.withColumn("text", F.concat(F.lit("["), label, F.lit("] "), F.col("words"), F.lit(" [Door Slams]"))), "text", ("user", "assistant"))
 
 
 SPOKEN = r"""
-WITH c AS (SELECT conv_id, turn, role, array_to_string(list_slice(regexp_split_to_array(coalesce(text, ''), '[\s\[\]]+'), 1, 5), ' ') AS words FROM conversations),
+WITH c AS (SELECT conv_id, turn, role, array_to_string(regexp_split_to_array(coalesce(text, ''), '[\s\[\]]+'), ' ') AS words FROM conversations),
 s AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN role IN ('user', 'assistant') THEN role ELSE 'other' END AS speaker,
   CASE WHEN turn % 5 = 4 THEN role || ',door slams' ELSE 'door slams' END AS sounds, nullif(trim(regexp_replace(words, '\s+', ' ', 'g')), '') AS dialogue FROM c)
 """
