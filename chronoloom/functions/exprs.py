@@ -137,3 +137,41 @@ def source_window(lo: Column, hi: Column, peak: Column, slot: Column, force_spee
 
 def penalty(severity: Column) -> Column:
     return F.when(severity == 1, PENALTY[1]).when(severity == 2, PENALTY[2]).when(severity == 3, PENALTY[3]).otherwise(0)
+
+
+def effects(action: Column, strong: Column, drop: Column, kenburns: Column, shake: Column, flash: Column) -> Column:
+    """Effects of a clip in their order, as its profile allows them."""
+    return F.array_compact(F.array(F.when(~action & kenburns, "kenburns"), F.when(action & shake & (strong | drop), "shake"), F.when(drop & flash, "flash")))
+
+
+def pulse(frame: Column, peak: float, last: int) -> Column:
+    """A flash: 0, ``peak`` at frame 1, back to 0 at frame ``last``."""
+    f = frame.cast("double")
+    return F.when(f <= 1, clamp01(f) * peak).otherwise(peak * clamp01((last - f) / (last - 1.0)))
+
+
+def source_trim(source_start: Column, lead: Column, fps: float) -> Column:
+    """The source frame to begin at: half up, earlier by the lead, not below 0."""
+    return F.greatest(F.lit(0), F.floor(source_start * fps + 0.5) - lead).cast("int")
+
+
+def action_of(record: Column, default: str = "replace") -> Column:
+    """An action struct from a VARIANT that is an object, a bare name or nothing."""
+    name = F.when(F.schema_of_variant(record) == "STRING", F.try_variant_get(record, "$", "string")).otherwise(F.try_variant_get(record, "$.action", "string"))
+    return F.struct(F.coalesce(name, F.lit(default)).alias("action"), F.try_variant_get(record, "$.clipId", "string").alias("clip_id"))
+
+
+def float_range(start: Column, stop: Column, step: Column) -> Column:
+    """start, start + step and so on below ``stop``, each from the one before (so rounding adds up as in a loop)."""
+    n = F.greatest(F.lit(0), F.ceil((stop - start) / step) + 1).cast("int")
+    grown = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(start.cast("double")), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + step)))
+    return F.when(start < stop, F.filter(grown, lambda t: t < stop)).otherwise(F.array().cast("array<double>"))
+
+
+def hue_bin(r: Column, g: Column, b: Column) -> Column:
+    """One of 72 bins, 8 hues x 3 saturations x 3 values, of a colour with shares 0 to 1; the last of equal largest channels counts."""
+    most, least_ = F.greatest(r, g, b), F.least(r, g, b)
+    gap = most - least_ + EPS
+    hue = F.when(most == b, (r - g) / gap + 4).when(most == g, (b - r) / gap + 2).otherwise(F.pmod((g - b) / gap, F.lit(6.0)))
+    part = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(x * n)))
+    return (part(F.pmod(hue / 6, F.lit(1.0)), 8) * 9 + part(gap / (most + EPS), 3) * 3 + part(most, 3)).cast("int")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +160,31 @@ def long_runs(rows: DataFrame, keys: Sequence[str], order: str, flag: Column, le
     marked = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
     runs = islands(marked.withColumn("_b", F.lag("_f").over(w)), keys, F.col("_b") != F.col("_f"), "_run", order)
     return runs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))).filter(F.col("_f") & (F.col("_n") >= least)).drop("_f", "_b", "_run", "_n")
+
+
+def spectrum(signal: DataFrame, keys: Sequence[str], value: str, width: int = 1024, hop: int = 512) -> DataFrame:
+    """keys, frame, magnitude: spectra of frames of ``width`` samples, every ``hop``, under a Hann window.
+
+    ``value`` is an array of samples, one row a piece of signal; a short one is
+    padded with zeros to one frame, a tail of less than a frame is left out.
+    """
+
+    def run(batches):
+        window = np.hanning(width)
+        for batch in batches:
+            names = batch.schema.names[:-2]
+            samples = [np.asarray(x, dtype=float) for x in batch.column(len(names)).to_pylist()]
+            at, frame, out = [], [], []
+            for k, y in enumerate(samples):
+                y = np.pad(y, (0, max(0, width - len(y))))
+                n = 1 + (len(y) - width) // hop
+                place = np.arange(width)[None, :] + hop * np.arange(n)[:, None]
+                at += [k] * n
+                frame += range(n)
+                out += list(np.abs(np.fft.rfft(y[place] * window, axis=1)))
+            kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(frame, pa.int32()), pa.array([m.tolist() for m in out], pa.list_(pa.float64()))], names=[*names, "frame", "magnitude"])
+
+    rows = signal.filter(F.col(value).isNotNull()).select(*keys, F.transform(value, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("samples"), F.lit(0).alias("unused"))
+    schema = ", ".join(f"`{k}` {dict(signal.dtypes)[k]}" for k in keys)
+    return rows.mapInArrow(run, f"{schema}, frame int, magnitude array<double>")

@@ -1,10 +1,9 @@
-"""Frame-level evaluation of a timeline, captions, and greedy assignment of clips to slots."""
+"""Frame-level evaluation of a timeline, and captions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +29,17 @@ def topmost(active: DataFrame, keys: Sequence[str], frame: str = "frame", pos: s
     return active.groupBy(*keys, frame).agg(F.max(pos).alias(pos), F.count("*").alias("n_layers"))
 
 
+def change_points(spans: DataFrame, keys: Sequence[str], start: str, length: Column, frame: str = "frame") -> DataFrame:
+    """keys, frame: where a span begins or ends; between two of them nothing changes, so these frames stand for all."""
+    return spans.select(*keys, F.explode(F.array(F.col(start), F.col(start) + length)).alias(frame)).withColumn(frame, F.col(frame).cast("int")).filter(F.col(frame) >= 0).distinct()
+
+
+def ramp_frames(ducks: DataFrame, keys: Sequence[str], ramp: int = 9, frame: str = "frame") -> DataFrame:
+    """keys, frame: every frame of each duck's two ramps; elsewhere the curve is flat."""
+    down, up = F.sequence(F.col("start") - ramp, F.col("start")), F.sequence(F.col("start") + F.col("dur"), F.col("start") + F.col("dur") + ramp)
+    return ducks.select(*keys, F.explode(F.concat(down, up)).alias(frame)).withColumn(frame, F.col(frame).cast("int")).filter(F.col(frame) >= 0).distinct()
+
+
 def ducked(frames: DataFrame, ducks: DataFrame, keys: Sequence[str], base: float, width: int, ramp: int = 9) -> DataFrame:
     """keys, frame, volume: the least over all ducks, ``base`` where none reaches."""
     wide = ducks.withColumn("_start", F.col("start") - ramp)
@@ -47,36 +57,3 @@ def chunks(totals: DataFrame, keys: Sequence[str], total: str, size: int) -> Dat
     """keys, first, last: frames in chunks of ``size``."""
     rows = totals.filter(F.col(total) > 0).withColumn("first", F.explode(F.sequence(F.lit(0), F.col(total) - 1, F.lit(size))))
     return rows.select(*keys, "first", F.least(F.col("first") + size - 1, F.col(total) - 1).alias("last"))
-
-
-def assigned(slots: DataFrame, shortlist: DataFrame, key: str, no_repeat: int = 3, max_reuse: int = 2) -> DataFrame:
-    """Greedy assignment, a timeline at a time: key, slot, clip_id, score.
-
-    ``slots`` has key, slot, rel; ``shortlist`` has band, clip_id, cluster,
-    score (the state-free part).  Terms that depend on earlier choices (uses,
-    the neighbour's cluster, clips used shortly before) are a small loop over
-    one timeline's slots; timelines are spread over the cluster by key.
-    """
-    pairs = slots.withColumn("band", F.round(F.col("rel") * 10).cast("int")).join(shortlist, "band").select(key, "slot", "clip_id", "cluster", "score")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        uses: dict[int, int] = {}
-        last: dict[int, int] = {}
-        before, out = None, []
-        for slot, options in frame.sort_values(["slot", "clip_id"]).groupby("slot", sort=True):
-            best = None
-            for o in options.itertuples():
-                if o.clip_id in last and slot - last[o.clip_id] < no_repeat:
-                    continue
-                s = o.score - 2.5 * (o.cluster == before) - 0.5 * uses.get(o.clip_id, 0) - 4 * (uses.get(o.clip_id, 0) >= max_reuse)
-                if best is None or s > best[0]:
-                    best = (s, o.clip_id, o.cluster)
-            if best is None:
-                o = max(options.itertuples(), key=lambda o: (o.score - 0.5 * uses.get(o.clip_id, 0), -o.clip_id))
-                best = (o.score - 0.5 * uses.get(o.clip_id, 0), o.clip_id, o.cluster)
-            s, clip, before = best
-            uses[clip], last[clip] = uses.get(clip, 0) + 1, slot
-            out.append((frame[key].iloc[0], slot, clip, round(s, 4)))
-        return pd.DataFrame(out, columns=[key, "slot", "clip_id", "score"])
-
-    return pairs.groupBy(key).applyInPandas(one, f"{key} {dict(pairs.dtypes)[key]}, slot int, clip_id long, score double")
