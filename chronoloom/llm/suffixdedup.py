@@ -150,12 +150,14 @@ class Block:
         self.runs = Runs(self.text, self.starts, self.ends, self.judged, length)
 
 
-#: Entries of packets: an anchor's hash and the least and greatest document that have it; a segment and its least document.
-ANCHORS = pa.schema([("hash", pa.uint64()), ("lo", pa.int64()), ("hi", pa.int64())])
+#: Entries of packets: 48 bits of an anchor's hash (a collision only keeps a segment for the second round), the least document
+#: that has it and whether others do; a segment and its least document.
+ANCHORS = pa.schema([("hash", pa.uint64()), ("lo", pa.int64()), ("several", pa.uint8())])
+ANCHOR_BITS = np.uint64((1 << 48) - 1)
 SEGMENTS = pa.schema([("hash", pa.uint64()), ("doc", pa.int64()), ("segment", pa.binary())])
 
 
-def distinct_anchors(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+def distinct_anchors(hashes: np.ndarray, lo: np.ndarray, several: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
     """Distinct entries, and which of them each row has."""
     order = np.argsort(hashes, kind="stable")
     new = np.ones(len(order), dtype=bool)
@@ -163,8 +165,11 @@ def distinct_anchors(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tupl
     which = np.empty(len(order), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
     at = np.nonzero(new)[0]
-    columns = [hashes[order[at]], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)] if len(at) else [hashes, lo, hi]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=ANCHORS), which
+    if not len(at):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, lo, several)], schema=ANCHORS), which
+    first, last = np.minimum.reduceat(lo[order], at), np.maximum.reduceat(lo[order], at)
+    more = np.maximum.reduceat(several[order], at) | (first != last).astype(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array(hashes[order[at]]), pa.array(first), pa.array(more)], schema=ANCHORS), which
 
 
 def distinct_segments(hashes: np.ndarray, docs: np.ndarray, segments: pa.DictionaryArray) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -185,7 +190,7 @@ class AnchorWork:
     @staticmethod
     def of_block(b: Block) -> tuple[pa.RecordBatch, np.ndarray]:
         docs = b.ids[b.runs.doc]
-        return distinct_anchors(b.runs.hash, docs, docs)
+        return distinct_anchors(b.runs.hash & ANCHOR_BITS, docs.astype(np.int64), np.zeros(len(docs), dtype=np.uint8))
 
     @staticmethod
     def gathered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -193,7 +198,7 @@ class AnchorWork:
 
     @staticmethod
     def judged(entries: pa.RecordBatch, length: int, batch: int) -> np.ndarray:
-        return (entries.column("lo").to_numpy() != entries.column("hi").to_numpy()).astype(np.uint8)
+        return entries.column("several").to_numpy()
 
     @staticmethod
     def passed_on(rows: pa.RecordBatch, entries: pa.RecordBatch, which: np.ndarray, answers: np.ndarray) -> np.ndarray:
@@ -342,10 +347,16 @@ PACKET = "sender long, bucket long, size long, payload binary"
 REPLY = "sender long, bucket long, answer binary"
 
 
-def packets(entries: pa.RecordBatch, sender: int, bucket: int, level: int, fan: int) -> pa.RecordBatch:
+def without_hash(entries: pa.RecordBatch) -> pa.RecordBatch:
+    """Zeros for hashes that nobody reads any more: they are most of what can't be compressed."""
+    return entries.set_column(0, entries.schema.field(0), pa.array(np.zeros(len(entries), dtype=np.uint64)))
+
+
+def packets(entries: pa.RecordBatch, sender: int, bucket: int, level: int, fan: int, last: bool = False) -> pa.RecordBatch:
     out: dict[str, list] = {"sender": [], "bucket": [], "size": [], "payload": []}
     for digit, part in by_digit(entries, level, fan):
         mine = entries.take(pa.array(part))
+        mine = without_hash(mine) if last and entries.schema.equals(SEGMENTS) else mine
         out["sender"].append(sender)
         out["bucket"].append(bucket * fan + digit)
         out["size"].append(mine.nbytes)
@@ -390,7 +401,7 @@ def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int,
             for group in in_groups(1)(batches):
                 rows, _ = concatenated([g[4] for g in group], work.schema)
                 entries, _ = work.gathered(rows)
-                yield packets(entries, group[0][0], group[0][3], level, fan)
+                yield packets(entries, group[0][0], group[0][3], level, fan, level == levels - 1)
 
         sent = mine.repartition("unit").sortWithinPartitions("unit", "sender").mapInArrow(regroup, PACKET)
 
@@ -459,7 +470,7 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
         for rows in batches:
             for b, block, found in loaded(rows):
                 keep_shared(b, found)
-                yield packets(SegmentWork.of_block(b)[0], block, 0, 0, fan)
+                yield packets(SegmentWork.of_block(b)[0], block, 0, 0, fan, levels == 1)
 
     dealt = blocks.repartition(tasks, "block")
     sent = dealt.join(marks.repartition(tasks, "block"), "block").select(*BLOCK, "block", "marks").mapInArrow(segments, PACKET)
