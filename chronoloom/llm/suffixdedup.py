@@ -49,6 +49,7 @@ from chronoloom.llm.jaccard import in_groups
 GRAM = 20
 STRETCH = 1 << 20
 MOST_TASKS = 50_000
+TASK_BYTES = 2 << 20
 
 
 def pack(data: bytes) -> bytes:
@@ -386,7 +387,7 @@ def concatenated(payloads: list[bytes], schema: pa.Schema) -> tuple[pa.RecordBat
     return batch, np.cumsum([0] + [len(t) for t in tables])
 
 
-def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int, fan: int, unit_bytes: int) -> DataFrame:
+def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int, fan: int, unit_bytes: int, size: int) -> DataFrame:
     """Replies to the packets ``sent`` by blocks: sender, bucket, answer."""
     stages = []
     for level in range(1, levels):
@@ -412,8 +413,8 @@ def answered(sent: DataFrame, work: type, levels: int, length: int, batch: int,
             answers = work.passed_on(rows, entries, which, work.judged(entries, length, batch))
             yield reply_batch([(g[1], g[0], answers[a:z]) for g, a, z in zip(group, at[:-1], at[1:], strict=True)])
 
-    # two partitions a bucket, so that few tasks get several; a given number is not coalesced
-    tasks = min(2 * fan**levels, MOST_TASKS)
+    # by the text's size, up to two partitions a bucket, so that few tasks get several; a given number is not coalesced
+    tasks = max(1, min(2 * fan**levels, -(-size // TASK_BYTES), MOST_TASKS))
     replies = sent.select("bucket", "sender", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket", "sender").mapInArrow(judge, REPLY)
     for level, mine in reversed(stages):
         back = replies.select(F.col("sender").alias("unit"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("sender"), "bucket", F.col("answer").alias("payload"))
@@ -464,7 +465,7 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
             for b, block in loaded(rows):
                 yield packets(AnchorWork.of_block(b)[0], block, 0, 0, fan)
 
-    marks = per_block(answered(blocks.select(*BLOCK, "block").mapInArrow(anchors, PACKET), AnchorWork, levels, length, batch, fan, block_bytes), "marks")
+    marks = per_block(answered(blocks.select(*BLOCK, "block").mapInArrow(anchors, PACKET), AnchorWork, levels, length, batch, fan, block_bytes, size), "marks")
 
     def segments(batches):
         for rows in batches:
@@ -474,7 +475,7 @@ def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket
 
     dealt = blocks.repartition(tasks, "block")
     sent = dealt.join(marks.repartition(tasks, "block"), "block").select(*BLOCK, "block", "marks").mapInArrow(segments, PACKET)
-    hits = per_block(answered(sent, SegmentWork, levels, length, batch, fan, 4 * block_bytes), "hits")
+    hits = per_block(answered(sent, SegmentWork, levels, length, batch, fan, 4 * block_bytes, size), "hits")
 
     def cut(batches):
         for rows in batches:
