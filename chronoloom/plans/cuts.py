@@ -69,7 +69,7 @@ def flash_curves(spark, sf_dir):
 
 @query(timeline.PLAN + """, t AS (SELECT user_id, pos, transition, total, unnest([0, total // 2, total]) AS f FROM layers),
 p AS (SELECT *, greatest(0.0, least(1.0, f / CAST(total AS DOUBLE))) AS p FROM t)
-SELECT DISTINCT user_id, pos, CAST(f AS INT) AS f, round((1.06 + 0.1 * p) * CASE WHEN transition = 'flash' THEN 1.02 ELSE 1 END, 6) AS scale, round(CASE WHEN pos % 2 = 0 THEN 24 * p ELSE -24 * p END, 6) AS tx, round(10 * p, 6) AS ty, CASE WHEN transition = 'flash' THEN 10 ELSE 0 END AS shake FROM p""")
+SELECT DISTINCT user_id, pos, CAST(f AS INT) AS f, round((1.06 + 0.1 * p) * CASE WHEN transition = 'flash' THEN 1.02 ELSE 1 END, 6) AS scale, round(CASE WHEN pos % 2 = 0 THEN 24 * p ELSE 0.0 - 24 * p END, 6) AS tx, round(10 * p, 6) AS ty, CASE WHEN transition = 'flash' THEN 10 ELSE 0 END AS shake FROM p""")
 def clip_motion(spark, sf_dir):
     """Zoom, drift and shake at a clip's first, middle and last frame; the drift's side is the position's parity instead of a random one."""
     p = T.layers(timeline.plan(spark, sf_dir)).withColumn("f", F.explode(F.array_distinct(F.array(F.lit(0), F.expr("total div 2").cast("int"), F.col("total")))))
