@@ -71,3 +71,57 @@ def replacements(found: DataFrame, plan: DataFrame, candidates: DataFrame, keys:
     aim = first.join(plan.select(*keys, "pos", "cluster", "rel"), [*keys, "pos"]).withColumn("slot", F.round(F.when(F.col("type") == "weak_in_strong", F.greatest(F.lit(0.7), F.col("rel"))).otherwise(F.col("rel")) * 10).cast("int"))
     hit = aim.join(candidates, "slot").filter(F.col("cluster") != F.col("clip_cluster"))
     return hit.groupBy(*keys, "pos", "type").agg(F.max_by("clip_id", F.struct("clip_score", -F.col("clip_id"))).alias("clip_id"))
+
+
+def merged(found: DataFrame, plan: DataFrame, keys: Sequence[str], most: int = 8) -> DataFrame:
+    """keys, pos, track_start, duration: slots found too short take in the slot after them, ``most`` of them in order.
+
+    A slot that was taken in is gone, its own finding with it: of a run of
+    found slots every other one acts.  The last slot has nothing to take in.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    asked = found.filter(F.col("type") == "over_editing").select(*keys, "pos").distinct().withColumn("_f", F.lit(True))
+    rows = plan.select(*keys, "pos", "track_start", "duration").join(asked, [*keys, "pos"], "left").withColumn("_f", F.coalesce("_f", F.lit(False)))
+    rows = rows.withColumns({"_end": F.lead(F.col("track_start") + F.col("duration")).over(w), "_run": F.sum((~F.col("_f")).cast("int")).over(so_far)})
+    turn = F.row_number().over(Window.partitionBy(*keys, "_run", "_f").orderBy("pos"))
+    rows = rows.withColumn("_act", F.col("_f") & (turn % 2 == 1) & F.col("_end").isNotNull())
+    rows = rows.withColumn("_act", F.col("_act") & (F.sum(F.col("_act").cast("int")).over(so_far) <= most))
+    left = rows.withColumn("_gone", F.coalesce(F.lag("_act").over(w), F.lit(False))).filter(~F.col("_gone"))
+    return left.select(*keys, "pos", "track_start", F.when(F.col("_act"), F.col("_end") - F.col("track_start")).otherwise(F.col("duration")).alias("duration"))
+
+
+def split(found: DataFrame, plan: DataFrame, keys: Sequence[str], beat: int, to: int = 24, margin: int = 4, most: int = 8) -> DataFrame:
+    """keys, pos, part, track_start, duration: slots found too long are cut at the beat nearest to ``to`` frames after their start.
+
+    Beats are ``beat`` frames apart, the earlier one wins ties.  A cut within
+    ``margin`` frames of either end is not made and does not count for ``most``.
+    """
+    asked = found.filter(F.col("type") == "under_editing").select(*keys, "pos").distinct().withColumn("_f", F.lit(True))
+    rows = plan.select(*keys, "pos", "track_start", "duration").join(asked, [*keys, "pos"], "left")
+    start, end = F.col("track_start"), F.col("track_start") + F.col("duration")
+    mid = F.floor((2 * (start + to) + beat - 1) / (2 * beat)).cast("int") * beat
+    rows = rows.withColumn("_mid", F.when(F.col("_f") & (mid > start + margin) & (mid < end - margin), mid))
+    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.col("_mid").isNotNull() & (F.count("_mid").over(so_far) <= most)
+    piece = lambda n, a, b: F.struct(F.lit(n).alias("part"), a.cast("int").alias("track_start"), (b - a).cast("int").alias("duration"))
+    rows = rows.withColumn("_p", F.when(cut, F.array(piece(0, start, F.col("_mid")), piece(1, F.col("_mid"), end))).otherwise(F.array(piece(0, start, end))))
+    return rows.select(*keys, "pos", F.explode("_p").alias("p")).select(*keys, "pos", "p.*")
+
+
+def diversified(plan: DataFrame, order: DataFrame, keys: Sequence[str], most: int = 3) -> DataFrame:
+    """keys, pos, clip_id, new_id: the first ``most`` slots whose clip a plan uses again get the library's first clips that it doesn't use.
+
+    ``plan`` has pos and clip_id, ``order`` clip_id and its rank from 0 among the
+    clips that may be used.  A plan of u clips leaves one of the first u + 1
+    free, so it looks at its first u + ``most`` ranks, not at the library.
+    """
+    uses = F.count("*").over(Window.partitionBy(*keys, "clip_id"))
+    twice = plan.withColumn("_uses", uses).filter("_uses > 1 and clip_id is not null")
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    first = twice.withColumn("_n", n).filter(F.col("_n") <= most).select(*keys, "pos", "clip_id", "_n")
+    mine = plan.select(*keys, "clip_id").distinct()
+    ranks = mine.groupBy(*keys).agg(F.count("*").alias("_u")).withColumn("rank", F.explode(F.sequence(F.lit(0), (F.col("_u") + most - 1).cast("int"))))
+    free = ranks.join(order, "rank").select(*keys, "clip_id", "rank").join(mine, [*keys, "clip_id"], "left_anti")
+    free = free.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter(F.col("_n") <= most)
+    return first.join(free.withColumnRenamed("clip_id", "new_id"), [*keys, "_n"]).select(*keys, "pos", "clip_id", "new_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
 from chronoloom.operators import assign as A
+from chronoloom.operators import audit
 from chronoloom.operators import series as S
 from chronoloom.operators import timeline as T
 from chronoloom.plans import audits, library, timeline
@@ -169,3 +170,46 @@ def edit_plan(spark, sf_dir):
         X.transition_frames(F.col("transition"), F.lit(p.crossfade)).alias("frames"), F.array_join(X.effects(F.col("intensity") > 0.55, level == "high", F.col("drop"), *flags), ",").alias("effects"), "level", F.col("drop").alias("is_drop"),
         F.concat(F.when(F.col("drop"), "DROP ").otherwise(""), F.format_string("%s energy (%.2f) -> intensity %.2f, quality %.2f", "level", "target", "intensity", "quality")).alias("reason"),
     )
+
+
+@query(audits.PLAN + """, beside AS (SELECT p.user_id, p.pos, p.track_start, p.duration, f.pos IS NOT NULL AS f, lead(p.track_start + p.duration) OVER (PARTITION BY p.user_id ORDER BY p.pos) AS next_end
+  FROM plan p LEFT JOIN (SELECT DISTINCT user_id, pos FROM issues WHERE type = 'over_editing') f ON f.user_id = p.user_id AND f.pos = p.pos),
+run_of AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM beside),
+acts AS (SELECT *, f AND row_number() OVER (PARTITION BY user_id, run, f ORDER BY pos) % 2 = 1 AND next_end IS NOT NULL AS act FROM run_of),
+done AS (SELECT *, act AND sum(CASE WHEN act THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) <= 8 AS took FROM acts),
+left_over AS (SELECT *, coalesce(lag(took) OVER (PARTITION BY user_id ORDER BY pos), false) AS gone FROM done)
+SELECT user_id, pos, printf('c%03d', row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1) AS clip_no, track_start, CAST(CASE WHEN took THEN next_end - track_start ELSE duration END AS INT) AS duration FROM left_over WHERE NOT gone""")
+def revise_merge(spark, sf_dir):
+    """A revision's merges: slots of over-edited runs take in the next slot, eight a plan, and the rest is numbered anew."""
+    p = audits.plan(spark, sf_dir)
+    number = F.format_string("c%03d", F.row_number().over(Window.partitionBy("user_id").orderBy("pos")) - 1)
+    return audit.merged(audit.issues(p, audits.KEYS), p, audits.KEYS).select("user_id", "pos", number.alias("clip_no"), "track_start", F.col("duration").cast("int").alias("duration"))
+
+
+@query(audits.PLAN + """, asked AS (SELECT p.user_id, p.pos, p.track_start, p.duration, CASE WHEN f.pos IS NOT NULL THEN (2 * (p.track_start + 24) + 6) // 14 * 7 END AS m
+  FROM plan p LEFT JOIN (SELECT DISTINCT user_id, pos FROM issues WHERE type = 'under_editing') f ON f.user_id = p.user_id AND f.pos = p.pos),
+fits AS (SELECT *, CASE WHEN m > track_start + 4 AND m < track_start + duration - 4 THEN m END AS mid FROM asked),
+cut AS (SELECT *, mid IS NOT NULL AND count(mid) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) <= 8 AS cut FROM fits)
+SELECT user_id, pos, 0 AS part, track_start, CAST(CASE WHEN cut THEN mid - track_start ELSE duration END AS INT) AS duration FROM cut
+UNION ALL SELECT user_id, pos, 1, CAST(mid AS INT), CAST(track_start + duration - mid AS INT) FROM cut WHERE cut""")
+def revise_split(spark, sf_dir):
+    """A revision's splits: strong slots held too long are cut at a beat (seven frames apart), eight a plan."""
+    p = audits.plan(spark, sf_dir)
+    return audit.split(audit.issues(p, audits.KEYS), p, audits.KEYS, beat=7)
+
+
+@query(library.LIBRARY + """, tl AS (SELECT o_custkey AS plan_id, l_partkey AS clip_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey) AS INT) AS pos FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+twice AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pos) AS n FROM (SELECT *, count(*) OVER (PARTITION BY plan_id, clip_id) AS uses FROM tl) WHERE uses > 1),
+ranked AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM lib WHERE usable),
+mine AS (SELECT DISTINCT plan_id, clip_id FROM tl),
+most AS (SELECT plan_id, count(*) + 3 AS most FROM mine GROUP BY 1),
+free AS (SELECT plan_id, id AS new_id, row_number() OVER (PARTITION BY plan_id ORDER BY k) AS n FROM (SELECT most.plan_id, id, k FROM most JOIN ranked ON k <= most.most) c ANTI JOIN mine ON mine.plan_id = c.plan_id AND mine.clip_id = c.id)
+SELECT plan_id, pos, clip_id, new_id FROM twice JOIN free USING (plan_id, n) WHERE n <= 3""")
+def revise_diversify(spark, sf_dir):
+    """A revision's exchange of repeated clips: a customer's lines in order are a plan, their parts its clips."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey"))
+    p = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("plan_id"), F.col("l_partkey").alias("clip_id"), pos.alias("pos"))
+    usable = library.library(spark, sf_dir).filter("usable").select(F.col("id").alias("clip_id")).distinct()
+    return audit.diversified(p, library.numbered(usable, "clip_id", "rank"), ["plan_id"])

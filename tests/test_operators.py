@@ -222,3 +222,27 @@ def test_store(spark, tmp_path):
     assert store.files(spark, str(tmp_path), [".mp4"]).count() == 1
     assert value(spark, store.relative(lit("/r/a\\b"), "/r")) == "a/b" and value(spark, store.relative(lit("/x/a"), "/r")) is None
     assert value(spark, store.input_hash(lit("ab"), lit("c"))) == value(spark, F.sha1(lit("abc")))
+
+
+def test_revision_merges_splits_and_exchanges(spark):
+    from chronoloom.operators import audit
+
+    plan = spark.createDataFrame([("u", i, 10 * i, 10) for i in range(1, 7)] + [("v", 1, 0, 100), ("v", 2, 100, 30), ("v", 3, 130, 28)], "k string, pos int, track_start int, duration int")
+    found = spark.createDataFrame([("u", 2, "over_editing"), ("u", 3, "over_editing"), ("u", 4, "over_editing"), ("u", 6, "over_editing"), ("v", 1, "under_editing"), ("v", 3, "under_editing"), ("v", 1, "under_editing"), ("v", 2, "repetition")], "k string, pos int, type string")
+    # 2 takes 3 in, whose own finding is gone; 4 takes 5 in; 6 is the last
+    got = sorted(map(tuple, audit.merged(found, plan.filter("k = 'u'"), ["k"]).collect()))
+    assert got == [("u", 1, 10, 10), ("u", 2, 20, 20), ("u", 4, 40, 20), ("u", 6, 60, 10)]
+    once = sorted(map(tuple, audit.merged(found, plan.filter("k = 'u'"), ["k"], most=1).collect()))
+    assert once == [("u", 1, 10, 10), ("u", 2, 20, 20), ("u", 4, 40, 10), ("u", 5, 50, 10), ("u", 6, 60, 10)]
+    # 24 lies between beats 20 and 30; 154 is nearest to 150, which leaves 8 frames of the third slot
+    got = sorted(map(tuple, audit.split(found, plan.filter("k = 'v'"), ["k"], beat=10).collect()))
+    assert got == [("v", 1, 0, 0, 20), ("v", 1, 1, 20, 80), ("v", 2, 0, 100, 30), ("v", 3, 0, 130, 20), ("v", 3, 1, 150, 8)]
+    # beat 25: the cut at 150 would leave 8 frames of 28, fewer than the margin of 9
+    got = sorted(map(tuple, audit.split(found, plan.filter("k = 'v'"), ["k"], beat=25, margin=9).collect()))
+    assert got == [("v", 1, 0, 0, 25), ("v", 1, 1, 25, 75), ("v", 2, 0, 100, 30), ("v", 3, 0, 130, 28)]
+    assert audit.merged(found.limit(0), plan.limit(0), ["k"]).count() == 0
+
+    used = spark.createDataFrame([("u", 1, 5), ("u", 2, 7), ("u", 3, 5), ("u", 4, 7), ("u", 5, None), ("u", 6, None), ("w", 1, 5)], "k string, pos int, clip_id long")
+    order = spark.createDataFrame([(5, 0), (6, 1), (7, 2), (8, 3), (9, 4), (10, 5)], "clip_id long, rank int")
+    got = sorted(map(tuple, audit.diversified(used, order, ["k"]).collect()))
+    assert got == [("u", 1, 5, 6), ("u", 2, 7, 8), ("u", 3, 5, 9)]
