@@ -225,8 +225,6 @@ def test_store(spark, tmp_path):
 
 
 def test_revision_merges_splits_and_exchanges(spark):
-    from chronoloom.operators import audit
-
     plan = spark.createDataFrame([("u", i, 10 * i, 10) for i in range(1, 7)] + [("v", 1, 0, 100), ("v", 2, 100, 30), ("v", 3, 130, 28)], "k string, pos int, track_start int, duration int")
     found = spark.createDataFrame([("u", 2, "over_editing"), ("u", 3, "over_editing"), ("u", 4, "over_editing"), ("u", 6, "over_editing"), ("v", 1, "under_editing"), ("v", 3, "under_editing"), ("v", 1, "under_editing"), ("v", 2, "repetition")], "k string, pos int, type string")
     # 2 takes 3 in, whose own finding is gone; 4 takes 5 in; 6 is the last
