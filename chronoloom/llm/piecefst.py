@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from chronoloom.llm.common import with_text_columns
+from chronoloom.llm.common import position, with_text_columns
 
 META = "▁"
 # Fixed values of the model format: kinds of piece, kinds of model.
@@ -308,5 +308,10 @@ def with_decoded(df: DataFrame, model_path: str, ids_col: str = "ids", into: str
         machine = compiled(model_path)
         return lambda rows: [[machine.decode(np.array([int(x) for x in r.split(",") if x], dtype="<u4").tobytes()) for r in rows]]
 
-    as_text = df.withColumn("_ids_text", F.array_join(F.col(ids_col).cast("array<string>"), ","))
-    return with_text_columns(as_text, make, [(into, T.StringType(), pa.string())], "_ids_text").drop("_ids_text")
+    names, joined = df.columns, "joined"
+    while joined in (c.lower() for c in [*names, into]):
+        joined += "_"
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    ids = F.col(f"c{position(names, ids_col)}").cast("array<string>")
+    as_text = plain.withColumn(joined, F.array_join(ids, ",")).toDF(*names, joined)
+    return with_text_columns(as_text, make, [(into, T.StringType(), pa.string())], joined).drop(joined)

@@ -12,7 +12,7 @@ The model is fitted on a bounded sample: ``max_texts`` labelled texts (of which
 at most ``toxic_share`` toxic), each of at most ``max_chars`` characters, and
 ``max_windows`` windows a text.  Scoring covers every whole text; as averaging
 and the softmax are linear, a word's part of the score is a mean over its
-n-grams, computed for a batch of texts at once.
+n-grams, computed for a batch of texts, or a piece of a very long one, at once.
 
 Edge cases: a text without words (null, empty) gets the score of no evidence;
 texts with several labels count by their highest; null labels and null ids
@@ -132,6 +132,18 @@ def window_starts(n: int, s: Settings) -> np.ndarray:
     return np.arange(0, max(n - s.window, 0) + s.stride, s.stride) if n > s.window else np.zeros(1, dtype=np.int64)
 
 
+def pieces(text: str, most: int):
+    """``text`` cut before spaces and line breaks, where no word and no n-gram goes on, into pieces of at most ``most`` characters (a longer run without either stays whole)."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(c, at + 1, at + most) for c in " \n")
+        if cut < 0:
+            cut = min((p for c in " \n" if (p := text.find(c, at + most)) >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -141,16 +153,19 @@ class Model:
     length_slope: float
     intercept: float
 
-    def evidences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence and number of words of each text."""
-        evidence, length = [], []
-        for i, j in groups_by_bytes([len(t) for t in texts], 1 << 19):
-            b = bags(texts[i:j], self.settings)
-            parts = word_means(b, self.gram_logit)
-            at = np.concatenate([[0], np.cumsum(b.n_words)])
-            evidence += [self.evidence(parts[k:m]) for k, m in zip(at[:-1], at[1:], strict=True)]
-            length += b.n_words.tolist()
-        return np.array(evidence), np.array(length, dtype=np.int64)
+    def evidences(self, texts: list[str], most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence and number of words of each text; n-grams of at most about ``most`` characters are held at once."""
+        cut = [list(pieces(t, most)) for t in texts]
+        flat = [p for own in cut for p in own]
+        parts, words = [np.zeros(0)], []
+        for i, j in groups_by_bytes([len(p) for p in flat], most):
+            b = bags(flat[i:j], self.settings)
+            parts.append(word_means(b, self.gram_logit))
+            words += b.n_words.tolist()
+        by_piece = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+        at = by_piece[np.concatenate([[0], np.cumsum([len(own) for own in cut], dtype=np.int64)])]
+        part = np.concatenate(parts)
+        return np.array([self.evidence(part[k:m]) for k, m in zip(at[:-1], at[1:], strict=True)]), np.diff(at)
 
     def evidence(self, parts: np.ndarray) -> float:
         """Logit of the best window, from the words' parts."""

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -34,6 +35,25 @@ def test_unseen_forms_are_found():
     assert (score[y == 1] >= 0.7).mean() > 0.9 and (score[y == 0] >= 0.7).mean() < 0.05
 
 
+def test_long_texts_are_cut_where_no_word_goes_on():
+    texts, labels = invented(120)
+    model = toxicity.fit(texts, labels)
+    texts += ["", "   ", "x" * 500, "\n\nSnarfulon ΣΑΣ " * 40, "a b\n" + "y" * 300 + " c"]
+    assert all("".join(toxicity.pieces(t, 60)) == t for t in texts)
+    whole, cut = model.evidences(texts), model.evidences(texts, most=60)
+    assert (whole[1] == cut[1]).all() and np.allclose(whole[0], cut[0], atol=1e-9)
+    long = " ".join(texts[1:100:3]) * 400 + " snarfulon grolbam"
+    assert len(long) > 6_000_000
+    tracemalloc.start()
+    evidence, words = model.evidences([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    last = model.evidences([" ".join(toxicity.words_of(long)[-8:])])[0]
+    assert words[0] == len(toxicity.words_of(long)) and evidence[0] >= last[0] - 1e-9
+    assert np.allclose(model.evidences([long], most=1 << 16)[0], evidence, atol=1e-6)
+    assert peak < 300 << 20
+
+
 def test_word_means_equal_a_plain_count():
     s = toxicity.Settings()
     rng = np.random.default_rng(0)

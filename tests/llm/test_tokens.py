@@ -153,4 +153,7 @@ def test_round_trip_edge_cases(spark):
     assert [r.n_pieces for r in got][:2] == [0, 0] and [r.lossless for r in got] == [True, True, False, False]
     back = piecefst.with_decoded(piecefst.with_ids(df, PIECES), PIECES).orderBy("doc_id").collect()
     assert [r.decoded for r in back] == ["", "", "a b", "a b"]
+    clash = spark.createDataFrame([([MODEL.encode("ab")[0]], "j", None), (None, None, "k")], "ids array<int>, JOINED string, _ids_text string")
+    got = piecefst.with_decoded(clash, PIECES)
+    assert got.columns == ["ids", "JOINED", "_ids_text", "decoded"] and sorted((r.decoded, r.JOINED or "") for r in got.collect()) == [("", ""), ("ab", "j")]
     assert piecefst.with_round_trip(df.limit(0), PIECES).count() == 0
