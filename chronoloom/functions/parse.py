@@ -113,3 +113,8 @@ def dotenv(lines: DataFrame, line: str = "value") -> DataFrame:
     t = F.trim(F.col(line))
     parts = F.split(t, "=", 2)
     return lines.filter((t != "") & ~t.startswith("#") & F.contains(t, F.lit("="))).select(F.trim(F.get(parts, 0)).alias("name"), F.regexp_replace(F.trim(F.get(parts, 1)), "^[\"']+|[\"']+$", "").alias("value"))
+
+
+def number_or(text: Column, default: float) -> Column:
+    """A setting as a number; the default where it is missing or no number."""
+    return F.coalesce(F.trim(text).try_cast("double"), F.lit(float(default)))

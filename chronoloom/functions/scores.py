@@ -16,7 +16,7 @@ def slot_score(quality: Column, intensity: Column, impact: Column, duration: Col
 
 
 def arc_score(quality: Column, intensity: Column, duration: Column, rel: Column, slot: Column, fight: Column, emotion: Column, scene: Column, characters: Column, act_emotions: Column, act_characters: Column, present: Column, proxy: Column) -> Column:
-    """Fit of a clip to a slot of an act; an untagged clip (null emotion) is judged by its motion and by who speaks then."""
+    """Fit of a clip to a slot of an act: a tagged one by its tag, an untagged one (null emotion) by its motion, both by who speaks then."""
     base = 0.9 * quality + 0.9 * (1 - F.abs(intensity - rel)) + F.when(fight, intensity).otherwise(-0.6 * intensity)
     here = F.coalesce(F.arrays_overlap(characters, act_characters), F.lit(False))
     some = F.coalesce(F.size(characters) > 0, F.lit(False))
@@ -26,9 +26,9 @@ def arc_score(quality: Column, intensity: Column, duration: Column, rel: Column,
         + F.when(some & here, 1.3).otherwise(0.0)
         + F.when(some & (~here | F.array_contains(characters, "crowd")), -1.2).otherwise(0.0)
     )
-    untagged = F.when(F.array_contains(act_emotions, proxy), 0.5).otherwise(0.0) + F.when(present, 0.7).otherwise(0.0)
+    untagged = F.when(F.array_contains(act_emotions, proxy), 0.5).otherwise(0.0)
     fill = duration / F.nullif(slot, F.lit(0.0))
-    return base + F.when(emotion.isNotNull(), tagged).otherwise(untagged) + F.when(fill < 0.9, -3.2 * (0.9 - fill) / 0.9).otherwise(0.0)
+    return base + F.when(emotion.isNotNull(), tagged).otherwise(untagged) + F.when(present, 0.7).otherwise(0.0) + F.when(fill < 0.9, -3.2 * (0.9 - fill) / 0.9).otherwise(0.0)
 
 
 def tempo(lag: Column, rate: float) -> Column:
@@ -62,6 +62,31 @@ def tag(record: Column) -> Column:
     )
 
 
+# Fields of a general description that are lists, and that are words.
+LISTS = ("subjects", "actions", "objects", "emotion", "clothing", "color_palette", "observed", "inferred")
+WORDS = ("scene", "environment", "setting_kind", "composition", "lighting", "mood")
+
+
+def general(record: Column) -> Column:
+    """A whole description from a VARIANT: lists of what is there (a bare value is a list of one), words or "unknown", text, camera, people_count, confidence."""
+    get = lambda path, kind: F.try_variant_get(record, path, kind)
+    none = F.array().cast("array<string>")
+
+    def listed(name: str) -> Column:
+        kind, bare = F.schema_of_variant(get(f"$.{name}", "variant")), get(f"$.{name}", "string")
+        return F.when(kind.startswith("ARRAY"), F.coalesce(get(f"$.{name}", "array<string>"), none)).when(F.coalesce(bare, F.lit("")) == "", none).otherwise(F.array(bare))
+
+    word = lambda path: F.coalesce(F.nullif(get(path, "string"), F.lit("")), F.lit("unknown"))
+    return F.struct(
+        *[listed(n).alias(n) for n in LISTS],
+        *[word(f"$.{n}").alias(n) for n in WORDS],
+        F.coalesce(get("$.text", "string"), F.lit("")).alias("text"),
+        F.struct(*[word(f"$.camera.{n}").alias(n) for n in ("shot_type", "movement", "angle")]).alias("camera"),
+        get("$.people_count", "int").alias("people_count"),
+        F.coalesce(get("$.confidence", "double"), F.lit(0.0)).alias("confidence"),
+    )
+
+
 def has_model(installed: Column, wanted: str) -> Column:
     """Whether a model is installed under its full name or under the same name before the colon."""
     return F.exists(installed, lambda m: (m == wanted) | (F.split_part(m, F.lit(":"), F.lit(1)) == wanted.split(":")[0]))

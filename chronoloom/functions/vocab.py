@@ -1,8 +1,7 @@
 """Closed vocabularies."""
 
-# Speakers that are told apart in subtitles, and ids that image matching knows.
+# Speakers that are told apart in subtitles.
 SPEAKERS = ("denji", "reze", "makima", "aki", "power", "pochita")
-MATCHED = (*SPEAKERS, "crowd", "other")
 # Emotions and kinds of scene of a tag.
 EMOTIONS = ("tender", "happy", "tense", "action", "fear", "grief", "neutral")
 SCENES = ("dialogue", "action", "establishing", "reaction")

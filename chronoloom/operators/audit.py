@@ -125,3 +125,25 @@ def diversified(plan: DataFrame, order: DataFrame, keys: Sequence[str], most: in
     free = ranks.join(order, "rank").select(*keys, "clip_id", "rank").join(mine, [*keys, "clip_id"], "left_anti")
     free = free.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter(F.col("_n") <= most)
     return first.join(free.withColumnRenamed("clip_id", "new_id"), [*keys, "_n"]).select(*keys, "pos", "clip_id", "new_id")
+
+
+def injected(plan: DataFrame, footage: DataFrame, keys: Sequence[str], most: int = 3) -> DataFrame:
+    """keys, pos, clip_id, impact: strong clips that no plan uses overwrite, one after another, the then weakest of a plan's strong slots.
+
+    ``plan`` has pos, impact and strong, ``footage`` n (order of injection, from
+    1), clip_id and impact; its first ``most`` rows are used.  Only the ``most``
+    weakest slots can be met, so a plan folds over that many.
+    """
+    slot = "struct<impact:double,pos:int,clip_id:bigint>"
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("impact", "pos"))
+    weak = plan.filter("strong").withColumn("_n", rank).filter(F.col("_n") <= most)
+    held = weak.groupBy(*keys).agg(F.collect_list(F.struct(F.col("impact").cast("double"), F.col("pos").cast("int"), F.lit(None).cast("bigint").alias("clip_id")).cast(slot)).alias("_s"))
+    first = footage.filter(F.col("n") <= most).agg(F.array_sort(F.collect_list(F.struct("n", "clip_id", F.col("impact").cast("double").alias("impact")))).alias("_c"))
+
+    def overwrite(slots, clip):
+        weakest = F.array_min(F.transform(slots, lambda s: F.struct(s["impact"], s["pos"])))["pos"]
+        new = F.struct(clip["impact"].alias("impact"), weakest.alias("pos"), clip["clip_id"].cast("bigint").alias("clip_id"))
+        return F.concat(F.filter(slots, lambda s: s["pos"] != weakest), F.array(new.cast(slot)))
+
+    done = held.crossJoin(F.broadcast(first)).withColumn("_s", F.aggregate("_c", F.col("_s"), overwrite))  # one row of at most ``most`` clips
+    return done.select(*keys, F.explode("_s").alias("s")).select(*keys, "s.pos", "s.clip_id", "s.impact").filter("clip_id is not null")

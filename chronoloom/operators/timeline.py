@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.exprs import duck_volume
@@ -57,3 +57,18 @@ def chunks(totals: DataFrame, keys: Sequence[str], total: str, size: int) -> Dat
     """keys, first, last: frames in chunks of ``size``."""
     rows = totals.filter(F.col(total) > 0).withColumn("first", F.explode(F.sequence(F.lit(0), F.col(total) - 1, F.lit(size))))
     return rows.select(*keys, "first", F.least(F.col("first") + size - 1, F.col(total) - 1).alias("last"))
+
+
+def draft_times(clips: DataFrame, drops: DataFrame, keys: Sequence[str], fps: int, most: int = 24) -> DataFrame:
+    """keys, i, t: times of a draft to look at: distinct starts of cuts and drops in order, of more than ``most`` every so many.
+
+    ``clips`` has track_start in frames, ``drops`` t in seconds.
+    """
+    starts = clips.select(*keys, F.bround(F.col("track_start") / fps, 2).alias("t"))
+    times = starts.unionByName(drops.select(*keys, F.bround("t", 2).alias("t"))).filter("t is not null").distinct()
+    w = Window.partitionBy(*keys)
+    numbered = times.withColumns({"_k": F.row_number().over(w.orderBy("t")) - 1, "_n": F.count("*").over(w)})
+    # the element at floor(i * n / most) for some i below most, or any if there are no more than that
+    i = F.expr(f"CASE WHEN _n <= {most} THEN _k ELSE (_k * {most} + _n - 1) DIV _n END")
+    picked = numbered.withColumn("i", i.cast("int")).filter(f"_n <= {most} OR (i < {most} AND (i * _n) DIV {most} = _k)")
+    return picked.select(*keys, "i", "t")

@@ -198,6 +198,19 @@ def revise_split(spark, sf_dir):
     return audit.split(audit.issues(p, audits.KEYS), p, audits.KEYS, beat=7)
 
 
+@query(audits.PLAN.replace("WITH", "WITH RECURSIVE", 1) + ", footage AS (" + library.LIBRARY + """, used AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2)
+  SELECT row_number() OVER (ORDER BY id) AS n, id, impact FROM lib WHERE usable AND impact > 0.6 AND id NOT IN (SELECT id FROM used WHERE id IS NOT NULL) ORDER BY id LIMIT 3),
+step AS (SELECT 0 AS n, user_id, pos, intensity AS impact, CAST(NULL AS BIGINT) AS clip_id FROM plan WHERE e >= q_hi OR is_drop
+  UNION ALL SELECT n + 1, user_id, pos, CASE WHEN k = 1 THEN new_impact ELSE impact END, CASE WHEN k = 1 THEN new_id ELSE clip_id END
+  FROM (SELECT s.*, w.impact AS new_impact, w.id AS new_id, row_number() OVER (PARTITION BY user_id ORDER BY s.impact, s.pos) AS k FROM step s JOIN footage w ON w.n = s.n + 1))
+SELECT user_id, pos, clip_id, impact FROM step WHERE n = (SELECT count(*) FROM footage) AND clip_id IS NOT NULL""")
+def revise_inject(spark, sf_dir):
+    """A revision's injections: the first three strong unused clips overwrite a plan's weakest strong slots."""
+    p = audits.plan(spark, sf_dir)
+    strong = ((F.col("e") >= F.col("q_hi")) | F.col("is_drop")).alias("strong")
+    return audit.injected(p.select("user_id", "pos", F.col("intensity").alias("impact"), strong), wasted_footage(spark, sf_dir).withColumnRenamed("id", "clip_id"), audits.KEYS)
+
+
 @query(library.LIBRARY + """, tl AS (SELECT o_custkey AS plan_id, l_partkey AS clip_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey) AS INT) AS pos FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 twice AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pos) AS n FROM (SELECT *, count(*) OVER (PARTITION BY plan_id, clip_id) AS uses FROM tl) WHERE uses > 1),
 ranked AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM lib WHERE usable),

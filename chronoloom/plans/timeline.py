@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
 from chronoloom.operators import assign as A
+from chronoloom.operators import intervals as I
 from chronoloom.operators import timeline as T
 from chronoloom.plans import library, ranges
 from chronoloom.plans.profiles import PROFILES, profiles
-from chronoloom.plans.registry import registrar
+from chronoloom.plans.registry import registrar, table
 
 REGISTRY, query = registrar()
 
@@ -112,6 +113,20 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("user_id", F.col("pos").alias("slot"), begin.alias("begin"), (F.col("end_s") / 3600).alias("end"), F.least(F.lit(4.0), (F.col("end_s") - F.col("start_s")) / 3600).alias("seconds"), target.alias("target"), ((F.col("track") == "error") | (target >= 0.72)).alias("is_peak"))
 
 
+def tagged_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those clips with the tags of labelled documents of the same number, and with the roles that speak while they run."""
+    s = shots(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    people = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).when(F.col("id") % 3 == 1, F.array(F.lit("user"))).otherwise(F.array(F.lit("assistant"), F.lit("crowd")))
+    tags = labels.select("id", F.when(F.col("toxic") == 1, "action").when(F.col("quality") == 1, "tender").otherwise("grief").alias("emotion"), F.when(F.col("toxic") == 1, "action").otherwise("dialogue").alias("scene"), people.alias("characters"))
+    turns = ranges.speech(spark, sf_dir).select("role", (F.col("start") * 6).alias("start"), (F.col("start") * 6 + 8).alias("end")).distinct()  # one turn a minute; those at the same time are one
+    there = I.coalesced(turns, ["role"], 9.0)
+    roles = F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role")
+    span = s.select("id", roles, F.col("start").alias("a"), (F.col("start") + F.col("dur")).alias("b")).withColumn("key", F.struct("id", "role"))
+    heard = I.overlapping(span, there, ["role"], 60.0, True, "left_semi", ("a", "b"), ("start", "end"), ["key"]).groupBy("id").agg(F.collect_set("role").alias("heard"))
+    return s.join(tags, "id", "left").join(heard, "id", "left")
+
+
 @query()
 def assign_greedy(spark, sf_dir):
     """Each user's slots filled greedily from the whole library, peaks first.  The choices depend on each other, so there is no SQL; a test compares them with a plain loop."""
@@ -125,5 +140,6 @@ def assign_arc(spark, sf_dir):
     act = ranges.act_of(F.col("begin") * 3600)
     t0 = F.when(act == "happy", 0.0).when(act == "fight", 200.0).otherwise(1e9)
     moods = F.when(act == "fight", F.array(F.lit("action"), F.lit("tense"))).otherwise(F.array(F.lit("tender")))
-    s = s.withColumns({"act": act, "t0": t0, "t1": t0 + 1500.0, "emotions": moods})
-    return A.assigned(s, shots(spark, sf_dir), "user_id", A.arc_score, A.ARC)
+    people = F.when(act == "fight", F.array(F.lit("assistant"))).when(act == "happy", F.array(F.lit("user"))).otherwise(F.array(F.lit("user"), F.lit("assistant")))
+    s = s.withColumns({"act": act, "t0": t0, "t1": t0 + 1500.0, "emotions": moods, "characters": people})
+    return A.assigned(s, tagged_shots(spark, sf_dir), "user_id", A.arc_score, A.ARC)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,19 @@ def shots(documents: DataFrame, shot_schema: str) -> DataFrame:
     nested = F.from_json("text", f"struct<shots:array<struct<{shot_schema}>>>")["shots"]
     bare = F.from_json("text", f"array<struct<{shot_schema}>>")
     return documents.select(F.explode(F.coalesce(nested, bare)).alias("s")).select("s.*").filter("id is not null")
+
+
+def middle_keyframes(files: DataFrame, path: str = "path") -> DataFrame:
+    """src_idx, index, path: the middle one, by name, of each shot's pictures (srcNN_shotNNN_*.jpg); other files are passed over."""
+    name = F.substring_index(path, "/", -1)
+    number = lambda n: F.regexp_extract(name, r"^src(\d+)_shot(\d+)_.*\.jpg$", n).try_cast("int")
+    ordered = F.array_sort(F.collect_list(path))  # a shot has six at most
+    found = files.select(path, number(1).alias("src_idx"), number(2).alias("index")).filter("src_idx is not null")
+    return found.groupBy("src_idx", "index").agg(ordered.alias("_p")).select("src_idx", "index", F.element_at("_p", F.floor(F.size("_p") / 2).cast("int") + 1).alias(path))
+
+
+def wanted(shots_: DataFrame, only: Sequence[str] | None = None, limit: int | None = None, order: str = "id") -> DataFrame:
+    """The shots named in ``only``, else the first ``limit`` in order, else all."""
+    if only:
+        return shots_.filter(F.col("id").isin(*only))
+    return shots_.orderBy(order).limit(limit) if limit else shots_

@@ -244,3 +244,27 @@ def test_revision_merges_splits_and_exchanges(spark):
     order = spark.createDataFrame([(5, 0), (6, 1), (7, 2), (8, 3), (9, 4), (10, 5)], "clip_id long, rank int")
     got = sorted(map(tuple, audit.diversified(used, order, ["k"]).collect()))
     assert got == [("u", 1, 5, 6), ("u", 2, 7, 8), ("u", 3, 5, 9)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 24, 25, 47, 48, 100])
+def test_draft_times(spark, n):
+    clips = spark.createDataFrame([(1, 30 * i) for i in range(n)] + [(1, 0)], "u int, track_start int")
+    drops = spark.createDataFrame([(1, float(n) - 1.0), (1, None)], "u int, t double")
+    got = [(r.i, r.t) for r in timeline.draft_times(clips, drops, ["u"], 30).orderBy("i").collect()]
+    assert got == [(i, float(i * n // 24 if n > 24 else i)) for i in range(min(n, 24))]
+
+
+def test_injections_overwrite_the_then_weakest(spark):
+    plan = [(1, 1, 0.9, True), (1, 2, 0.1, True), (1, 3, 0.65, True), (1, 4, 0.0, False), (2, 1, 0.2, True), (3, 1, 0.5, False)]
+    footage = [(1, 70, 0.61), (2, 71, 0.8), (3, 72, 0.95), (4, 73, 1.0)]
+    got = audit.injected(spark.createDataFrame(plan, "u int, pos int, impact double, strong boolean"), spark.createDataFrame(footage, "n int, clip_id long, impact double"), ["u"])
+    want = []
+    for user in (1, 2, 3):
+        slots = {p: (i, None) for u, p, i, strong in plan if u == user and strong}
+        for _, clip, impact in footage[:3]:
+            if slots:
+                slots[min(slots, key=lambda p: (slots[p][0], p))] = (impact, clip)
+        want += [(user, p, c, i) for p, (i, c) in slots.items() if c is not None]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 3
+    none = audit.injected(spark.createDataFrame(plan, "u int, pos int, impact double, strong boolean"), spark.createDataFrame([], "n int, clip_id long, impact double"), ["u"])
+    assert none.count() == 0

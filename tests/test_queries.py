@@ -48,8 +48,16 @@ def loop(slots, clips, arc):
                 continue
             if arc:
                 score = 0.9 * c["quality"] + 0.9 * (1.0 - abs(c["intensity"] - s["target"])) + (1.0 if s["act"] == "fight" else -0.6) * c["intensity"]
-                mood = "action" if c["intensity"] > 0.6 else "tense" if c["intensity"] > 0.35 else "tender"
-                score += 0.5 if mood in s["emotions"] else 0.0
+                if c["emotion"] is not None:
+                    score += 1.6 if c["emotion"] in s["emotions"] else 0.0
+                    score += (0.7 if c["scene"] == "action" else 0.0) if s["act"] == "fight" else (0.6 if c["scene"] in ("dialogue", "establishing", "reaction") else 0.0)
+                    both = set(c["characters"]) & set(s["characters"])
+                    score += 1.3 if both else 0.0
+                    score -= 1.2 if c["characters"] and ("crowd" in c["characters"] or not both) else 0.0
+                else:
+                    mood = "action" if c["intensity"] > 0.6 else "tense" if c["intensity"] > 0.35 else "tender"
+                    score += 0.5 if mood in s["emotions"] else 0.0
+                score += 0.7 if c["roles"] & set(s["characters"]) else 0.0
                 score -= 3.2 * (0.9 - min(c["dur"] / max(1e-6, s["seconds"]), 0.9)) / 0.9
             else:
                 score = 0.9 * c["quality"] + 1.2 * (1.0 - abs(c["intensity"] - s["target"]))
@@ -74,16 +82,22 @@ def loop(slots, clips, arc):
 
 @pytest.mark.parametrize("name", ["assign_greedy", "assign_arc"])
 def test_assignment_equals_a_plain_loop(spark, sf, name):
-    clips = sorted((r.asDict() for r in timeline.shots(spark, sf).collect()), key=lambda c: c["id"])
+    clips = sorted((r.asDict() for r in timeline.tagged_shots(spark, sf).collect()), key=lambda c: c["id"])
+    talk = pd.read_parquet(f"{sf}/conversations.parquet", columns=["turn", "role"]).drop_duplicates()
+    for c in clips:
+        near = talk[(c["start"] <= talk.turn * 60 + 17) & (c["start"] + c["dur"] >= talk.turn * 60 - 9)]
+        c["roles"] = set(near.role)
+    tags = [c["emotion"] for c in clips]
+    assert None in tags and len(set(tags)) > 2 and any(c["roles"] for c in clips) and not all(c["roles"] for c in clips)
     got = catalog.queries()[name](spark, sf).toPandas()
     rows = timeline.slots(spark, sf).toPandas()
     assert len(got) == len(rows) and not got.duplicated(["user_id", "slot"]).any()
-    acts = (("happy", 0.0, 240.0, 0.0, ["tender"]), ("fight", 240.0, 480.0, 200.0, ["action", "tense"]))
+    acts = (("happy", 0.0, 240.0, 0.0, ["tender"], ["user"]), ("fight", 240.0, 480.0, 200.0, ["action", "tense"], ["assistant"]))
     for user in sorted(rows.user_id.unique())[:4]:
         mine = rows[rows.user_id == user].sort_values("slot").to_dict("records")
         for s in mine:
-            act = next((a for a in acts if a[1] <= s["begin"] < a[2]), ("aftermath", 0, 0, 1e9, ["tender"]))
-            s |= {"act": act[0], "t0": act[3], "t1": act[3] + 1500.0, "emotions": act[4]}
+            act = next((a for a in acts if a[1] <= s["begin"] < a[2]), ("aftermath", 0, 0, 1e9, ["tender"], ["user", "assistant"]))
+            s |= {"act": act[0], "t0": act[3], "t1": act[3] + 1500.0, "emotions": act[4], "characters": act[5]}
         own = got[got.user_id == user].sort_values("slot")
         assert list(zip(own.slot, own.clip_id, strict=True)) == loop(mine, clips, name == "assign_arc")
 

@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scores
-from chronoloom.functions.parse import is_impact, loose_json
+from chronoloom.functions.parse import is_impact, loose_json, number_or
 from chronoloom.operators import providers
 from chronoloom.sources import readers
 
@@ -45,7 +45,7 @@ def test_scores(spark):
     assert round(value(spark, scores.slot_score(d(1), d(0.5), d(1), d(0.275), d(0.5), d(1), F.lit(True))), 6) == round(0.9 + 1.2 - 0.5 + 1.3 + 0.2, 6)
     a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     arc = lambda emotion, people: scores.arc_score(d(1), d(0.5), d(2), d(0.5), d(1), F.lit(False), F.lit(emotion).cast("string"), F.lit("dialogue"), people, a("happy"), a("aki"), F.lit(True), F.lit("happy"))
-    assert round(value(spark, arc("happy", a("aki", "crowd"))), 6) == round(1.8 - 0.3 + 1.6 + 0.6 + 1.3 - 1.2, 6)
+    assert round(value(spark, arc("happy", a("aki", "crowd"))), 6) == round(1.8 - 0.3 + 1.6 + 0.6 + 1.3 - 1.2 + 0.7, 6)
     assert round(value(spark, arc(None, a())), 6) == round(1.8 - 0.3 + 0.5 + 0.7, 6)
     assert [value(spark, scores.tempo(F.lit(n), 43.0)) for n in (20, 40, 14)] == [129.0, 129.0, 92.14]
     assert value(spark, scores.tempo(F.lit(None).cast("int"), 43.0)) == 120.0
@@ -71,3 +71,24 @@ def test_models(spark):
     names = F.array(F.lit("qwen:3b"), F.lit("x"))
     assert value(spark, scores.has_model(names, "qwen:7b")) and not value(spark, scores.has_model(names, "y"))
     assert [value(spark, scores.suggested_model(F.lit(g), "s", "m", "l")) for g in (0, 4, 16, 64)] == ["l", "s", "m", "l"]
+
+
+def test_general_descriptions(spark):
+    text = '{"subjects": ["a", "b"], "actions": "runs", "objects": "", "scene": "street", "mood": "", "camera": {"angle": "low"}, "people_count": 2, "confidence": "0.5"}'
+    got = value(spark, scores.general(loose_json(F.lit(text))))
+    assert (got.subjects, got.actions, got.objects, got.emotion) == (["a", "b"], ["runs"], [], [])
+    assert (got.scene, got.mood, got.text, got.people_count, got.confidence) == ("street", "unknown", "", 2, 0.5)
+    assert tuple(got.camera) == ("unknown", "unknown", "low")
+    odd = value(spark, scores.general(loose_json(F.lit('{"camera": "near", "confidence": "high"}'))))
+    assert tuple(odd.camera) == ("unknown",) * 3 and odd.confidence == 0.0 and odd.people_count is None
+
+
+def test_settings_pictures_and_chosen_shots(spark):
+    got = [value(spark, number_or(F.lit(x).cast("string"), 0.4)) for x in ("1.5", " 2 ", "x", "", None)]
+    assert got == [1.5, 2.0, 0.4, 0.4, 0.4]
+    names = ["/k/src00_shot001_a.jpg", "/k/src00_shot001_b.jpg", "/k/src00_shot001_c.jpg", "/k/src01_shot002_a.jpg", "/k/src01_shot002_b.jpg", "/k/other.jpg"]
+    files = spark.createDataFrame([(n,) for n in reversed(names)], "path string")
+    assert sorted(tuple(r) for r in readers.middle_keyframes(files).collect()) == [(0, 1, names[1]), (1, 2, names[4])]
+    shots = spark.createDataFrame([("c",), ("a",), ("b",)], "id string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(readers.wanted(shots, ["b"], 2)) == ["b"] and ids(readers.wanted(shots, None, 2)) == ["a", "b"] and len(ids(readers.wanted(shots))) == 3
