@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +71,7 @@ def with_text_columns(
         compute = make()
         for batch in batches:
             texts = batch.column(len(keep))
-            sizes = [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()]
+            sizes = [0 if n is None else n for n in pc.binary_length(texts).to_pylist()]
             for a, b in groups_by_bytes(sizes, group_bytes):
                 values = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 got = compute(values)
@@ -77,8 +79,6 @@ def with_text_columns(
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in keep] + [f"n{i}" for i in range(len(fields))])
 
-    import pyarrow.compute  # noqa: F401  (pa.compute above)
-
     out = plain.mapInArrow(run, schema)
     return out.toDF(*[df.columns[i] for i in keep], *[name for name, _, _ in fields])
 
@@ -89,3 +89,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash64(*columns: Column) -> Column:
     return F.xxhash64(*columns)
+
+
+#: Names by which Spark's file systems go in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI as Spark writes it, and the path in it."""
+    scheme, mark, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import crosspoly, decontaminate, hostrep, jaccard, piecefst, secrets, suffixdedup, tokencount, tokenstore, toxicity
-from chronoloom.llm.common import documents, pick
+from chronoloom.llm import crosspoly, decontaminate, hostrep, jaccard, lexsearch, piecefst, runs, secrets, suffixdedup, tokencount, tokenstore, toxicity, warc
+from chronoloom.llm.common import documents, pick, shared_dir
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -75,8 +77,50 @@ def op10_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecefst.with_round_trip(texts(spark, sf_dir), PIECES).drop("text")
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), shared_dir(spark, "archives"), least=1000)
+    return warc.read(manifest, payloads=False).select(
+        warc.key_column("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.key_column("refers_to").alias("refers_to")
+    )
+
+
+def planted_words(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words of the contract: in documents whose id's hash is divisible by 10, a period from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the contract's words, joined by single spaces."""
+
+    def run(batches):
+        for batch in batches:
+            made = [b" ".join(planted_words(runs.words_of(t or ""), d)).decode("utf-8") for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["doc_id", "text"])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(planted(texts(spark, sf_dir)), least=24, times=3)
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    better = lambda a, b: F.coalesce(b["length"] * a["period"] > a["length"] * b["period"], F.lit(True))
+    best = F.aggregate("runs", F.lit(None).cast(runs.RUN.elementType), lambda a, b: F.when(better(a, b), b).otherwise(a))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op2_token_shards, op3_cross_polytope, op4_token_counts, op5_decontaminate, op6_jaccard_join, op7_toxicity, op8_suffix_dedup, op9_host_reputation, op10_piece_transducer)
+    ops = (op1_secret_scan, op2_token_shards, op3_cross_polytope, op4_token_counts, op5_decontaminate, op6_jaccard_join, op7_toxicity, op8_suffix_dedup, op9_host_reputation, op10_piece_transducer, op11_reversed_search, op12_boundary_chain, op13_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
@@ -154,5 +198,29 @@ FROM ruled LEFT JOIN low USING (host)
 REPUTATION_SQL = REPUTATION_SQL.replace("SUFFIX_LIST", ", ".join(f"'{s}'" for s in hostrep.SUFFIXES))
 
 
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY 1, 2),
+whole AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY 1, 2, 3),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), whole),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS part FROM tf JOIN weights USING (term), whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY 1, 2),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10
+"""
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT *, CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS original FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE_SQL, "op9_host_reputation": REPUTATION_SQL}
+    return {"op5_decontaminate": DECONTAMINATE_SQL, "op9_host_reputation": REPUTATION_SQL, "op11_reversed_search": SEARCH_SQL, "op12_boundary_chain": ARCHIVE_SQL}

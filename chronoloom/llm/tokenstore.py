@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.chunks import ByteLevelPieces, load
-from chronoloom.llm.common import groups_by_bytes, pick, shared_dir, written
+from chronoloom.llm.common import filesystem, groups_by_bytes, pick, shared_dir, written
 
 MAGIC = b"idshard1"
 HEADER = struct.Struct("<8sIIQQQI")  # magic, bytes an id, 0, records, keys, ids, levels
@@ -151,10 +151,6 @@ class Shard:
         return np.frombuffer(raw, dtype=f"<u{self.width}")
 
 
-def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 class Encoder:
     """Ids of whole texts as packed bytes, with the end id."""
 
@@ -211,7 +207,7 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_c
 
         for batch in batches:
             texts = batch.column(1)
-            sizes = pa.compute.binary_length(texts).to_pylist()
+            sizes = pc.binary_length(texts).to_pylist()
             for a, b in groups_by_bytes(sizes, 1 << 20):
                 if keys and held + sum(sizes[a:b]) > shard_bytes_limit:
                     yield flush()
@@ -222,8 +218,6 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_c
         if keys:
             yield flush()
 
-    import pyarrow.compute  # noqa: F401
-
     manifest = written(docs.select("key", "text").mapInArrow(write, MANIFEST), "manifest")
     # one row a shard: ids before it within its part, then before the part
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
