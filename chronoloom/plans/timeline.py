@@ -142,4 +142,4 @@ def assign_arc(spark, sf_dir):
     moods = F.when(act == "fight", F.array(F.lit("action"), F.lit("tense"))).otherwise(F.array(F.lit("tender")))
     people = F.when(act == "fight", F.array(F.lit("assistant"))).when(act == "happy", F.array(F.lit("user"))).otherwise(F.array(F.lit("user"), F.lit("assistant")))
     s = s.withColumns({"act": act, "t0": t0, "t1": t0 + 1500.0, "emotions": moods, "characters": people})
-    return A.assigned(s, tagged_shots(spark, sf_dir), "user_id", A.arc_score, A.ARC)
+    return A.assigned(s, tagged_shots(spark, sf_dir), "user_id", A.Arc(), A.ARC)

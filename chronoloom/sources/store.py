@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``, deleted when the driver's JVM ends; only where that is unset (tests) a local one is made and set.
+    """A new folder's URI below ``spark.checkpoint.dir``, deleted when the driver's JVM ends; only where that is unset, in local mode, a local one is made and set.
 
     A path without a scheme belongs to the cluster's default file system, as
     Spark's own writers take it; it is completed to a URI, so that readers
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
@@ -37,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+#: Names by which Spark's file systems go in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI as Spark writes it, and the path in it; for tasks that read and write files of their own."""
+    scheme, mark, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
 def signature(name: Column, size: Column, modified: Column) -> Column:
     return F.concat_ws(":", name, size.cast("string"), modified.cast("long").cast("string"))
 
