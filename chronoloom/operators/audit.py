@@ -7,28 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.exprs import penalty
+from chronoloom.functions.exprs import cosine, penalty
+from chronoloom.operators.intervals import containing
 from chronoloom.operators.series import long_runs
 
+#: Cosine of two clips' colours from which they look the same.
+ALIKE = 0.92
 
-def issues(plan: DataFrame, keys: Sequence[str], fps: int = 30) -> DataFrame:
-    """keys, pos, type, severity.  ``plan`` has pos, cluster, duration (frames), intensity, e, q_hi, rel, is_drop.
 
-    All rules but the run rule look at a row and the one before it, so one
-    window serves them; a row's findings are an array, exploded once.
+#: Columns of a finding beside the keys.  pos is null where it is about the whole plan; clip_id names footage to bring in.
+FINDING = "pos int, type string, severity int, rule int, t double, frame int, action string, prefer string, match_intensity double, to_frames int, clip_id long"
+
+
+def issues(plan: DataFrame, drops: DataFrame, strong: DataFrame, keys: Sequence[str], fps: int = 30) -> DataFrame:
+    """keys and FINDING: what eight rules find in plans.
+
+    ``plan`` has pos, clip_id, known (the clip is in the library), cluster,
+    colour, impact, intensity, track_start and duration (frames), e, q_hi, rel
+    and is_drop; ``drops`` has frame; ``strong`` has rank (from 0) and clip_id
+    of the library's clips of high impact, in its order.
+
+    Rules on a slot and the one before it share one window and one explode.
+    Drops meet slots through bins of frames.  A plan that uses u strong clips
+    leaves three of the first u + 3 unused, so it meets these, not the library.
+    ``rule`` and ``pos`` order findings of equal severity and time.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
-    strong = F.col("e") >= F.col("q_hi")
+    frame, none = F.col("track_start"), F.lit(None)
+
+    def finding(kind, severity, rule, action, prefer=none, match=none, to=none, at=frame):
+        values = {"type": F.lit(kind), "severity": F.lit(severity), "rule": F.lit(rule), "t": F.round(at / float(fps), 2), "frame": at, "action": F.lit(action), "prefer": prefer, "match_intensity": match, "to_frames": to, "clip_id": none}
+        kinds = dict(c.split() for c in FINDING.split(", "))
+        return F.struct(*[v.cast(kinds[n]).alias(n) for n, v in values.items()])
+
+    loud = F.col("e") >= F.col("q_hi")
+    same = F.lag("cluster").over(w) == F.col("cluster")
+    alike = F.round(cosine(F.lag("colour").over(w), F.col("colour")), 6) > ALIKE
     found = F.array_compact(
         F.array(
-            F.when(F.lag("cluster").over(w) == F.col("cluster"), F.struct(F.lit("repetition").alias("type"), F.lit(2).alias("severity"))),
-            F.when(strong & (F.col("intensity") < 0.4), F.struct(F.lit("weak_in_strong").alias("type"), F.lit(3).alias("severity"))).when((F.col("rel") < 0.25) & (F.col("intensity") > 0.7), F.struct(F.lit("busy_in_calm").alias("type"), F.lit(1).alias("severity"))),
-            F.when(strong & (F.col("duration") > int(1.4 * fps)) & ~F.col("is_drop"), F.struct(F.lit("under_editing").alias("type"), F.lit(1).alias("severity"))),
+            F.when(F.lag("known").over(w) & F.col("known") & (F.coalesce(same, F.lit(False)) | alike), finding("repetition", 2, 1, "replace", match=F.col("intensity"))),
+            F.when(loud & (F.col("intensity") < 0.4), finding("weak_in_strong", 3, 2, "replace", F.lit("impact"), F.greatest(F.lit(0.7), F.col("rel")))).when(
+                (F.col("rel") < 0.25) & (F.col("intensity") > 0.7), finding("busy_in_calm", 1, 2, "replace", F.lit("calm"), F.col("rel"))
+            ),
+            F.when(loud & (F.col("duration") > int(1.4 * fps)) & ~F.col("is_drop"), finding("under_editing", 1, 4, "shorten", to=F.lit(int(0.8 * fps)))),
         )
     )
-    by_row = plan.withColumn("_f", found).select(*keys, "pos", F.explode("_f").alias("f")).select(*keys, "pos", "f.type", "f.severity")
-    fast = long_runs(plan, keys, "pos", (F.col("duration") < int(0.3 * fps)) & ~F.col("is_drop"), 4).select(*keys, "pos", F.lit("over_editing").alias("type"), F.lit(1).alias("severity"))
-    return by_row.unionByName(fast)
+    by_row = plan.withColumn("_f", found).select(*keys, "pos", F.explode("_f").alias("f")).select(*keys, "pos", "f.*")
+
+    slots = plan.select(*keys, "pos", "impact", (frame - 0.15 * fps).alias("_from"), (frame + F.col("duration")).cast("double").alias("_to"))
+    hits = containing(drops.select(F.col("frame").alias("_d")).distinct(), slots, [], "_d", 2.0 * fps, (F.col("_from") <= F.col("_d")) & (F.col("_d") <= F.col("_to")), "_from", "_to")
+    cover = hits.groupBy(*keys, "_d").agg(F.min_by(F.struct("pos", "impact"), "pos").alias("s")).filter("s.impact < 0.6")
+    weak = cover.select(*keys, "s.pos", finding("weak_drop", 3, 3, "replace", F.lit("impact"), F.lit(0.9), at=F.col("_d")).alias("f")).select(*keys, "pos", "f.*")
+
+    fast = long_runs(plan, keys, "pos", (F.col("duration") < int(0.3 * fps)) & ~F.col("is_drop"), 4)
+    fast = fast.select(*keys, "pos", finding("over_editing", 1, 5, "lengthen", to=F.lit(int(0.5 * fps))).alias("f")).select(*keys, "pos", "f.*")
+
+    used = plan.select(*keys, "clip_id").distinct().join(strong, "clip_id").select(*keys, "rank")
+    whole = plan.groupBy(*keys).agg(F.count_distinct(F.when(F.col("known"), F.coalesce("cluster", F.lit("")))).alias("_c"), F.count_if("known").alias("_n"))
+    looked = whole.join(used.groupBy(*keys).agg(F.count("*").alias("_u")), list(keys), "left").withColumn("rank", F.explode(F.sequence(F.lit(0), (F.coalesce("_u", F.lit(0)) + 2).cast("int")))).select(*keys, "rank")
+    unused = looked.join(used, [*keys, "rank"], "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter("_n <= 3").join(strong, "rank")
+    start = F.lit(0)
+    wasted = unused.select(*keys, finding("wasted_footage", 2, 6, "inject", F.lit("impact"), at=start).dropFields("clip_id").alias("f"), F.col("clip_id").cast("long").alias("clip_id"), "_n")
+    wasted = wasted.select(*keys, none.cast("int").alias("pos"), "f.*", "clip_id")
+    dull = whole.filter(F.col("_c") / F.greatest(F.lit(1), F.col("_n")) < 0.55).select(*keys, none.cast("int").alias("pos"), finding("low_variety", 2, 7, "diversify", at=start).alias("f")).select(*keys, "pos", "f.*")
+    return by_row.unionByName(weak).unionByName(fast).unionByName(wasted).unionByName(dull)
+
+
+def ordered(keys: Sequence[str]):
+    """Worst first, then by time; findings of the same are in the order of rules and slots."""
+    return Window.partitionBy(*keys).orderBy(F.desc("severity"), "t", "rule", "pos", "clip_id")
 
 
 def variety(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,7 +112,7 @@ def replacements(found: DataFrame, plan: DataFrame, candidates: DataFrame, keys:
     Candidates are bucketed by intensity into eleven classes beforehand, with
     the best of each cluster, so a finding meets one row a cluster, not the library.
     """
-    asked = found.filter(F.col("type").isin("weak_in_strong", "repetition", "busy_in_calm"))
+    asked = found.filter(F.col("type").isin("weak_in_strong", "repetition", "busy_in_calm")).select(*keys, "pos", "type", "severity")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("severity"), "pos", "type"))
     first = asked.withColumn("_n", rank).filter(F.col("_n") <= most)
     aim = first.join(plan.select(*keys, "pos", "cluster", "rel"), [*keys, "pos"]).withColumn("slot", F.round(F.when(F.col("type") == "weak_in_strong", F.greatest(F.lit(0.7), F.col("rel"))).otherwise(F.col("rel")) * 10).cast("int"))

@@ -1,7 +1,9 @@
-"""Audit queries.  A plan is a user's events in order: clusters are event types, durations frames between events."""
+"""Audit queries.  A plan is a user's events in order, each showing a clip of the library; durations are frames between events."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,50 +17,111 @@ REGISTRY, query = registrar()
 KEYS = ["user_id"]
 
 
-def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips with the energy of their hour, its rank, and whether the hour is a drop; written, as rules, runs and scores all read it."""
-    c = ranges.clips(spark, sf_dir).select("user_id", "pos", F.col("track").alias("cluster"), "value", "start_s", "end_s", F.floor(F.col("start_s") / 3600).cast("int").alias("h"))
-    s = S.with_quantiles(signal.unit(spark, sf_dir), signal.KEYS, "s", q_hi=0.72)
-    s = S.rank_below(s, signal.KEYS, "s").select(F.col("track").alias("cluster"), F.col("i").alias("h"), F.col("s").alias("e"), "q_hi", "rel")
-    joined = c.join(s, ["cluster", "h"]).select(
-        "user_id", "pos", "cluster", F.floor((F.col("end_s") - F.col("start_s")) / 600).cast("int").alias("duration"),
-        F.round(F.col("value") / 500, 4).alias("intensity"), "e", "q_hi", "rel", (F.col("h") % 24 == 0).alias("is_drop"), F.floor(F.col("start_s") / 600).cast("int").alias("track_start"),
+#: Frames an hour of events takes in a plan: a frame is ten minutes.
+HOUR = 6
+
+
+def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library as audits see it: three colour shares a clip."""
+    return library.library(spark, sf_dir).select("id", "cluster", "dur", "quality", "intensity", "impact", "usable", F.array("impact", "intensity", "exposure").alias("colour"))
+
+
+def music(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """track, h, e, q_lo, q_hi, rel; and the frames of all tracks' drops."""
+    signals, found = signal.drops(spark, sf_dir)
+    s = S.rank_below(S.with_quantiles(signals, signal.KEYS, "s", q_lo=0.40, q_hi=0.72), signal.KEYS, "s")
+    return s.select("track", F.col("i").alias("h"), F.col("s").alias("e"), "q_lo", "q_hi", "rel"), found.select((F.col("i") * HOUR).cast("int").alias("frame")).distinct()
+
+
+def strong(features: DataFrame) -> DataFrame:
+    """rank, clip_id of the usable clips of high impact, in the library's order."""
+    ids = features.filter("usable and impact > 0.8").select(F.col("id").alias("clip_id"))
+    return library.numbered(ids, "clip_id", "rank")
+
+
+@dataclass(frozen=True)
+class Audited:
+    """A plan with its music, and what rules need beside it."""
+
+    plan: DataFrame
+    energy: DataFrame
+    drops: DataFrame
+    features: DataFrame
+
+    def issues(self) -> DataFrame:
+        return A.issues(self.plan, self.drops, strong(self.features), KEYS)
+
+
+def audited(spark: SparkSession, sf_dir: str) -> Audited:
+    """Users' plans: an event shows a clip of the library (by its number), over the energy of its type's hour; written, as rules, runs and scores all read it."""
+    features = written(clip_features(spark, sf_dir), "features")
+    energy, drops = music(spark, sf_dir)
+    most = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("_most"))
+    c = ranges.clips(spark, sf_dir).crossJoin(F.broadcast(most))  # one row
+    c = c.select("user_id", "pos", "track", (1 + F.col("event_id") % F.col("_most")).alias("clip_id"), "start_s", "end_s", F.floor(F.col("start_s") / 3600).cast("int").alias("h"))
+    lib = features.select(F.col("id").alias("clip_id"), F.lit(True).alias("known"), "cluster", "colour", "intensity", "impact")
+    joined = c.join(energy, ["track", "h"]).join(lib, "clip_id", "left").select(
+        "user_id", "pos", "track", "clip_id", F.coalesce("known", F.lit(False)).alias("known"), "cluster", "colour", F.floor((F.col("end_s") - F.col("start_s")) / 600).cast("int").alias("duration"),
+        F.coalesce("intensity", F.lit(0.5)).alias("intensity"), F.coalesce("impact", F.lit(0.0)).alias("impact"), "e", "q_lo", "q_hi", "rel", (F.col("h") % 24 == 0).alias("is_drop"), F.floor(F.col("start_s") / 600).cast("int").alias("track_start"),
     )
-    return written(joined, "plan")
+    return Audited(written(joined, "plan"), energy, drops, features)
+
+
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir).plan
+
+
+def found_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plans and what the rules find in them."""
+    a = audited(spark, sf_dir)
+    return a.plan, a.issues()
 
 
-PLAN = signal.UNIT + """, ev AS (SELECT user_id, event_id, event_type AS track, value, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS DOUBLE) AS start_s FROM events),
+PLAN = signal.UNIT + ", library AS (" + library.LIBRARY + """ SELECT *, [impact, intensity, exposure] AS colour FROM lib),
+ev AS (SELECT user_id, event_id, event_type AS track, value, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS DOUBLE) AS start_s FROM events),
 clips AS (SELECT *, CAST(row_number() OVER w AS INT) AS pos, coalesce(lead(start_s) OVER w, start_s + 10.0) AS end_s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY start_s, event_id)),
 plan_ranked AS (SELECT track, i, s, q_hi, round((rank() OVER (PARTITION BY track ORDER BY s) - 1) / count(*) OVER (PARTITION BY track), 6) AS rel FROM graded),
-plan AS (SELECT user_id, pos, c.track AS cluster, CAST(floor((end_s - start_s) / 600) AS INT) AS duration, round(value / 500, 4) AS intensity, s AS e, q_hi, rel, i % 24 = 0 AS is_drop, CAST(floor(start_s / 600) AS INT) AS track_start
-  FROM clips c JOIN plan_ranked r ON r.track = c.track AND r.i = CAST(floor(start_s / 3600) AS INT)),
-plan_lagged AS (SELECT *, lag(cluster) OVER (PARTITION BY user_id ORDER BY pos) AS before, duration < 9 AND NOT is_drop AS fast FROM plan),
+plan AS (SELECT user_id, pos, c.track, c.clip_id, l.id IS NOT NULL AS known, l.cluster, l.colour, CAST(floor((end_s - start_s) / 600) AS INT) AS duration, coalesce(l.intensity, 0.5) AS intensity, coalesce(l.impact, 0.0) AS impact,
+    s AS e, q_hi, rel, i % 24 = 0 AS is_drop, CAST(floor(start_s / 600) AS INT) AS track_start
+  FROM (SELECT *, 1 + event_id % (SELECT max(p_partkey) FROM part) AS clip_id FROM clips) c JOIN plan_ranked r ON r.track = c.track AND r.i = CAST(floor(start_s / 3600) AS INT) LEFT JOIN library l ON l.id = c.clip_id),
+plan_lagged AS (SELECT *, lag(cluster) OVER w AS before, lag(known) OVER w AND known AS both_known, lag(colour) OVER w AS colour_before, duration < 9 AND NOT is_drop AS fast FROM plan WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
 fast_runs AS (SELECT *, sum(CASE WHEN fast THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM plan_lagged),
 fast_numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, run, fast ORDER BY pos) AS n FROM fast_runs),
+drop_frames AS (SELECT DISTINCT i * 6 AS d FROM drops),
+drop_cover AS (SELECT user_id, d, min(pos) AS pos, arg_min(impact, pos) AS impact FROM plan JOIN drop_frames ON track_start - 4.5 <= d AND d <= track_start + duration GROUP BY 1, 2),
+strong_clips AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM library WHERE usable AND impact > 0.8),
+unused AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM (SELECT DISTINCT user_id FROM plan) u, strong_clips s WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.user_id = u.user_id AND p.clip_id = s.id)),
+shown AS (SELECT user_id, count(DISTINCT coalesce(cluster, '')) FILTER (known) AS c, count(*) FILTER (known) AS n FROM plan GROUP BY 1),
 issues AS (
-  SELECT user_id, pos, 'repetition' AS type, 2 AS severity FROM plan_lagged WHERE before = cluster
-  UNION ALL SELECT user_id, pos, 'weak_in_strong', 3 FROM plan WHERE e >= q_hi AND intensity < 0.4
-  UNION ALL SELECT user_id, pos, 'busy_in_calm', 1 FROM plan WHERE NOT (e >= q_hi AND intensity < 0.4) AND rel < 0.25 AND intensity > 0.7
-  UNION ALL SELECT user_id, pos, 'under_editing', 1 FROM plan WHERE e >= q_hi AND duration > 42 AND NOT is_drop
-  UNION ALL SELECT user_id, pos, 'over_editing', 1 FROM fast_numbered WHERE fast AND n >= 4)
+  SELECT user_id, pos, 'repetition' AS type, 2 AS severity, track_start AS frame, 'replace' AS action, NULL AS prefer, intensity AS match_intensity, NULL AS to_frames, NULL AS clip_id FROM plan_lagged
+    WHERE both_known AND (coalesce(before = cluster, false) OR round(list_inner_product(colour_before, colour) / (sqrt(list_inner_product(colour_before, colour_before)) * sqrt(list_inner_product(colour, colour)) + 1e-9), 6) > 0.92)
+  UNION ALL SELECT user_id, pos, 'weak_in_strong', 3, track_start, 'replace', 'impact', greatest(0.7, rel), NULL, NULL FROM plan WHERE e >= q_hi AND intensity < 0.4
+  UNION ALL SELECT user_id, pos, 'busy_in_calm', 1, track_start, 'replace', 'calm', rel, NULL, NULL FROM plan WHERE NOT (e >= q_hi AND intensity < 0.4) AND rel < 0.25 AND intensity > 0.7
+  UNION ALL SELECT user_id, pos, 'weak_drop', 3, d, 'replace', 'impact', 0.9, NULL, NULL FROM drop_cover WHERE impact < 0.6
+  UNION ALL SELECT user_id, pos, 'under_editing', 1, track_start, 'shorten', NULL, NULL, 24, NULL FROM plan WHERE e >= q_hi AND duration > 42 AND NOT is_drop
+  UNION ALL SELECT user_id, pos, 'over_editing', 1, track_start, 'lengthen', NULL, NULL, 15, NULL FROM fast_numbered WHERE fast AND n >= 4
+  UNION ALL SELECT user_id, NULL, 'wasted_footage', 2, 0, 'inject', 'impact', NULL, NULL, id FROM unused WHERE n <= 3
+  UNION ALL SELECT user_id, NULL, 'low_variety', 2, 0, 'diversify', NULL, NULL, NULL, NULL FROM shown WHERE c / greatest(1, n) < 0.55)
 """
 
 
-@query(PLAN + "SELECT user_id, pos, type, CAST(severity AS INT) AS severity FROM issues")
+@query(PLAN + """SELECT user_id, CAST(pos AS INT) AS pos, type, CAST(severity AS INT) AS severity, round(CAST(frame / 30 AS DOUBLE), 2) AS t, CAST(frame AS INT) AS frame, action, prefer, CAST(match_intensity AS DOUBLE) AS match_intensity,
+  CAST(to_frames AS INT) AS to_frames, CAST(clip_id AS BIGINT) AS clip_id FROM issues""")
 def issue_rules(spark, sf_dir):
-    return A.issues(plan(spark, sf_dir), KEYS)
+    """All findings of the eight rules, each with what it asks the reviser to do."""
+    return found_issues(spark, sf_dir)[1].drop("rule")
 
 
 @query(PLAN + """SELECT user_id, coalesce(n_issues, 0) AS n_issues, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INT) AS score FROM (SELECT DISTINCT user_id FROM plan)
 LEFT JOIN (SELECT user_id, count(*) AS n_issues, sum(CASE severity WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 9 END) AS lost FROM issues GROUP BY 1) USING (user_id)""")
 def plan_score(spark, sf_dir):
-    p = plan(spark, sf_dir)
-    return A.scores(A.issues(p, KEYS), p, KEYS)
+    p, found = found_issues(spark, sf_dir)
+    return A.scores(found, p, KEYS)
 
 
 @query(PLAN + "SELECT type, count(*) AS n, min(pos) AS first_pos FROM issues GROUP BY 1 ORDER BY n DESC, type LIMIT 4")
 def issue_topk(spark, sf_dir):
-    return A.issues(plan(spark, sf_dir), KEYS).groupBy("type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).orderBy(F.desc("n"), "type").limit(4)
+    return found_issues(spark, sf_dir)[1].groupBy("type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).orderBy(F.desc("n"), "type").limit(4)
 
 
 @query(ranges.CLIPS + "SELECT user_id, count(*) AS n, round(count(DISTINCT track) / greatest(1, count(*)), 4) AS variety FROM clips GROUP BY 1")
@@ -105,10 +168,10 @@ asked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY severity DE
 aim AS (SELECT a.user_id, a.pos, a.type, plan.cluster, CAST(round(CASE WHEN a.type = 'weak_in_strong' THEN greatest(0.7, rel) ELSE rel END * 10) AS INT) AS slot FROM asked a JOIN plan ON plan.user_id = a.user_id AND plan.pos = a.pos WHERE a.n <= 8)
 SELECT user_id, pos, type, clip_id FROM (SELECT user_id, pos, type, id AS clip_id, row_number() OVER (PARTITION BY user_id, pos, type ORDER BY clip_score DESC, id) AS n2 FROM aim JOIN top USING (slot) WHERE cluster <> clip_cluster) WHERE n2 = 1""")
 def revise_pass(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p, found = found_issues(spark, sf_dir)
     lib = library.library(spark, sf_dir).filter("usable").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(10))))
     score = F.round(0.9 * F.col("quality") + 1.2 * (1 - F.abs(F.col("intensity") - F.col("slot") / 10)), 6)
     scored = lib.select("slot", F.struct((-score).alias("s"), F.col("id").alias("clip_id"), F.col("cluster").alias("clip_cluster")).alias("c"))
     ranked = scored.withColumn("n", F.row_number().over(Window.partitionBy("slot", "c.clip_cluster").orderBy("c.s", "c.clip_id"))).filter("n = 1")  # the best of each cluster: a finding rules out one cluster
     top = ranked.select("slot", "c.clip_id", "c.clip_cluster", (-F.col("c.s")).alias("clip_score"))
-    return A.replacements(A.issues(p, KEYS), p, top, KEYS)
+    return A.replacements(found, p, top, KEYS)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.plans import audits, cuts, details, library, ranges, signal, texts, timeline
+from chronoloom.plans import audits, cuts, details, library, ranges, revisions, signal, texts, timeline
 
-FAMILIES = (signal, ranges, library, texts, audits, timeline, details, cuts)
+FAMILIES = (signal, ranges, library, texts, audits, timeline, details, cuts, revisions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -181,9 +181,9 @@ left_over AS (SELECT *, coalesce(lag(took) OVER (PARTITION BY user_id ORDER BY p
 SELECT user_id, pos, printf('c%03d', row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1) AS clip_no, track_start, CAST(CASE WHEN took THEN next_end - track_start ELSE duration END AS INT) AS duration FROM left_over WHERE NOT gone""")
 def revise_merge(spark, sf_dir):
     """A revision's merges: slots of over-edited runs take in the next slot, eight a plan, and the rest is numbered anew."""
-    p = audits.plan(spark, sf_dir)
+    p, found = audits.found_issues(spark, sf_dir)
     number = F.format_string("c%03d", F.row_number().over(Window.partitionBy("user_id").orderBy("pos")) - 1)
-    return audit.merged(audit.issues(p, audits.KEYS), p, audits.KEYS).select("user_id", "pos", number.alias("clip_no"), "track_start", F.col("duration").cast("int").alias("duration"))
+    return audit.merged(found, p, audits.KEYS).select("user_id", "pos", number.alias("clip_no"), "track_start", F.col("duration").cast("int").alias("duration"))
 
 
 @query(audits.PLAN + """, asked AS (SELECT p.user_id, p.pos, p.track_start, p.duration, CASE WHEN f.pos IS NOT NULL THEN (2 * (p.track_start + 24) + 6) // 14 * 7 END AS m
@@ -194,8 +194,8 @@ SELECT user_id, pos, 0 AS part, track_start, CAST(CASE WHEN cut THEN mid - track
 UNION ALL SELECT user_id, pos, 1, CAST(mid AS INT), CAST(track_start + duration - mid AS INT) FROM cut WHERE cut""")
 def revise_split(spark, sf_dir):
     """A revision's splits: strong slots held too long are cut at a beat (seven frames apart), eight a plan."""
-    p = audits.plan(spark, sf_dir)
-    return audit.split(audit.issues(p, audits.KEYS), p, audits.KEYS, beat=7)
+    p, found = audits.found_issues(spark, sf_dir)
+    return audit.split(found, p, audits.KEYS, beat=7)
 
 
 @query(audits.PLAN.replace("WITH", "WITH RECURSIVE", 1) + ", footage AS (" + library.LIBRARY + """, used AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2)

@@ -126,8 +126,8 @@ b AS (SELECT user_id, CAST(greatest(0, 100 - 3 * count(*)) AS INT) AS b FROM iss
 SELECT user_id, a, b, CAST(round_even((a + coalesce(b, a)) / 2.0, 0) AS INT) AS score FROM a LEFT JOIN b USING (user_id)""")
 def blended_scores(spark, sf_dir):
     """Two critics' scores of one plan, and their mean, half to even; where the second has none, the first stands for it."""
-    p = audits.plan(spark, sf_dir)
-    found = store.written(audits.A.issues(p, audits.KEYS), "issues")
+    p, found = audits.found_issues(spark, sf_dir)
+    found = store.written(found, "issues")
     lost = found.filter("severity >= 2").groupBy("user_id").agg(F.sum(X.penalty(F.col("severity"))).alias("lost"))
     a = p.select("user_id").distinct().join(lost, "user_id", "left").select("user_id", F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("int").alias("a"))
     b = found.filter("severity = 1").groupBy("user_id").agg(F.greatest(F.lit(0), 100 - 3 * F.count("*")).cast("int").alias("b"))
