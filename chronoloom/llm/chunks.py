@@ -49,7 +49,7 @@ def load(path: str) -> Tokenizer:
 def in_calls(tokenizer: Tokenizer, pieces: list[str], value: Callable[[object], object]) -> list:
     """``value`` of the library's encoding of each piece, in batches balanced by bytes."""
     out = []
-    for a, b in groups_by_bytes([len(p) + 16 for p in pieces], CALL_BYTES):
+    for a, b in groups_by_bytes([len(p.encode("utf-8")) + 16 for p in pieces], CALL_BYTES):
         out += map(value, tokenizer.encode_batch_fast(pieces[a:b], add_special_tokens=False))
     return out
 

@@ -104,7 +104,7 @@ def shrunk(level: DataFrame, prior: str, into: str) -> DataFrame:
     )
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, public: Sequence[str] = SUFFIXES) -> DataFrame:
     """One row a host: n, k, rate (posterior mean) and low (lower bound).
 
     ``pages`` has page_id, host; ``outcomes`` has page_id, bad (0 or 1).
@@ -113,7 +113,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
     once = pages.groupBy("page_id", "host").agg(F.lit(1).alias("one"))
     hosts = once.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("k"))
     # a row a host, written, as three levels read it
-    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = written(hosts.withColumns({"domain": domain_of(F.col("host"), public), "suffix": suffix_of(F.col("host"), public)}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.0)).alias("overall"))
@@ -124,10 +124,10 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
     return hosts.select("host", "n", "k", "rate", (F.col("rate") - z * sd).alias("low"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, block_rate: float = 0.3, z: float = 1.645, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for each page."""
+def judge(pages: DataFrame, outcomes: DataFrame, block_rate: float = 0.3, z: float = 1.645, rules: Sequence[tuple[str, str, str]] = RULES, public: Sequence[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict for each page.  ``public`` names suffixes of two labels under which anybody may register."""
     urls = pick(pages, page_id="page_id", url="url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputations(urls, outcomes, z)
+    known = reputations(urls, outcomes, z, public)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > block_rate, F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(known.select("host", "low"), "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))

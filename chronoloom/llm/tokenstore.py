@@ -105,6 +105,10 @@ def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> tuple[b
     return b"".join(parts), int(offsets[-1])
 
 
+#: Bytes of ids read at once: neighbouring records are one request to the store.
+STRETCH = 1 << 20
+
+
 class Shard:
     """Reads one shard: the index at once, ids by offset."""
 
@@ -130,6 +134,7 @@ class Shard:
         at += self.n_records
         self.offsets = np.frombuffer(self._read(at, 8 * (self.n_records + 1)), dtype="<u8").astype(np.int64)
         self.payload = at + 8 * (self.n_records + 1)
+        self.window, self.base = b"", 0  # what was read last of the ids, and where it begins
 
     def _read(self, at: int, n: int) -> bytes:
         return self.file.read_at(n, at)
@@ -147,8 +152,10 @@ class Shard:
 
     def ids(self, record: int, records: int = 1) -> np.ndarray:
         a, b = int(self.offsets[record]), int(self.offsets[record + records])
-        raw = self._read(self.payload + a * self.width, (b - a) * self.width)
-        return np.frombuffer(raw, dtype=f"<u{self.width}")
+        at, end = self.payload + a * self.width, self.payload + b * self.width
+        if not self.base <= at <= end <= self.base + len(self.window):
+            self.window, self.base = self._read(at, max(end - at, STRETCH)), at
+        return np.frombuffer(self.window[at - self.base : end - self.base], dtype=f"<u{self.width}")
 
 
 class Encoder:

@@ -49,6 +49,19 @@ def test_empty_input(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_columns_named_like_results_pass_through(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("*", "7D AS score", "5 AS predicted", "'x' AS contaminated", "8 AS n_hit", "9 AS Sid", "3 AS stays")
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "jaccard_join", "decontamination", "secret_scan"):
+        out = steps[name](spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and {(r["score"], r["predicted"], r["contaminated"], r["n_hit"], r["Sid"], r["stays"]) for r in rows} == {(7.0, 5, "x", 8, 9, 3)}
+    nulls = spark.createDataFrame([(None, None, "en", "s", 0), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "ein kurzer Text", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nulls, sf).count() >= 3
+
+
 def test_run_is_the_stages_in_turn(spark, sf, tmp_path):
     """A small folder of tables: run() gives what the stages give one after another, and only clean documents' rows."""
     for name in ("documents", "labels", "benchmark"):
