@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.vocab import IMPACT_CUES, SPEAKERS
 
-STAMP = r"^(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
+# The patterns of subtitle stamps, markup and stamped lyric lines.
+STAMP = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})"
+MARKUP = r"<[^>]+>"
 LYRIC = r"^\[(\d{1,2}):(\d{2})(?:[.:](\d{1,3}))?\]\s*(.*)"
 
 
@@ -19,7 +21,7 @@ def group(text: Column, pattern: str, i: int) -> Column:
 
 
 def srt_seconds(stamp: Column) -> Column:
-    """Seconds of HH:MM:SS,mmm at the start of the text; null if it isn't there."""
+    """Seconds of HH:MM:SS,mmm (or .mmm) at the start of the text; null if it isn't there with all its digits."""
     h, m, s, ms = (group(stamp, STAMP, i).try_cast("double") for i in range(1, 5))
     return h * 3600 + m * 60 + s + ms / 1000
 
@@ -34,15 +36,24 @@ def lyric_lines(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return rows.select(*keys, "line_no", t.alias("t"), F.trim(F.regexp_extract(line, LYRIC, 4)).alias("text")).filter("t is not null and text <> ''")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def subtitle_cues(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """keys, cue_no, start, end, text: blocks between blank lines with a valid time line; markup goes, lines are joined by spaces."""
-    blocks = texts.select(*keys, F.posexplode(F.split(F.trim(F.col(text)), r"\r?\n[ \t]*\r?\n")).alias("cue_no", "_block"))
-    lines = F.filter(F.split("_block", r"\r?\n"), lambda l: F.trim(l) != "")
+    """keys, cue_no, start, end, text: blocks between empty lines with a valid time line; markup goes, lines are joined by spaces.
+
+    Only lines without any character part blocks; those of white space within a
+    block are skipped.  cue_no counts blocks, whether they are cues or not.
+    """
+    blocks = texts.select(*keys, F.posexplode(F.split(stripped(F.col(text)), r"\r?\n\r?\n")).alias("cue_no", "_block"))
+    lines = F.filter(F.split("_block", r"\r\n|[\n\r\x0B\f]"), lambda l: l.rlike(r"\S"))
     at = F.array_position(F.transform(lines, lambda l: F.contains(l, F.lit("-->"))), F.lit(True)).cast("int")
     rows = blocks.select(*keys, "cue_no", lines.alias("_lines"), at.alias("_at")).filter("size(_lines) >= 2 and _at > 0")
     ends = F.split(F.get("_lines", F.col("_at") - 1), "-->")
     body = F.array_join(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), " ")
-    out = rows.select(*keys, "cue_no", srt_seconds(F.trim(F.get(ends, 0))).alias("start"), srt_seconds(F.trim(F.get(ends, 1))).alias("end"), F.trim(F.regexp_replace(body, "<[^>]+>", "")).alias("text"))
+    out = rows.select(*keys, "cue_no", srt_seconds(stripped(F.get(ends, 0))).alias("start"), srt_seconds(stripped(F.get(ends, 1))).alias("end"), stripped(F.regexp_replace(body, MARKUP, "")).alias("text"))
     return out.filter("start is not null and end is not null and text <> ''")
 
 

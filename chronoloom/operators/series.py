@@ -25,12 +25,20 @@ def block_rms(samples: DataFrame, keys: Sequence[str], index: Column, value: str
     return samples.groupBy(*keys, index.alias("i")).agg(F.round(F.sqrt(F.avg(F.col(value) * F.col(value)) + EPS), 6).alias("e"))
 
 
-def on_spine(series: DataFrame, keys: Sequence[str], n: int, value: str = "e") -> DataFrame:
-    """Every i from 0 to n - 1 for every series that has a row, with 0 where there was none."""
-    spine = series.select(*keys).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def on_spine(series: DataFrame, keys: Sequence[str], value: str = "e") -> DataFrame:
+    """Every i from the first (0 at most) to the last of each series, with 0 where there was no row."""
+    ends = series.groupBy(*keys).agg(F.least(F.lit(0), F.min("i")).alias("_lo"), F.max("i").alias("_hi"))
+    spine = ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("i"))
     return spine.join(series, [*keys, "i"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def grid(series: DataFrame, keys: Sequence[str], step: int, into: str = "beat") -> DataFrame:
+    """Multiples of ``step`` within each series' extent, with the extent's ends (lo, hi)."""
+    ends = series.groupBy(*keys).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    first = F.ceil(F.col("lo") / step).cast("int") * step
+    return ends.filter(first <= F.col("hi")).withColumn(into, F.explode(F.sequence(first, F.col("hi"), F.lit(step))))
+
+
 def box_smooth(series: DataFrame, keys: Sequence[str], k: int, value: str = "e", into: str = "s") -> DataFrame:
     """Moving average of width ``k`` with zeros beyond the ends (an even width reaches one further back)."""
     w = by(keys).rowsBetween(-(k // 2), (k - 1) // 2)
@@ -70,11 +78,11 @@ def merge_short(spans: DataFrame, keys: Sequence[str], least: float, start: str
 def jumps(series: DataFrame, keys: Sequence[str], width: int, rise: float, q: float = 0.66, value: str = "s") -> DataFrame:
     """Samples where the mean of the next ``width`` exceeds the previous ones' by more than ``rise`` and the quantile ``q``: keys, i."""
     w = by(keys)
-    n = F.count("*").over(Window.partitionBy(*keys))
+    whole = Window.partitionBy(*keys)
     marked = with_quantiles(series, keys, value, q_hi=q).withColumns(
-        {"before": F.round(F.avg(value).over(w.rowsBetween(-width, -1)), 6), "after": F.round(F.avg(value).over(w.rowsBetween(0, width - 1)), 6), "n": n}
+        {"before": F.round(F.avg(value).over(w.rowsBetween(-width, -1)), 6), "after": F.round(F.avg(value).over(w.rowsBetween(0, width - 1)), 6), "lo": F.min("i").over(whole), "hi": F.max("i").over(whole)}
     )
-    return marked.filter((F.col("i") >= width) & (F.col("i") < F.col("n") - width) & (F.round(F.col("after") - F.col("before"), 6) > rise) & (F.col("after") > F.col("q_hi"))).select(*keys, "i")
+    return marked.filter((F.col("i") >= F.col("lo") + width) & (F.col("i") <= F.col("hi") - width) & (F.round(F.col("after") - F.col("before"), 6) > rise) & (F.col("after") > F.col("q_hi"))).select(*keys, "i")
 
 
 def greedy_gap(times: DataFrame, keys: Sequence[str], gap: float, t: str = "i") -> DataFrame:
@@ -142,15 +150,16 @@ def snapped(series: DataFrame, grid: DataFrame, keys: Sequence[str], window: int
 
 def buildups(series: DataFrame, drops: DataFrame, keys: Sequence[str], width: int, rise: float = 0.1, value: str = "s", t: str = "i") -> DataFrame:
     """Windows of ``width`` samples before a drop over which the value rises: keys, drop_i, start_i, end_i."""
-    d = drops.select(*keys, F.col(t).cast("int").alias("drop_i")).withColumns({"start_i": F.greatest(F.lit(0), F.col("drop_i") - width), "end_i": F.col("drop_i") - 1})
+    first_i = series.groupBy(*keys).agg(F.min("i").alias("_lo"))
+    d = drops.select(*keys, F.col(t).cast("int").alias("drop_i")).join(first_i, list(keys)).withColumns({"start_i": F.greatest(F.col("_lo"), F.col("drop_i") - width), "end_i": F.col("drop_i") - 1})
     d = d.filter(F.col("end_i") - F.col("start_i") >= 1)
     first, last = (series.select(*keys, F.col("i").alias(name), F.col(value).alias(v)) for name, v in (("start_i", "_first"), ("end_i", "_last")))
     return d.join(first, [*keys, "start_i"]).join(last, [*keys, "end_i"]).filter(F.round(F.col("_last") - F.col("_first"), 6) > rise).select(*keys, "drop_i", "start_i", "end_i")
 
 
-def at_grid(points: DataFrame, series: DataFrame, keys: Sequence[str], t: str, hz: float, n: int, value: str = "e") -> DataFrame:
-    """The sample at or before each time on a uniform grid, the last one beyond its end: an equality join."""
-    index = F.least(F.floor(F.col(t) * hz).cast("int"), F.lit(n - 1))
+def at_grid(points: DataFrame, series: DataFrame, keys: Sequence[str], t: str, hz: float, value: str = "e") -> DataFrame:
+    """The sample at or before each time on a uniform grid, the series' last one (``hi`` of the point) beyond its end: an equality join."""
+    index = F.greatest(F.col("lo"), F.least(F.floor(F.col(t) * hz).cast("int"), F.col("hi")))
     return points.withColumn("i", index).join(series.select(*keys, "i", value), [*keys, "i"])
 
 

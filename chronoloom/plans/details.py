@@ -38,12 +38,12 @@ def neighbour_clusters(spark, sf_dir):
     return ranges.clips(spark, sf_dir).select("user_id", "pos", F.lag("track").over(w).alias("before"), F.lead("track").over(w).alias("after"))
 
 
-@query(signal.UNIT + """, shot AS (SELECT m.track, section, i, e, s FROM merged m JOIN smooth x ON x.track = m.track AND x.i >= least(m.start_i + 1, 719) AND x.i < greatest(m.start_i + 2, m.end_i))
+@query(signal.UNIT + """, shot AS (SELECT m.track, section, i, e, s FROM merged m JOIN extent z ON z.track = m.track JOIN smooth x ON x.track = m.track AND x.i >= least(m.start_i + 1, hi) AND x.i < greatest(m.start_i + 2, m.end_i))
 SELECT track, section, round(avg(e), 4) AS motion_mean, max(e) AS motion_max, round(avg(s), 4) AS brightness, count(*) AS n FROM shot GROUP BY 1, 2""")
 def shot_motion(spark, sf_dir):
     s, found = signal.merged_sections(spark, sf_dir)
-    inside = F.explode(F.sequence(F.least(F.col("start_i") + 1, F.lit(719)), F.greatest(F.col("start_i") + 2, F.col("end_i")) - 1))
-    shots = found.select("track", "section", inside.alias("i"))
+    inside = F.explode(F.sequence(F.least(F.col("start_i") + 1, F.col("hi")), F.greatest(F.col("start_i") + 2, F.col("end_i")) - 1))
+    shots = found.join(s.groupBy("track").agg(F.max("i").alias("hi")), "track").select("track", "section", inside.alias("i"))
     return shots.join(s, ["track", "i"]).groupBy("track", "section").agg(F.round(F.avg("e"), 4).alias("motion_mean"), F.max("e").alias("motion_max"), F.round(F.avg("s"), 4).alias("brightness"), F.count("*").alias("n"))
 
 

@@ -11,13 +11,13 @@ from chronoloom.sources.store import written
 
 REGISTRY, query = registrar()
 KEYS = ["track"]
-N, SMOOTH, JUMP, RISE, GAP, LEAST = 720, 21, 12, 0.05, 6, 6
+SMOOTH, JUMP, RISE, GAP, LEAST = 21, 12, 0.05, 6, 6
 BUILD, PERIOD, SNAP = 24, 24, 3
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.expr("CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS INT)").alias("h"), F.col("value").alias("v"))
-    return S.on_spine(S.block_rms(events, KEYS, F.col("h"), "v"), KEYS, N)
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.expr("CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 3600000000) AS INT)").alias("h"), F.col("value").alias("v"))
+    return S.on_spine(S.block_rms(events, KEYS, F.col("h"), "v"), KEYS)
 
 
 def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,10 @@ def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNIT = """
 WITH raw AS (
   SELECT event_type AS track, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INT) AS i, round(sqrt(avg(value * value) + 1e-9), 6) AS e FROM events GROUP BY 1, 2),
-spine AS (SELECT track, CAST(i AS INT) AS i FROM (SELECT DISTINCT track FROM raw), range(720) r(i)),
+extent AS (SELECT track, least(0, min(i)) AS lo, max(i) AS hi FROM raw GROUP BY 1),
+grid6 AS (SELECT track, lo, hi, unnest(range(CAST(ceil(lo / 6.0) * 6 AS BIGINT), CAST(hi + 1 AS BIGINT), 6)) AS b FROM extent),
+grid24 AS (SELECT track, unnest(range(CAST(ceil(lo / 24.0) * 24 AS BIGINT), CAST(hi + 1 AS BIGINT), 24)) AS b FROM extent),
+spine AS (SELECT track, CAST(unnest(range(CAST(lo AS BIGINT), CAST(hi + 1 AS BIGINT))) AS INT) AS i FROM extent),
 filled AS (SELECT spine.track, spine.i, coalesce(e, 0.0) AS e FROM spine LEFT JOIN raw USING (track, i)),
 energy AS (SELECT track, i, round(e / (max(e) OVER (PARTITION BY track) + 1e-9), 6) AS e FROM filled),
 smooth AS (SELECT track, i, e, round(sum(e) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) / 21, 6) AS s FROM energy),
@@ -52,7 +55,7 @@ rises AS (
 around AS (
   SELECT track, i, q_jump, round(avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 6) AS before,
          round(avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 6) AS after FROM graded),
-jumped AS (SELECT track, i FROM around WHERE i >= 12 AND i < 708 AND round(after - before, 6) > 0.05 AND after > q_jump),
+jumped AS (SELECT track, i FROM around JOIN extent USING (track) WHERE i >= lo + 12 AND i <= hi - 12 AND round(after - before, 6) > 0.05 AND after > q_jump),
 candidates AS (SELECT * FROM rises UNION ALL SELECT * FROM jumped),
 kept AS (
   SELECT track, list_reduce(list_transform(list_sort(list(CAST(i AS DOUBLE))), lambda v: [v]), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] - acc[-1] > 6 THEN list_concat(acc, x) ELSE acc END, CAST([] AS DOUBLE[])) AS ks
@@ -89,9 +92,9 @@ def energy_drops(spark, sf_dir):
 
 @query(
     UNIT
-    + """SELECT d.track, d.i AS drop_i, CAST(greatest(0, d.i - 24) AS INT) AS start_i, CAST(d.i - 1 AS INT) AS end_i
-FROM drops d JOIN smooth a ON a.track = d.track AND a.i = greatest(0, d.i - 24) JOIN smooth b ON b.track = d.track AND b.i = d.i - 1
-WHERE d.i - 1 - greatest(0, d.i - 24) >= 1 AND round(b.s - a.s, 6) > 0.02"""
+    + """SELECT d.track, d.i AS drop_i, CAST(greatest(lo, d.i - 24) AS INT) AS start_i, CAST(d.i - 1 AS INT) AS end_i
+FROM drops d JOIN extent x ON x.track = d.track JOIN smooth a ON a.track = d.track AND a.i = greatest(lo, d.i - 24) JOIN smooth b ON b.track = d.track AND b.i = d.i - 1
+WHERE d.i - 1 - greatest(lo, d.i - 24) >= 1 AND round(b.s - a.s, 6) > 0.02"""
 )
 def buildups(spark, sf_dir):
     s, d = drops(spark, sf_dir)
@@ -104,13 +107,13 @@ def rel_energy(spark, sf_dir):
 
 
 def beats(df: DataFrame, step: int = 6) -> DataFrame:
-    return df.select(*KEYS).distinct().withColumn("beat", F.explode(F.sequence(F.lit(0), F.lit(N - 1), F.lit(step))))
+    return S.grid(df, KEYS, step).select(*KEYS, "beat")
 
 
-@query(UNIT + "SELECT track, CAST(b AS INT) AS beat, CAST(least(floor(b * 1.05), 719) AS INT) AS i, e FROM smooth JOIN range(0, 720, 6) r(b) ON smooth.i = CAST(least(floor(b * 1.05), 719) AS INT)")
+@query(UNIT + "SELECT s.track, CAST(b AS INT) AS beat, s.i, e FROM smooth s JOIN grid6 g ON s.track = g.track AND s.i = CAST(greatest(lo, least(floor(b * 1.05), hi)) AS INT)")
 def beat_energy(spark, sf_dir):
     e = unit(spark, sf_dir)
-    return S.at_grid(beats(e), e, KEYS, "beat", 1.05, N).select("track", "beat", "i", "e")
+    return S.at_grid(S.grid(e, KEYS, 6), e, KEYS, "beat", 1.05).select("track", "beat", "i", "e")
 
 
 @query(
@@ -141,19 +144,19 @@ def phase_search(spark, sf_dir):
     return scored.groupBy(*KEYS).agg(F.max_by("phase", F.struct("score", -F.col("phase"))).alias("phase"), F.max("score").alias("score"))
 
 
-@query(UNIT + "SELECT track, CAST(b AS INT) AS beat, CAST(arg_max(i, e * 1000000 - i * 0.0001) AS INT) AS snapped FROM smooth JOIN range(0, 720, 24) r(b) ON i BETWEEN b - 3 AND b + 3 GROUP BY 1, 2")
+@query(UNIT + "SELECT s.track, CAST(b AS INT) AS beat, CAST(arg_max(i, e * 1000000 - i * 0.0001) AS INT) AS snapped FROM smooth s JOIN grid24 g ON g.track = s.track AND i BETWEEN b - 3 AND b + 3 GROUP BY 1, 2")
 def beat_snap(spark, sf_dir):
     e = unit(spark, sf_dir)
     return S.snapped(e, beats(e, PERIOD), KEYS, SNAP).withColumn("snapped", F.col("snapped").cast("int"))
 
 
-@query(UNIT + "SELECT track, CAST(b AS INT) AS beat, CAST(b / 6 AS INT) AS beat_no FROM (SELECT DISTINCT track FROM energy), range(0, 720, 24) r(b)")
+@query(UNIT + "SELECT track, CAST(b AS INT) AS beat, CAST(b / 6 AS INT) AS beat_no FROM grid24")
 def downbeats(spark, sf_dir):
     b = beats(hourly(spark, sf_dir)).withColumn("beat_no", (F.col("beat") / 6).cast("int"))
     return b.filter("beat_no % 4 = 0")
 
 
-@query(UNIT + "SELECT DISTINCT d.track, CAST(b AS INT) AS beat FROM drops d JOIN range(0, 720, 6) r(b) ON abs(b - d.i) <= 2")
+@query(UNIT + "SELECT DISTINCT d.track, CAST(b AS INT) AS beat FROM drops d JOIN grid6 g ON g.track = d.track AND abs(b - d.i) <= 2")
 def beat_drop_band(spark, sf_dir):
     s, d = drops(spark, sf_dir)
     near = d.select("track", F.explode(F.sequence(F.col("i") - 2, F.col("i") + 2)).alias("beat")).distinct()
@@ -163,12 +166,13 @@ def beat_drop_band(spark, sf_dir):
 WALK = UNIT.replace("WITH raw", "WITH RECURSIVE raw") + """, beat AS (
   SELECT g.track, g.k, g.level, CAST(CASE g.level WHEN 'low' THEN 4 WHEN 'mid' THEN 2 ELSE 1 END AS INT) AS stride
   FROM (SELECT track, CAST(i / 6 AS INT) AS k, level FROM graded WHERE i % 6 = 0) g),
-hit AS (SELECT DISTINCT track, CAST(b / 6 AS INT) AS k FROM drops d JOIN range(0, 720, 6) r(b) ON abs(b - d.i) <= 2),
+edge AS (SELECT track, CAST(ceil(lo / 6.0) AS INT) AS first_k, CAST(floor(hi / 6.0) AS INT) AS last_k FROM extent),
+hit AS (SELECT DISTINCT d.track, CAST(b / 6 AS INT) AS k FROM drops d JOIN grid6 g ON g.track = d.track AND abs(b - d.i) <= 2),
 step AS (
-  SELECT b.track, b.k, b.level, least(b.k + b.stride, 119) AS last, coalesce(min(h.k), least(b.k + b.stride, 119)) AS next, count(h.k) > 0 AS is_drop
-  FROM beat b LEFT JOIN hit h ON h.track = b.track AND h.k > b.k AND h.k <= least(b.k + b.stride, 119) WHERE b.k < 119 GROUP BY b.track, b.k, b.level, b.stride),
+  SELECT b.track, b.k, b.level, least(b.k + b.stride, last_k) AS last, coalesce(min(h.k), least(b.k + b.stride, last_k)) AS next, count(h.k) > 0 AS is_drop, b.k = first_k AS head
+  FROM beat b JOIN edge USING (track) LEFT JOIN hit h ON h.track = b.track AND h.k > b.k AND h.k <= least(b.k + b.stride, last_k) WHERE b.k < last_k GROUP BY b.track, b.k, b.level, b.stride, first_k, last_k),
 walk AS (
-  SELECT track, 0 AS seg_no, k, next, level, is_drop FROM step WHERE k = 0
+  SELECT track, 0 AS seg_no, k, next, level, is_drop FROM step WHERE head
   UNION ALL SELECT s.track, w.seg_no + 1, s.k, s.next, s.level, s.is_drop FROM walk w JOIN step s ON s.track = w.track AND s.k = w.next)
 """
 
@@ -178,15 +182,16 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, d = drops(spark, sf_dir)
     graded = S.with_quantiles(s, KEYS, "s", q_lo=0.40, q_hi=0.72).withColumn("level", F.when(F.col("s") >= F.col("q_hi"), "high").when(F.col("s") <= F.col("q_lo"), "low").otherwise("mid"))
     beat = graded.filter("i % 6 = 0").select("track", (F.col("i") / 6).cast("int").alias("k"), "level").withColumn("stride", F.when(F.col("level") == "low", 4).when(F.col("level") == "mid", 2).otherwise(1))
-    hit = d.select("track", F.explode(F.sequence(F.col("i") - 2, F.col("i") + 2)).alias("b")).filter("b % 6 = 0 and b >= 0 and b < 720").select("track", (F.col("b") / 6).cast("int").alias("h")).distinct()
-    reach = beat.filter("k < 119").withColumn("last", F.least(F.col("k") + F.col("stride"), F.lit(119))).withColumn("h", F.explode(F.sequence(F.col("k") + 1, F.col("last"))))
+    hit = d.select("track", F.explode(F.sequence(F.col("i") - 2, F.col("i") + 2)).alias("b")).filter("b % 6 = 0").select("track", (F.col("b") / 6).cast("int").alias("h")).distinct()
+    ends = beat.groupBy("track").agg(F.max("k").alias("last_k"))
+    reach = beat.join(ends, "track").filter("k < last_k").withColumn("last", F.least(F.col("k") + F.col("stride"), F.col("last_k"))).withColumn("h", F.explode(F.sequence(F.col("k") + 1, F.col("last"))))
     step = reach.join(hit.withColumn("there", F.lit(True)), ["track", "h"], "left").groupBy("track", "k", "level", "last").agg(F.min(F.when(F.col("there"), F.col("h"))).alias("first_hit"))
     step = step.select("track", F.struct("k", F.coalesce("first_hit", "last").alias("next"), "level", F.col("first_hit").isNotNull().alias("is_drop")).alias("s"))
     item = "array<struct<k:int,next:int,level:string,is_drop:boolean>>"
     path = F.aggregate(
         F.array_sort(F.collect_list("s")),
         F.array().cast(item),
-        lambda acc, x: F.when(((F.size(acc) == 0) & (x["k"] == 0)) | ((F.size(acc) > 0) & (F.element_at(acc, -1)["next"] == x["k"])), F.concat(acc, F.array(x))).otherwise(acc),
+        lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["next"] == x["k"]), F.concat(acc, F.array(x))).otherwise(acc),
     )
     return step.groupBy("track").agg(path.alias("p")).select("track", F.posexplode("p").alias("seg_no", "s")).select("track", "seg_no", "s.*")
 

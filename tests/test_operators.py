@@ -153,6 +153,17 @@ def test_subtitles_and_labels(spark):
     assert got == [(1.5, "denji", ["gasps"], "Hello you"), (3.0, None, ["explosion"], None), (5.0, "other", [], "hi")]
 
 
+def test_odd_stamps_and_blocks(spark):
+    cue = lambda stamp, body="x": f"{stamp}\n{body}"
+    blocks = [
+        cue("0:00:01,500 --> 00:00:02,000"), cue("00:00:01,5 --> 00:00:02,000"), cue("00:00:01,50 --> 00:00:02,000"), cue("00:00:01;500 --> 00:00:02,000"), cue("100:00:01,500 --> 00:00:02,000"),  # no cues
+        cue("00:00:01,5009 --> 00:00:02.000 X1:40", "kept"), "7\n 00:00:03,000-->00:00:04,000 \n \n<b>a</b>\n\t\nb <i>c</i> ", cue("00:00:05,000 --> 00:00:06,000", "<i></i>"), "00:00:07,000 --> 00:00:08,000", cue("10:59:59.999 --> 99:00:00,001", "late"),
+    ]
+    text = "\n\n\n" + "\n\n".join(blocks) + "\r\n\r\n12\r\n00:00:09,000 --> 00:00:10,000\r\nend\r\n\n\n"
+    cues = P.subtitle_cues(spark.createDataFrame([("a", text), ("b", None), ("c", "")], "k string, text string"), ["k"], "text")
+    assert [(r.k, r.start, r.end, r.text) for r in cues.orderBy("start").collect()] == [("a", 1.5, 2.0, "kept"), ("a", 3.0, 4.0, "a b c"), ("a", 9.0, 10.0, "end"), ("a", 39599.999, 356400.001, "late")]
+
+
 def test_coercion(spark):
     vocabulary = ("action", "tense", "tender", "sad", "neutral")[:3] + ("neutral",)
     got = [value(spark, X.coerced(F.lit(v).cast("string"), vocabulary, "neutral")) for v in ("Action-packed", "tense action", "sad", None, " TENSE ")]

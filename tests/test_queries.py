@@ -34,6 +34,26 @@ def test_query_equals_sql(spark, sf, db, name):
     assert [c for c in columns if not same(got[c], want[c])] == []
 
 
+def test_series_reach_as_far_as_their_events(spark, sf, tmp_path):
+    """Tracks from before the first of January to after its thirty days: no hour is left out."""
+    events = pd.read_parquet(f"{sf}/events.parquet")
+    late = events.event_type == "click" if (events.event_type == "click").any() else events.event_type == events.event_type.iloc[0]
+    events.loc[late, "ts"] += pd.Timedelta(days=17)
+    events.loc[events.index % 5 == 0, "ts"] -= pd.Timedelta(days=4)
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ends = set()
+    for name in ("energy_sections", "energy_drops", "buildups", "rel_energy", "beat_energy", "beat_snap", "downbeats", "cut_walk", "shot_motion"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), c.execute(catalog.oracle_sql()[name]).df()
+        columns = sorted(got.columns)
+        got, want = (f[columns].sort_values(columns).reset_index(drop=True) for f in (got, want))
+        assert len(got) == len(want) > 0 and [x for x in columns if not same(got[x], want[x])] == [], name
+        ends |= {got[x].min() for x in ("i", "start_i", "beat", "k") if x in columns} | {got[x].max() for x in ("i", "end_i", "beat") if x in columns}
+    assert min(ends) < -80 and max(ends) > 1100
+
+
 def loop(slots, clips, arc):
     """The greedy choice a clip at a time, as it is told in words: a list of (slot, id)."""
     uses, last, chosen, out = {c["id"]: 0 for c in clips}, {}, {}, []
