@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.exprs import EPS, level
+from chronoloom.sources.store import written
 
 
 def by(keys: Sequence[str], order: str | Column = "i"):
@@ -39,6 +40,36 @@ def grid(series: DataFrame, keys: Sequence[str], step: int, into: str = "beat")
     return ends.filter(first <= F.col("hi")).withColumn(into, F.explode(F.sequence(first, F.col("hi"), F.lit(step))))
 
 
+def ranged(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``rows`` in ranges of (keys, order), written, each row with its range's number ``_range``; a long series is spread over many."""
+    return written(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def neighbours(held: DataFrame, keys: Sequence[str], order: str, before: Sequence[str] = (), after: Sequence[str] = ()) -> DataFrame:
+    """``held`` (from ``ranged``) with structs ``_before`` and ``_after``: the named columns of the row before and after in the series, null at its ends.
+
+    A window sees one series' rows of one range; across ranges only the rows
+    at their ends are carried over, one a series and range, so no series' rows
+    come together in a task, however long it is.
+    """
+    within = Window.partitionBy(*keys, "_range").orderBy(order)
+    across = Window.partitionBy(*keys).orderBy("_range")
+    out = held
+    for into, names, step, edge in (("_before", before, F.lag, F.max_by), ("_after", after, F.lead, F.min_by)):
+        if not names:
+            continue
+        item = F.struct(*names)
+        carried = held.groupBy(*keys, "_range").agg(edge(item, order).alias("_edge")).withColumn("_edge", step("_edge").over(across)).filter("_edge is not null")
+        carried = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_range"])], "_edge")
+        out = out.withColumn(into, step(item).over(within))
+        # only the row at the range's end looks across
+        same = F.lit(True)
+        for i, k in enumerate([*keys, "_range"]):
+            same = same & out[k].eqNullSafe(carried[f"_k{i}"])
+        out = out.join(carried, same & out[into].isNull(), "left").withColumn(into, F.coalesce(into, "_edge")).drop("_edge", *[f"_k{i}" for i in range(len(keys) + 1)])
+    return out
+
+
 def box_smooth(series: DataFrame, keys: Sequence[str], k: int, value: str = "e", into: str = "s") -> DataFrame:
     """Moving average of width ``k`` with zeros beyond the ends (an even width reaches one further back)."""
     w = by(keys).rowsBetween(-(k // 2), (k - 1) // 2)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.exprs import cosine, hamming, median_of, packed_bits
+from chronoloom.operators.series import neighbours, ranged
 
 
 def sign_hash(vectors: DataFrame, vector: str, into: str = "hash") -> DataFrame:
@@ -82,8 +83,9 @@ def vector_mean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def adjacent(vectors: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     """Each row with the one before it in its group, and their cosine: key, order, before, cos."""
-    w = Window.partitionBy(key).orderBy(order)
-    return vectors.withColumns({"before": F.lag(order).over(w), "_v": F.lag(vector).over(w)}).filter("before is not null").select(key, order, "before", F.round(cosine(F.col("_v"), F.col(vector)), 4).alias("cos"))
+    held = ranged(vectors.select(key, order, vector), [key], order)
+    near = neighbours(held, [key], order, before=[order, vector])
+    return near.filter(f"_before.{order} is not null").select(key, order, F.col(f"_before.{order}").alias("before"), F.round(cosine(F.col(f"_before.{vector}"), F.col(vector)), 4).alias("cos"))
 
 
 def best_reference(vectors: DataFrame, references: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 1024) -> DataFrame:
@@ -95,7 +97,8 @@ def best_reference(vectors: DataFrame, references: DataFrame, least: float, id_c
     rounded to four places.  Null vectors take no part; zero ones score 0.
     """
     refs = references.select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("r")).filter("r is not null")
-    numbered = refs.withColumn("part", F.pmod(F.xxhash64("r"), F.greatest(F.ceil(F.count("*").over(Window.partitionBy("label")) / block), F.lit(1))))
+    counts = refs.groupBy(F.col("label").alias("of")).agg(F.ceil(F.count("*") / block).alias("parts"))
+    numbered = refs.join(counts, F.col("label").eqNullSafe(F.col("of"))).select("label", "r", F.pmod(F.xxhash64("r"), "parts").alias("part"))
     packed = numbered.groupBy("label", "part").agg(F.collect_list("r").alias("refs"))
     mine = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
     lots = mine.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-mine.count() // (8 * block)))))).groupBy("lot").agg(F.collect_list(F.struct("id", "v")).alias("rows"))

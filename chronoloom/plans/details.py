@@ -79,7 +79,8 @@ def act_mix(spark, sf_dir):
 @query("""SELECT label, vec_id, CASE WHEN p IS NULL THEN 0.0 ELSE round(list_sum(list_transform(range(64), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(p[i + 1] AS DOUBLE)))) / 64, 5) END AS motion
 FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)""")
 def frame_difference(spark, sf_dir):
-    e = library.embeddings(spark, sf_dir).withColumn("p", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
+    held = S.ranged(library.embeddings(spark, sf_dir), ["label"], "vec_id")
+    e = S.neighbours(held, ["label"], "vec_id", before=["embedding"]).withColumn("p", F.col("_before.embedding"))
     gap = F.aggregate(F.zip_with("embedding", "p", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x) / 64
     return e.select("label", "vec_id", F.when(F.col("p").isNull(), 0.0).otherwise(F.round(gap, 5)).alias("motion"))
 
@@ -90,15 +91,17 @@ n AS (SELECT label, vec_id, CAST(flux AS HUGEINT) AS x, CAST(max(flux) OVER (PAR
 SELECT label, vec_id, CASE WHEN most = 0 THEN 0.0 ELSE CAST(((coalesce(lag(x) OVER w, 0) + 2 * x + coalesce(lead(x) OVER w, 0)) * 1000000 + 2 * most) // (4 * most) AS DOUBLE) / 1e6 END AS onset FROM n WINDOW w AS (PARTITION BY label ORDER BY vec_id)""")
 def spectral_flux(spark, sf_dir):
     """Positive change from frame to frame as a share of the largest, smoothed by 0.25, 0.5, 0.25; in integers up to the last step, so the sums don't depend on their order."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = library.embeddings(spark, sf_dir).withColumn("p", F.lag("embedding").over(w))
+    held = S.ranged(library.embeddings(spark, sf_dir), ["label"], "vec_id")
+    e = S.neighbours(held, ["label"], "vec_id", before=["embedding"]).withColumn("p", F.col("_before.embedding"))
     fixed = lambda x: F.round(x.cast("double") * 1e9).cast("long")
     rise = F.aggregate(F.zip_with("embedding", "p", lambda a, b: F.greatest(F.lit(0), fixed(a) - fixed(b))), F.lit(0).cast("long"), lambda s, x: s + x)
-    f = e.select("label", "vec_id", F.coalesce(rise, F.lit(0)).cast("decimal(20,0)").alias("x"))
-    x = f.withColumn("most", F.max("x").over(Window.partitionBy("label")))
-    side = lambda f_: F.coalesce(f_("x").over(w), F.lit(0))
+    f = store.written(e.select("label", "vec_id", "_range", F.coalesce(rise, F.lit(0)).cast("decimal(20,0)").alias("x")), "flux")
+    most = f.groupBy(F.col("label").alias("of")).agg(F.max("x").alias("most"))
+    around = S.neighbours(f, ["label"], "vec_id", before=["x"], after=["x"])
+    x = around.join(most, F.col("label").eqNullSafe(F.col("of")))
+    side = lambda name: F.coalesce(F.col(f"{name}.x"), F.lit(0))
     share = F.expr("CAST((total * 1000000 + 2 * most) div (4 * most) AS DOUBLE) / 1e6")
-    return x.withColumn("total", side(F.lag) + 2 * F.col("x") + side(F.lead)).select("label", "vec_id", F.when(F.col("most") == 0, 0.0).otherwise(share).alias("onset"))
+    return x.withColumn("total", side("_before") + 2 * F.col("x") + side("_after")).select("label", "vec_id", F.when(F.col("most") == 0, 0.0).otherwise(share).alias("onset"))
 
 
 @query(library.LIBRARY + "SELECT id, CAST(greatest(1, least(6, 1 + floor(dur * 4 / 2) + CASE WHEN intensity > 0.5 THEN 2 ELSE 0 END)) AS INT) AS n_keyframes FROM lib")

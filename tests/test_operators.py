@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
@@ -164,6 +165,24 @@ def test_odd_stamps_and_blocks(spark):
     assert [(r.k, r.start, r.end, r.text) for r in cues.orderBy("start").collect()] == [("a", 1.5, 2.0, "kept"), ("a", 3.0, 4.0, "a b c"), ("a", 9.0, 10.0, "end"), ("a", 39599.999, 356400.001, "late")]
 
 
+def test_neighbours_across_ranges(spark):
+    """One series over all ranges, short ones, a null key and ties: as lag and lead over the whole series."""
+    many = [("hot", i, i * i) for i in range(400)] + [("b", 5, 1), ("c", 1, 2), ("c", 2, 3), (None, 1, 7), (None, 9, 8)]
+    df = spark.createDataFrame(many, "k string, i int, v int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = series.ranged(df, ["k"], "i")
+        assert held.filter("k = 'hot'").select("_range").distinct().count() > 2
+        got = series.neighbours(held, ["k"], "i", before=["i", "v"], after=["v"]).select("k", "i", "v", "_before.i", F.col("_before.v").alias("b"), F.col("_after.v").alias("a"))
+        w = Window.partitionBy("k").orderBy("i")
+        want = df.select("k", "i", "v", F.lag("i").over(w), F.lag("v").over(w).alias("b"), F.lead("v").over(w).alias("a"))
+        order = lambda r: tuple((x is None, str(x)) for x in r)
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(map(tuple, want.collect()), key=order)
+        assert series.neighbours(series.ranged(df.limit(0), ["k"], "i"), ["k"], "i", before=["v"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_coercion(spark):
     vocabulary = ("action", "tense", "tender", "sad", "neutral")[:3] + ("neutral",)
     got = [value(spark, X.coerced(F.lit(v).cast("string"), vocabulary, "neutral")) for v in ("Action-packed", "tense action", "sad", None, " TENSE ")]
