@@ -269,15 +269,41 @@ BLOCK = ["ids", "null", "ends", "packed"]
 
 
 class SuffixLevels:
-    """Suffix arrays over one text: positions of distinct windows in the order of their bytes, in levels of geometric size."""
+    """Suffix arrays over one text: positions of distinct windows in the order of their bytes, in levels of geometric size.
+
+    A level holds its windows' first eight bytes as numbers beside the
+    positions, so a scan passes over numbers and looks at the text only where
+    they are equal.
+    """
 
     def __init__(self, text: np.ndarray, length: int):
         self.text, self.length = text, length
-        self.levels: list[np.ndarray] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # heads, positions
 
     def keys(self, positions: np.ndarray) -> np.ndarray:
         return self.text[positions[:, None] + np.arange(self.length)].reshape(-1).view(f"S{self.length}")
 
+    def heads(self, positions: np.ndarray) -> np.ndarray:
+        wide = min(8, self.length)
+        first = np.zeros((len(positions), 8), dtype=np.uint8)
+        first[:, :wide] = self.text[positions[:, None] + np.arange(wide)]
+        return first.view(">u8").ravel().astype(np.uint64)
+
+    def scan(self, level: tuple[np.ndarray, np.ndarray], heads: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Which of a batch's windows, in order, are in ``level``: one merge by heads, then a search by whole windows among those of equal heads."""
+        low, high = np.searchsorted(level[0], heads, side="left"), np.searchsorted(level[0], heads, side="right")
+        found = np.zeros(len(positions), dtype=bool)
+        left = np.flatnonzero(low < high)
+        while len(left):
+            mid = (low[left] + high[left]) // 2
+            there, mine = self.keys(level[1][mid]), self.keys(positions[left])
+            found[left[there == mine]] = True
+            below = there < mine
+            low[left[below]] = mid[below] + 1
+            high[left[~below]] = mid[~below]
+            left = left[~found[left] & (low[left] < high[left])]
+        return found
+
     def add(self, positions: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Which windows are in a level or belong to a smaller owner of the batch; then the batch joins the levels.
 
@@ -288,33 +314,24 @@ class SuffixLevels:
         ranked = keys[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         group = np.cumsum(new) - 1
-        distinct = ranked[new]
+        distinct = positions[order][new]
+        heads = self.heads(distinct)
         known = owners[order] > owners[order][new][group]
         old = np.zeros(len(distinct), dtype=bool)
         for level in self.levels:
-            old |= merge_scan(self.keys(level), distinct)
+            todo = np.flatnonzero(~old)
+            old[todo] = self.scan(level, heads[todo], distinct[todo])
         out = np.empty(len(order), dtype=bool)
         out[order] = known | old[group]
-        self.levels.append(positions[order][new][~old])
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels[-2], self.levels.pop()])
-            self.levels[-1] = both[np.argsort(self.keys(both), kind="stable")]
+        self.levels.append((heads[~old], distinct[~old]))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            (h1, p1), (h2, p2) = self.levels.pop(), self.levels.pop()
+            both = np.concatenate([p2, p1])
+            merged = np.argsort(self.keys(both), kind="stable")  # two ascending runs
+            self.levels.append((np.concatenate([h2, h1])[merged], both[merged]))
         return out
 
 
-def merge_scan(level: np.ndarray, batch: np.ndarray) -> np.ndarray:
-    """Which elements of ``batch`` are in ``level``; both are sorted and distinct, so equal ones end up side by side."""
-    if not len(level) or not len(batch):
-        return np.zeros(len(batch), dtype=bool)
-    both = np.concatenate([level, batch])
-    order = np.argsort(both, kind="stable")
-    ranked = both[order]
-    twice = np.nonzero(ranked[1:] == ranked[:-1])[0] + 1
-    found = np.zeros(len(batch), dtype=bool)
-    found[order[twice] - len(level)] = True
-    return found
-
-
 def judged_segments(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, text: np.ndarray, length: int, batch: int) -> np.ndarray:
     """For each of distinct segments a mask of its windows (bit j: the window at offset j) that also start in a smaller document."""
     by_doc = np.argsort(docs, kind="stable")
@@ -440,7 +457,7 @@ def per_block(replies: DataFrame, name: str) -> DataFrame:
     return written(grouped, name)
 
 
-def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 17, fan: int = 256) -> DataFrame:
+def remove(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 14, fan: int = 256) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not GRAM + 1 <= length <= GRAM + 62:
         raise ValueError("length must be between 21 and 82")

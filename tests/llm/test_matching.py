@@ -231,7 +231,41 @@ def test_suffix_levels_are_geometric():
     levels = suffixdedup.SuffixLevels(text, 50)
     for i in range(30):
         levels.add(np.arange(100) * 50 + i * 5000, np.full(100, i))
-    assert len(levels.levels) <= 8 and sum(map(len, levels.levels)) == 3000
+    assert len(levels.levels) <= 8 and sum(len(at) for _, at in levels.levels) == 3000
+
+
+@pytest.mark.parametrize("alphabet", [2, 256])
+def test_suffix_levels_in_batches_equal_one_batch(alphabet):
+    """Twenty batches, of windows that repeat within and across batches, with null bytes and heads in common: scans of older levels lose nothing."""
+    rng = np.random.default_rng(alphabet)
+    pool = rng.integers(0, alphabet, (300, 50), dtype=np.uint8)
+    pool[:100, :30] = 0
+    text = pool[rng.integers(0, 300, 2000)].ravel()
+    owners, positions = np.sort(rng.integers(0, 400, 2000)), np.arange(2000) * 50
+    whole = suffixdedup.SuffixLevels(text, 50).add(positions, owners)
+    levels, out, seen = suffixdedup.SuffixLevels(text, 50), [], 0
+    for cut in [*np.searchsorted(owners, np.arange(20, 400, 20)), 2000]:
+        out.append(levels.add(positions[seen:cut], owners[seen:cut]))
+        seen = cut
+    first: dict = {}
+    for at, owner in zip(positions.tolist(), owners.tolist(), strict=True):
+        first.setdefault(text[at : at + 50].tobytes(), owner)
+    want = [first[text[at : at + 50].tobytes()] < owner for at, owner in zip(positions.tolist(), owners.tolist(), strict=True)]
+    assert np.concatenate(out).tolist() == want == whole.tolist()
+    assert len(levels.levels) > 1 and sum(len(at) for _, at in levels.levels) == len(first)
+
+
+def test_suffix_levels_are_scanned_on_a_given_table(spark, sf, monkeypatch):
+    """Batches of the production size over the smallest table's text: older levels are scanned and merged."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    text = np.frombuffer("".join(t or "" for _, t in rows).encode(), dtype=np.uint8)
+    scans = []
+    levels = suffixdedup.SuffixLevels(text, 50)
+    true = suffixdedup.SuffixLevels.scan
+    monkeypatch.setattr(suffixdedup.SuffixLevels, "scan", lambda self, *a: scans.append(1) or true(self, *a))
+    for a in range(0, 6 << 14, 1 << 14):
+        levels.add(np.arange(a, a + (1 << 14)), np.full(1 << 14, a))
+    assert len(scans) >= 5 and len(levels.levels) <= 6
 
 
 def test_suffix_dedup_in_several_levels(spark):
