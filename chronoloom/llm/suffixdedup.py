@@ -278,15 +278,16 @@ class SuffixLevels:
 
     def __init__(self, text: np.ndarray, length: int):
         self.text, self.length = text, length
+        wide = min(8, length)
+        self.windows, self.starts = (np.lib.stride_tricks.sliding_window_view(text, n) if len(text) >= n else np.zeros((0, n), dtype=np.uint8) for n in (length, wide))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # heads, positions
 
     def keys(self, positions: np.ndarray) -> np.ndarray:
-        return self.text[positions[:, None] + np.arange(self.length)].reshape(-1).view(f"S{self.length}")
+        return self.windows[positions].reshape(-1).view(f"S{self.length}")
 
     def heads(self, positions: np.ndarray) -> np.ndarray:
-        wide = min(8, self.length)
         first = np.zeros((len(positions), 8), dtype=np.uint8)
-        first[:, :wide] = self.text[positions[:, None] + np.arange(wide)]
+        first[:, : self.starts.shape[1]] = self.starts[positions]
         return first.view(">u8").ravel().astype(np.uint64)
 
     def scan(self, level: tuple[np.ndarray, np.ndarray], heads: np.ndarray, positions: np.ndarray) -> np.ndarray:
