@@ -116,20 +116,6 @@ def jumps(series: DataFrame, keys: Sequence[str], width: int, rise: float, q: fl
     return marked.filter((F.col("i") >= F.col("lo") + width) & (F.col("i") <= F.col("hi") - width) & (F.round(F.col("after") - F.col("before"), 6) > rise) & (F.col("after") > F.col("q_hi"))).select(*keys, "i")
 
 
-def greedy_gap(times: DataFrame, keys: Sequence[str], gap: float, t: str = "i") -> DataFrame:
-    """Times kept in ascending order if more than ``gap`` after the last kept one: keys, t.
-
-    The order-dependent scan folds over one array a series, so a series' candidate
-    times must fit in a row.
-    """
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.col(t).cast("double"))),
-        F.array().cast("array<double>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > gap), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return times.groupBy(*keys).agg(kept.alias("_kept")).select(*keys, F.explode("_kept").alias(t))
-
-
 def greedy_gap_by_score(rows: DataFrame, keys: Sequence[str], gap: float, most: int, t: str = "t", score: str = "score") -> DataFrame:
     """In descending score (then ascending time) rows at least ``gap`` from all chosen ones, up to ``most``: keys, t."""
     item = F.struct((-F.col(score)).alias("s"), F.col(t).cast("double").alias("t"))

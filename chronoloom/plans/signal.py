@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators import chains
 from chronoloom.operators import series as S
 from chronoloom.plans.registry import registrar, table
 from chronoloom.sources.store import written
@@ -77,7 +78,7 @@ def structural_drops(found: DataFrame) -> DataFrame:
 def drops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s, found = merged_sections(spark, sf_dir)
     both = structural_drops(found).unionAll(S.jumps(s, KEYS, JUMP, RISE))
-    return s, S.greedy_gap(both, KEYS, GAP).withColumn("i", F.col("i").cast("int"))
+    return s, chains.greedy_gap(both, KEYS, GAP).withColumn("i", F.col("i").cast("int"))
 
 
 @query(UNIT + "SELECT track, section, CAST(start_i AS INT) AS start_i, CAST(end_i AS INT) AS end_i, level, energy FROM merged")
@@ -178,7 +179,7 @@ walk AS (
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments between beats: a stride by level, cut short at a drop.  Each beat's next one is a pure column; the walk is a fold over one small array a track."""
+    """Segments between beats: a stride by level, cut short at a drop.  Each beat's next one is a pure column; the walk follows these."""
     s, d = drops(spark, sf_dir)
     graded = S.with_quantiles(s, KEYS, "s", q_lo=0.40, q_hi=0.72).withColumn("level", F.when(F.col("s") >= F.col("q_hi"), "high").when(F.col("s") <= F.col("q_lo"), "low").otherwise("mid"))
     beat = graded.filter("i % 6 = 0").select("track", (F.col("i") / 6).cast("int").alias("k"), "level").withColumn("stride", F.when(F.col("level") == "low", 4).when(F.col("level") == "mid", 2).otherwise(1))
@@ -186,14 +187,8 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = beat.groupBy("track").agg(F.max("k").alias("last_k"))
     reach = beat.join(ends, "track").filter("k < last_k").withColumn("last", F.least(F.col("k") + F.col("stride"), F.col("last_k"))).withColumn("h", F.explode(F.sequence(F.col("k") + 1, F.col("last"))))
     step = reach.join(hit.withColumn("there", F.lit(True)), ["track", "h"], "left").groupBy("track", "k", "level", "last").agg(F.min(F.when(F.col("there"), F.col("h"))).alias("first_hit"))
-    step = step.select("track", F.struct("k", F.coalesce("first_hit", "last").alias("next"), "level", F.col("first_hit").isNotNull().alias("is_drop")).alias("s"))
-    item = "array<struct<k:int,next:int,level:string,is_drop:boolean>>"
-    path = F.aggregate(
-        F.array_sort(F.collect_list("s")),
-        F.array().cast(item),
-        lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["next"] == x["k"]), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return step.groupBy("track").agg(path.alias("p")).select("track", F.posexplode("p").alias("seg_no", "s")).select("track", "seg_no", "s.*")
+    step = step.select("track", "k", F.coalesce("first_hit", "last").alias("next"), "level", F.col("first_hit").isNotNull().alias("is_drop"))
+    return chains.chained(step, KEYS, "k", "next", "seg_no").withColumn("seg_no", F.col("seg_no").cast("int"))
 
 
 @query(WALK + "SELECT track, CAST(seg_no AS INT) AS seg_no, CAST(k AS INT) AS k, CAST(next AS INT) AS next, level, is_drop FROM walk")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
 from chronoloom.functions import parse as P
-from chronoloom.operators import audit, graph, intervals, series, similarity, timeline
+from chronoloom.operators import audit, chains, graph, intervals, series, similarity, timeline
 from chronoloom.plans.profiles import profile
 from chronoloom.sources import store
 
@@ -36,7 +36,7 @@ def test_boundaries_and_short_spans(spark):
 @pytest.mark.parametrize("times,kept", [([1, 5, 6, 9], [1, 5, 9]), ([1, 3, 3.1], [1, 3.1])])
 def test_greedy_gap(spark, times, kept):
     df = spark.createDataFrame([("a", float(t)) for t in times], "k string, i double")
-    assert [r[1] for r in rows(series.greedy_gap(df, ["k"], 2.0), "i")] == kept
+    assert [r[1] for r in rows(chains.greedy_gap(df, ["k"], 2.0), "i")] == kept
 
 
 def test_rank_below(spark):
