@@ -111,5 +111,5 @@ def chained(rows: DataFrame, keys: Sequence[str], at: str, following: str, into:
 
 def greedy_gap(times: DataFrame, keys: Sequence[str], gap: float, t: str = "i") -> DataFrame:
     """Times kept in ascending order if more than ``gap`` (0 or more) after the last kept one: keys, t (double).  Equal times are one."""
-    marks = times.select(*keys, F.col(t).cast("double").alias(t)).distinct()
+    marks = written(times.select(*keys, F.col(t).cast("double").alias(t)).distinct(), "times")  # laying out in ranges reads its input twice
     return chained(followers(marks, keys, t, F.col(t) + float(gap)), keys, t, "next").select(*keys, t)

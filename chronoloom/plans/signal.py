@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import chains
 from chronoloom.operators import series as S
+from chronoloom.operators.quantiles import quantiles
 from chronoloom.plans.registry import registrar, table
 from chronoloom.sources.store import written
 
@@ -188,7 +189,7 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     reach = beat.join(ends, "track").filter("k < last_k").withColumn("last", F.least(F.col("k") + F.col("stride"), F.col("last_k"))).withColumn("h", F.explode(F.sequence(F.col("k") + 1, F.col("last"))))
     step = reach.join(hit.withColumn("there", F.lit(True)), ["track", "h"], "left").groupBy("track", "k", "level", "last").agg(F.min(F.when(F.col("there"), F.col("h"))).alias("first_hit"))
     step = step.select("track", "k", F.coalesce("first_hit", "last").alias("next"), "level", F.col("first_hit").isNotNull().alias("is_drop"))
-    return chains.chained(step, KEYS, "k", "next", "seg_no").withColumn("seg_no", F.col("seg_no").cast("int"))
+    return chains.chained(written(step, "steps"), KEYS, "k", "next", "seg_no").withColumn("seg_no", F.col("seg_no").cast("int"))
 
 
 @query(WALK + "SELECT track, CAST(seg_no AS INT) AS seg_no, CAST(k AS INT) AS k, CAST(next AS INT) AS next, level, is_drop FROM walk")
@@ -230,3 +231,12 @@ def stride_sample(spark, sf_dir):
     times = d.groupBy("track").agg(F.array_sort(F.collect_list("i")).alias("ts"))
     k = F.least(F.size("ts"), F.lit(5))
     return times.select("track", "ts", k.alias("k"), F.explode(F.sequence(F.lit(0), k - 1)).alias("p")).select("track", "p", F.element_at("ts", F.floor(F.col("p") * F.size("ts") / F.col("k")).cast("int") + 1).alias("i"))
+
+
+@query("""SELECT event_type AS track, round(quantile_cont(value, CAST(0.05 AS DOUBLE)), 6) AS lo, round(quantile_cont(value, CAST(0.5 AS DOUBLE)), 6) AS mid, round(quantile_cont(value, CAST(0.95 AS DOUBLE)), 6) AS hi
+FROM events WHERE event_type IS NOT NULL GROUP BY 1""")
+def sample_quantiles(spark, sf_dir):
+    """Of raw samples, whose values have no bounded number, in tracks of any size."""
+    e = table(spark, sf_dir, "events").filter("event_type is not null").select(F.col("event_type").alias("track"), "value")
+    found = quantiles(e, KEYS, {"lo": ("value", 0.05), "mid": ("value", 0.5), "hi": ("value", 0.95)})
+    return found.select("track", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
 from chronoloom.functions import parse as P
+from chronoloom.functions import tables
 from chronoloom.plans.ranges import seconds
 from chronoloom.plans.registry import registrar, table
 
@@ -22,21 +23,48 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) % 5400 AS INT) AS s FROM events),
+LYRICS = """WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) % 5400 AS INT) AS s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line_no FROM e)
-SELECT user_id, CAST(line_no AS INT) AS line_no, round(s + (event_id % 100) / 100.0, 2) AS t, event_type AS text FROM n WHERE event_id % 7 <> 0""")
+SELECT user_id, CAST(line_no AS INT) AS line_no, round(s + (event_id % 100) / 100.0, 2) AS t, event_type AS text FROM n WHERE event_id % 7 <> 0"""
+
+
+@query(LYRICS)
 def lrc_parse(spark, sf_dir):
     return P.lyric_lines(stamped(spark, sf_dir), ["user_id"], "text")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS BIGINT) AS s FROM events)
-SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS cue_no, s % 86400 + 0.25 AS start, s % 86400 + 1.5 AS "end", event_type || ' again' AS text FROM e""".replace("s % 86400 + 0.25 AS start", "CAST(s % 86400 + 0.25 AS DOUBLE) AS start").replace("s % 86400 + 1.5 AS", "CAST(s % 86400 + 1.5 AS DOUBLE) AS"))
-def srt_parse(spark, sf_dir):
+def subtitled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subtitle text a user, a cue an event."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seconds().cast("long").alias("s")).withColumn("d", F.col("s") % 86400)
     clock = lambda ms: F.format_string("%02d:%02d:%02d,%03d", (F.col("d") / 3600).cast("int"), (F.col("d") / 60).cast("int") % 60, F.col("d") % 60 + (1 if ms == 1500 else 0), F.lit(ms % 1000))
     block = F.concat(F.col("event_id").cast("string"), F.lit("\n"), clock(250), F.lit(" --> "), clock(1500), F.lit("\n<i>"), F.col("event_type"), F.lit("</i>\nagain"))
-    joined = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
-    return P.subtitle_cues(joined, ["user_id"], "text")
+    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
+
+
+SUBTITLES = """WITH e AS (SELECT user_id, event_id, event_type, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS BIGINT) AS s FROM events)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS cue_no, s % 86400 + 0.25 AS start, s % 86400 + 1.5 AS "end", event_type || ' again' AS text FROM e""".replace("s % 86400 + 0.25 AS start", "CAST(s % 86400 + 0.25 AS DOUBLE) AS start").replace("s % 86400 + 1.5 AS", "CAST(s % 86400 + 1.5 AS DOUBLE) AS")
+
+
+@query(SUBTITLES)
+def srt_parse(spark, sf_dir):
+    return P.subtitle_cues(subtitled(spark, sf_dir), ["user_id"], "text")
+
+
+def parsed_in_sql(texts: DataFrame, function: str, number: str) -> DataFrame:
+    """``texts`` (user_id, text) through one of the functions of SQL: user_id and the fields of its structs."""
+    spark = texts.sparkSession
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM (SELECT user_id, inline_outer(found) FROM (SELECT user_id, {function}(text) AS found FROM {{texts}})) WHERE {number} IS NOT NULL", texts=texts)
+
+
+@query(SUBTITLES)
+def srt_in_sql(spark, sf_dir):
+    return parsed_in_sql(subtitled(spark, sf_dir), "srt_cues", "cue_no")
+
+
+@query(LYRICS)
+def lrc_in_sql(spark, sf_dir):
+    return parsed_in_sql(stamped(spark, sf_dir), "lyric_lines", "line_no")
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
