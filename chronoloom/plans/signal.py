@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators import chains
+from chronoloom.operators import chains, spectra
 from chronoloom.operators import series as S
 from chronoloom.operators.quantiles import quantiles
 from chronoloom.plans.registry import registrar, table
@@ -240,3 +240,32 @@ def sample_quantiles(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type is not null").select(F.col("event_type").alias("track"), "value")
     found = quantiles(e, KEYS, {"lo": ("value", 0.05), "mid": ("value", 0.5), "hi": ("value", 0.95)})
     return found.select("track", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")])
+
+
+ONSETS = UNIT + """, wave AS (SELECT track, i - lo AS n, e, hi - lo + 1 AS size FROM filled JOIN extent USING (track)),
+framed AS (SELECT track, f, n - f * 16 AS j, e * (0.5 - 0.5 * cos(2 * pi() * (n - f * 16) / 31)) AS x FROM wave, range(0, 100000) r(f) WHERE f < 1 + (greatest(size, 32) - 32) // 16 AND n >= f * 16 AND n < f * 16 + 32),
+spectra AS (SELECT track, f, k, sqrt(power(sum(x * cos(2 * pi() * k * j / 32)), 2) + power(sum(x * sin(2 * pi() * k * j / 32)), 2)) AS m FROM framed, range(0, 17) r(k) GROUP BY 1, 2, 3),
+gains AS (SELECT track, f, round(sum(g), 6) AS flux FROM (SELECT track, f, greatest(0.0, coalesce(m - lag(m) OVER (PARTITION BY track, k ORDER BY f), 0.0)) AS g FROM spectra) GROUP BY 1, 2),
+onsets AS (SELECT track, CAST(f AS BIGINT) AS i, CASE WHEN max(flux) OVER (PARTITION BY track) = 0 THEN 0.0
+  ELSE round((coalesce(lag(flux) OVER w, 0.0) / 4 + flux / 2 + coalesce(lead(flux) OVER w, 0.0) / 4) / max(flux) OVER (PARTITION BY track), 6) END AS onset FROM gains WINDOW w AS (PARTITION BY track ORDER BY f))
+"""
+
+
+def wave_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track's hours as the samples of one long signal, in frames of 32, every 16."""
+    e = written(hourly(spark, sf_dir), "wave")
+    first = e.groupBy(*KEYS).agg(F.min("i").alias("lo"))
+    return spectra.onsets(e.join(first, KEYS).withColumn("i", F.col("i") - F.col("lo")), KEYS, "e", 32, 16, 8)
+
+
+@query(ONSETS + "SELECT track, i, onset FROM onsets")
+def signal_onsets(spark, sf_dir):
+    return wave_onsets(spark, sf_dir)
+
+
+@query(ONSETS + """, level AS (SELECT track, i, onset - avg(onset) OVER (PARTITION BY track) AS c FROM onsets),
+products AS (SELECT a.track, CAST(l AS INT) AS lag, round(sum(a.c * b.c), 4) AS r FROM range(2, 20) x(l) JOIN level a ON TRUE JOIN level b ON b.track = a.track AND b.i = a.i + l GROUP BY 1, 2)
+SELECT track, lag, r FROM products QUALIFY row_number() OVER (PARTITION BY track ORDER BY r DESC, lag) = 1""")
+def onset_period(spark, sf_dir):
+    """From samples to the period of their onsets."""
+    return S.best_period(S.autocorrelation(written(wave_onsets(spark, sf_dir), "onsets"), KEYS, range(2, 20), "onset"), KEYS)
