@@ -18,14 +18,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import exprs as X
 from chronoloom.operators.audit import ordered, scores
-from chronoloom.operators.shelf import NO_CLUSTER, Clips, Shelf, Taken
-from chronoloom.sources.store import written
+from chronoloom.operators.shelf import NO_CLUSTER, Clips, Search, Shelf, Taken
+from chronoloom.sources.store import busy, written
 
 
 @dataclass(frozen=True)
@@ -46,29 +46,50 @@ NAMES = [c.split()[0] for c in SLOT.split(", ")]
 
 
 def replacement(shelf: Shelf, target: float, prefer: str | None, without_clusters: set, without_ids: set, usage: Counter, rules: Rules) -> Taken | None:
-    """The clip that suits best, apart from some clips and clusters; used ones less the more they are used."""
+    """The clip that suits best, apart from some clips and clusters; used ones less the more they are used.
 
-    def score(_: int, c: Clips) -> tuple[np.ndarray, np.ndarray]:
+    Clips come in the order for ``target`` and ``prefer`` alone, which plans
+    share; the first that the plan neither uses nor excludes is met after all
+    that could still beat it in spite of their uses.
+    """
+
+    def scored(c: Clips, target: float) -> np.ndarray:
         s = 0.9 * c.quality
         s = s + 1.2 * (1.0 - np.abs(c.intensity - target))
         if prefer == "impact":
             s = s + (1.5 * c.impact + 0.3 * c.intensity)
         elif prefer == "calm":
             s = s + 0.8 * (1.0 - c.intensity)
-        for k in np.flatnonzero(np.isin(c.id, used)):
-            s[k] -= 0.6 * usage[int(c.id[k])]
-            if usage[int(c.id[k])] >= rules.max_reuse:
-                s[k] -= 4.0
-        return s, ~(np.isin(c.id, ids) | np.isin(c.cluster, clusters))
-
-    used, ids = np.array(sorted(usage), dtype=np.int64), np.array(sorted(without_ids), dtype=np.int64)
-    clusters = np.array(sorted(NO_CLUSTER if c is None else c for c in without_clusters), dtype=str)
-    bound = 0.9 * shelf.quality_hi + 1.2 * (1.0 - shelf.apart(target, shelf.intensity_lo, shelf.intensity_hi))
-    if prefer == "impact":
-        bound = bound + 1.5 * shelf.impact_hi + 0.3 * shelf.intensity_hi
-    elif prefer == "calm":
-        bound = bound + 0.8 * (1.0 - shelf.intensity_lo)
-    return shelf.best(bound, score)
+        return s
+
+    def search() -> Search:
+        near = round(float(target), 2)
+
+        def loose() -> np.ndarray:
+            bound = 0.9 * shelf.quality_hi + 1.2 * (1.0 - shelf.apart(near, shelf.intensity_lo, shelf.intensity_hi))
+            if prefer == "impact":
+                bound = bound + 1.5 * shelf.impact_hi + 0.3 * shelf.intensity_hi
+            elif prefer == "calm":
+                bound = bound + 0.8 * (1.0 - shelf.intensity_lo)
+            return bound
+
+        return Search(("replace", near, prefer), loose, lambda c: scored(c, near), lambda c: scored(c, target), 1.2 * abs(target - near) + 1e-9)
+
+    clusters = {NO_CLUSTER if c is None else c for c in without_clusters}
+    found, most = None, -np.inf
+    for s, id_, cell, place, cluster in shelf.ranked(("replace", target, prefer), search):
+        if id_ in without_ids or cluster in clusters:
+            continue
+        uses = usage.get(id_, 0)
+        if uses:
+            s = s - 0.6 * uses
+            if uses >= rules.max_reuse:
+                s = s - 4.0
+        if found is None or s > most or (s == most and id_ < found[0]):
+            found, most = (id_, cell, place), s
+        if not uses:
+            break
+    return shelf.taken(found[1], shelf.open(found[1]), found[2], most) if found else None
 
 
 def put(slot: dict, clip: Taken) -> None:
@@ -136,6 +157,7 @@ def revise(slots: list[dict], findings: list[dict], shelf: Shelf, rules: Rules)
 
 
 CLIP = ("quality", "intensity", "impact", "cluster", "start", "dur")
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def revised(plans: DataFrame, found: DataFrame, library: DataFrame, shelf: Shelf, keys: Sequence[str], rules: Rules) -> DataFrame:
@@ -151,34 +173,32 @@ def revised(plans: DataFrame, found: DataFrame, library: DataFrame, shelf: Shelf
     asked = found.withColumn("turn", F.row_number().over(ordered(keys))).join(footage, "clip_id", "left")
     kinds = dict(plans.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {SLOT}, applied string"
+    made = pa.schema([(n, ARROW[kind]) for n, kind in (c.split() for c in f"{SLOT}, applied string".split(", "))])
 
     def taken(clip_id: int, c: dict) -> Taken:
         colour = np.array([x for x in c["colour"]], dtype=float)
         return Taken(-1, -1, int(clip_id), 0.0, c["quality"], c["intensity"], c["impact"], NO_CLUSTER if c["cluster"] is None else c["cluster"], colour, 0.0, c["start"], c["dur"])
 
-    def one(key, plan, findings):
-        plain = lambda frame: frame.astype(object).where(frame.notna(), None).to_dict("records")
-        slots = plain(plan.drop(columns=["colour"]).sort_values("pos"))
-        for s, colour in zip(slots, plan.sort_values("pos")["colour"], strict=True):
-            s["colour"] = None if colour is None else list(colour)
-        findings = findings.rename(columns=lambda c: c.removeprefix("_"))
-        asked = plain(findings.drop(columns=["clip"]).sort_values("turn"))
-        for f, c in zip(asked, findings.sort_values("turn")["clip"], strict=True):
-            f["clip"] = taken(f["clip_id"], c) if c is not None else None
-            f |= {n: None if f[n] is None else int(f[n]) for n in ("pos", "to_frames")}
-        out, done = revise(slots, asked, sent.value, rules)
-        frame = pd.DataFrame([{n: s[n] for n in NAMES} for s in out], columns=NAMES)
-        frame["pos"] = range(len(frame))
-        for name, k in zip(keys, key, strict=True):
-            frame[name] = k
-        frame["applied"] = "; ".join(done)
-        return frame[[*keys, *NAMES, "applied"]]
-
-    named = (*keys, "turn", "pos", "action", "prefer", "match_intensity", "to_frames", "clip_id", "clip")
-    findings = asked.select(*[F.col(c).alias(f"_{c}") for c in named])  # both sides come from the plans
-    by_plan = plans.select(*keys, *NAMES).groupBy(*keys)
-    # a plan without findings meets an empty side, and stays
-    return by_plan.cogroup(findings.groupBy(*[f"_{k}" for k in keys])).applyInPandas(one, schema)
+    def change(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                turn, out = [], []
+                slots, findings = (batch.column(n).slice(at, 256).to_pylist() for n in ("_slots", "_found"))
+                for i, (mine, asked) in enumerate(zip(slots, findings, strict=True), at):
+                    asked = sorted(asked, key=lambda f: f["turn"])
+                    for f in asked:
+                        f["clip"] = taken(f["clip_id"], f["clip"]) if f["clip"] is not None else None
+                    now, done = revise(sorted(mine, key=lambda s: s["pos"]), asked, sent.value, rules)
+                    turn += [i] * len(now)
+                    out += [{**{n: s[n] for n in NAMES}, "pos": k, "applied": "; ".join(done)} for k, s in enumerate(now)]
+                own = pa.RecordBatch.from_pylist(out, schema=made)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(turn, pa.int64())) for k in keys), *own.columns], names=[*keys, *made.names])
+
+    # a plan is one row: its slots and what was found in them, in arrays; a plan without findings stays
+    one, other = F.struct(*NAMES), F.struct("turn", "pos", "action", "prefer", "match_intensity", "to_frames", "clip_id", "clip")
+    both = plans.select(*keys, one.alias("_s")).unionByName(asked.select(*keys, other.alias("_f")), allowMissingColumns=True)
+    whole = both.repartition(busy(spark), *keys).groupBy(*keys).agg(F.collect_list("_s").alias("_slots"), F.collect_list("_f").alias("_found"))
+    return whole.mapInArrow(change, schema)
 
 
 def fitted(plans: DataFrame, library: DataFrame, kenburns: bool, shake: bool, flash: bool, fps: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from chronoloom.operators import audit, revision
-from chronoloom.operators.shelf import shelved
+from chronoloom.operators.shelf import Shelf, shelved
 from chronoloom.plans import revisions
 
 FPS = 30
@@ -237,6 +237,17 @@ def test_neighbours_are_excluded_and_null_clusters_count(shelf):
     assert pick["clip_id"] == 1 and pick["fitted"] == 30  # clip 0 would suit best, but stands beside
 
 
+def test_plans_share_the_order_of_clips(shelf, monkeypatch):
+    opened = []
+    monkeypatch.setattr(Shelf, "open", (lambda f: lambda self, cell: opened.append(cell) or f(self, cell))(Shelf.open))
+    plan = [slot(0, 1, 0, 30), slot(1, 2, 30, 30), slot(2, 3, 60, 30)]
+    asked = [finding("replace", 1, match_intensity=0.123456, prefer="calm")]
+    want = revision.revise(plan, asked, shelf, revision.Rules())
+    once = len(opened)
+    assert once and [revision.revise(plan, asked, shelf, revision.Rules()) for _ in range(20)] == [want] * 20
+    assert len(opened) - once <= 20  # the clip that was taken, nothing else
+
+
 def test_empty_plans(spark, weeks):
     none = weeks.plans.limit(0)
     history, best = revision.converged(none, weeks.audit, weeks.revise, revisions.KEYS)
