@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.exprs import cosine, hamming, median_of, packed_bits
 from chronoloom.operators.series import neighbours, ranged
+from chronoloom.sources.store import busy, filesystem, shared_dir
 
 
 def sign_hash(vectors: DataFrame, vector: str, into: str = "hash") -> DataFrame:
@@ -91,35 +94,48 @@ def adjacent(vectors: DataFrame, key: str, order: str, vector: str) -> DataFrame
 def best_reference(vectors: DataFrame, references: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 1024) -> DataFrame:
     """id, label, score: for each vector and label the best cosine with that label's references, if at least ``least``.
 
-    References are packed into blocks of one label; every batch of vectors meets
-    each block in a matrix product, and keeps one score a vector and block.
+    References are packed into matrices of one label and about ``block`` rows
+    and written to the shared folder; a task takes batches of vectors, reads
+    one matrix after another for each, and keeps one score a vector and matrix,
+    so it holds a batch and a matrix, however many there are.
     Sums are in double precision, in the order of numpy's product; scores are
     rounded to four places.  Null vectors take no part; zero ones score 0.
     """
+    spark = vectors.sparkSession
     refs = references.select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("r")).filter("r is not null")
+    kind = dict(refs.dtypes)["label"]
     counts = refs.groupBy(F.col("label").alias("of")).agg(F.ceil(F.count("*") / block).alias("parts"))
-    numbered = refs.join(counts, F.col("label").eqNullSafe(F.col("of"))).select("label", "r", F.pmod(F.xxhash64("r"), "parts").alias("part"))
-    packed = numbered.groupBy("label", "part").agg(F.collect_list("r").alias("refs"))
-    mine = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    lots = mine.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-mine.count() // (8 * block)))))).groupBy("lot").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    numbered = refs.join(counts, F.col("label").eqNullSafe(F.col("of"))).select(F.col("label").cast("string").alias("label"), "r", F.pmod(F.xxhash64("r"), "parts").alias("part"))
+
+    def pack(part: pa.Table) -> pa.Table:
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in part.column("r").chunks]).astype("<f8")
+        return pa.table({"label": part.column("label").slice(0, 1).combine_chunks(), "n": pa.array([part.num_rows], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    uri = shared_dir(spark, "references")
+    numbered.groupBy("label", "part").applyInArrow(pack, "label string, n int, x binary").write.parquet(uri)
 
-    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return x, np.sqrt((x * x).sum(axis=1))
+    def matrices():
+        fs, base = filesystem(uri)
+        for path in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")):
+            with fs.open_input_file(path) as file:
+                for batch in pyarrow.parquet.ParquetFile(file).iter_batches(batch_size=1):
+                    for of, n, x in zip(*(batch.column(c) for c in ("label", "n", "x")), strict=True):
+                        yield of.as_py(), np.frombuffer(x.as_buffer(), dtype="<f8").reshape(n.as_py(), -1)
 
     def compare(batches):
         for batch in batches:
-            for rows, of, refs_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = [r["id"] for r in rows]
-                (v, nv), (r, nr) = unit(np.array([x["v"] for x in rows])), unit(np.array(refs_))
-                norm = nv[:, None] * nr[None, :]
-                score = np.where(norm == 0, 0.0, (v @ r.T) / np.where(norm == 0, 1.0, norm)).max(axis=1)
-                good = np.nonzero(score >= least - 1e-4)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([of] * len(good), pa.string()), pa.array(score[good])], names=["id", "label", "score"])
-
-    pairs = lots.crossJoin(packed).select("rows", "label", "refs")  # lots x blocks of references
-    kind = dict(refs.dtypes)["label"]
-    scored = pairs.select("rows", F.col("label").cast("string").alias("label"), "refs").mapInArrow(compare, "id long, label string, score double")
+            ids = batch.column("id")
+            for of, r in matrices() if batch.num_rows else ():
+                nr = np.sqrt((r * r).sum(axis=1))
+                for at in range(0, batch.num_rows, 1024):
+                    mine = batch.column("v").slice(at, 1024)
+                    v = mine.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(mine), -1)
+                    norm = np.sqrt((v * v).sum(axis=1))[:, None] * nr[None, :]
+                    score = np.where(norm == 0, 0.0, (v @ r.T) / np.where(norm == 0, 1.0, norm)).max(axis=1)
+                    good = np.flatnonzero(score >= least - 1e-4)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + good)), pa.array([of] * len(good), pa.string()), pa.array(score[good])], names=["id", "label", "score"])
+
+    mine = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
+    scored = mine.repartition(busy(spark)).mapInArrow(compare, "id long, label string, score double")
     best = scored.groupBy("id", "label").agg(F.round(F.max("score"), 4).alias("score")).filter(F.col("score") >= least)
     return best.select(F.col("id").alias(id_col), F.col("label").cast(kind).alias("label"), "score")
-
-

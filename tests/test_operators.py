@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -128,6 +129,19 @@ def test_reference_match(spark):
     assert rows(similarity.best_reference(v, refs, 0.7), "label") == [(1, "a", 1.0), (1, "b", 0.7071)]
 
 
+def test_references_meet_batches_one_matrix_at_a_time(spark):
+    """Against all pairs in plain numpy, over many blocks; no pairs of packed lots and blocks are made, of which a batch could hold thousands."""
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x[:200])], "vec_id long, embedding array<double>")
+    refs = spark.createDataFrame([(None if i % 3 == 0 else f"l{i % 3}", e.tolist()) for i, e in enumerate(x[200:])], "label string, embedding array<double>")
+    found = similarity.best_reference(v, refs, 0.5, block=4)
+    cosines = (x[:200] @ x[200:].T) / np.linalg.norm(x[:200], axis=1)[:, None] / np.linalg.norm(x[200:], axis=1)[None, :]
+    want = {(i, None if k == 0 else f"l{k}", round(float(cosines[i, k::3].max()), 4)) for i in range(200) for k in range(3) if round(float(cosines[i, k::3].max()), 4) >= 0.5}
+    assert {(r["vec_id"], r["label"], r["score"]) for r in found.collect()} == want and want
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 @pytest.mark.parametrize("peak,slot,want", [(11.0, 2, (10.0, 1.0)), (11.0, 6, (10.0, 0.667)), (11.0, 10, (10.0, 0.5)), (None, 2, (10.6, 1.0))])
 def test_source_window(spark, peak, slot, want):
     start, speed = X.source_window(lit(10.0), lit(14.0), F.lit(peak).cast("double"), lit(float(slot)), F.lit(None).cast("double"))
@@ -298,3 +312,13 @@ def test_injections_overwrite_the_then_weakest(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 3
     none = audit.injected(spark.createDataFrame(plan, "u int, pos int, impact double, strong boolean"), spark.createDataFrame([], "n int, clip_id long, impact double"), ["u"])
     assert none.count() == 0
+
+
+def test_plans_that_look_at_one_rank_are_spread(spark):
+    """3,000 plans look at the same first ranks: no task of the join gets all of a rank's."""
+    plan = spark.range(3000).selectExpr("id plan_id", "explode(array(5L, 5L, 7L)) clip_id", "1 pos").selectExpr("plan_id", "clip_id", "cast(row_number() over (partition by plan_id order by clip_id) as int) pos")
+    order = spark.range(40).selectExpr("cast(id as int) rank", "id clip_id")
+    found = audit.diversified(plan, order, ["plan_id"])
+    got = found.groupBy("pos", "clip_id", "new_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 5, 0, 3000), (2, 5, 1, 3000)}
+    assert "_turn" in found._jdf.queryExecution().optimizedPlan().toString()
