@@ -26,7 +26,7 @@ def tables(spark, sf, folder, order):
     spark.read.parquet(f"{sf}/events.parquet").filter(shown).coalesce(1).write.parquet(f"{folder}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["plan_score", "revise_inject", "revise_pass"])
+@pytest.mark.parametrize("name", ["plan_score", "revise_inject", "revise_pass", "local_tags"])
 def test_queries_do_not_depend_on_the_order_of_lines(spark, sf, tmp_path, name):
     found = []
     for n, order in enumerate(ORDERS):
