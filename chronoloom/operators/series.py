@@ -107,11 +107,20 @@ def merge_short(spans: DataFrame, keys: Sequence[str], least: float, start: str
 
 
 def jumps(series: DataFrame, keys: Sequence[str], width: int, rise: float, q: float = 0.66, value: str = "s") -> DataFrame:
-    """Samples where the mean of the next ``width`` exceeds the previous ones' by more than ``rise`` and the quantile ``q``: keys, i."""
+    """Samples where the mean of the next ``width`` exceeds the previous ones' by more than ``rise`` and the quantile ``q``: keys, i.
+
+    Values are taken to six places, as integers: means of twelve lie on a tie of
+    the sixth place for one in twelve, and are rounded half up.
+    """
     w = by(keys)
     whole = Window.partitionBy(*keys)
-    marked = with_quantiles(series, keys, value, q_hi=q).withColumns(
-        {"before": F.round(F.avg(value).over(w.rowsBetween(-width, -1)), 6), "after": F.round(F.avg(value).over(w.rowsBetween(0, width - 1)), 6), "lo": F.min("i").over(whole), "hi": F.max("i").over(whole)}
+
+    def mean(frame):
+        total, n = F.sum("_m").over(frame), F.count("_m").over(frame)
+        return F.floor((2 * total + n) / F.nullif(2 * n, F.lit(0))) / 1000000
+
+    marked = with_quantiles(series, keys, value, q_hi=q).withColumn("_m", F.round(F.col(value) * 1000000).try_cast("long")).withColumns(
+        {"before": mean(w.rowsBetween(-width, -1)), "after": mean(w.rowsBetween(0, width - 1)), "lo": F.min("i").over(whole), "hi": F.max("i").over(whole)}
     )
     return marked.filter((F.col("i") >= F.col("lo") + width) & (F.col("i") <= F.col("hi") - width) & (F.round(F.col("after") - F.col("before"), 6) > rise) & (F.col("after") > F.col("q_hi"))).select(*keys, "i")
 

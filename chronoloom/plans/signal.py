@@ -55,8 +55,9 @@ merged AS (SELECT track, CAST(section AS INT) AS section, min(start_i) AS start_
 rises AS (
   SELECT track, start_i AS i FROM (SELECT *, lag(level) OVER (PARTITION BY track ORDER BY start_i) AS before FROM merged) WHERE level = 'high' AND before <> 'high'),
 around AS (
-  SELECT track, i, q_jump, round(avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 6) AS before,
-         round(avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 6) AS after FROM graded),
+  SELECT track, i, q_jump, floor((2 * sum(m) OVER b + count(m) OVER b) / nullif(2 * count(m) OVER b, 0)) / 1000000 AS before,
+         floor((2 * sum(m) OVER a + count(m) OVER a) / nullif(2 * count(m) OVER a, 0)) / 1000000 AS after FROM (SELECT *, TRY_CAST(round(s * 1000000) AS BIGINT) AS m FROM graded)
+  WINDOW b AS (PARTITION BY track ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
 jumped AS (SELECT track, i FROM around JOIN extent USING (track) WHERE i >= lo + 12 AND i <= hi - 12 AND round(after - before, 6) > 0.05 AND after > q_jump),
 candidates AS (SELECT * FROM rises UNION ALL SELECT * FROM jumped),
 kept AS (

@@ -1,10 +1,11 @@
-"""Queries over clips whose mean motion lies on a rounding tie: the same whatever the order of the lines, and as their SQL has it."""
+"""Means on a rounding tie: queries over clips are the same whatever the order of the lines, jumps whatever the order of the sum, and as their SQL has it."""
 
 import duckdb
 import pandas as pd
 import pytest
 
-from chronoloom.plans import catalog
+from chronoloom.operators import series
+from chronoloom.plans import catalog, signal
 from tests.test_library import ORDERS
 
 # means of single lines; the bounds are 0.0461 and 0.0464, so a tie of 0.04625 is an intensity of a third or of two thirds
@@ -39,3 +40,13 @@ def test_queries_do_not_depend_on_the_order_of_lines(spark, sf, tmp_path, name):
         for f in (catalog.queries()[name](spark, str(folder)).toPandas(), c.execute(catalog.oracle_sql()[name]).df()):
             found.append(sorted(f[sorted(f.columns)].itertuples(index=False, name=None), key=str))
     assert len(found[0]) > 0 and all(f == found[0] for f in found)
+
+
+def test_a_jump_of_a_mean_on_a_tie(spark):
+    """The later twelve's mean is 0.2500005, as doubles added in order just below, so the rise is 0.050001 or 0.05."""
+    later = [191690, 247214, 291281, 270652, 293095, 335716, 209767, 239526, 234490, 314030, 290904, 81641]
+    values = [0.2] * 12 + [m / 1000000 for m in later] + [0.2]
+    df = pd.DataFrame({"track": "a", "i": range(len(values)), "s": values})
+    assert [r.i for r in series.jumps(spark.createDataFrame(df), ["track"], 12, 0.05).collect()] == [12]
+    sql = signal.UNIT[signal.UNIT.index("q AS (SELECT track, round(quantile") : signal.UNIT.index(",\ncandidates")]
+    assert duckdb.sql("WITH smooth AS (FROM df), extent AS (SELECT track, min(i) AS lo, max(i) AS hi FROM df GROUP BY 1), " + sql + " SELECT i FROM jumped").fetchall() == [(12,)]
