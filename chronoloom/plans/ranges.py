@@ -22,8 +22,9 @@ def seconds() -> F.Column:
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events in order; those without a time come last, so that the others are numbered from 1 (``ORDER BY`` in the SQL does the same)."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("track"), F.col("value"), seconds().alias("start_s"))
-    w = Window.partitionBy("user_id").orderBy("start_s", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("start_s"), F.asc_nulls_last("event_id"))
     return e.withColumns({"pos": F.row_number().over(w).cast("int"), "end_s": F.coalesce(F.lead("start_s").over(w), F.col("start_s") + 10.0)})
 
 
