@@ -18,7 +18,8 @@ ACTS = (("happy", 0.0, 10 * DAY), ("fight", 10 * DAY, 20 * DAY), ("aftermath", 2
 
 
 def seconds() -> F.Column:
-    return F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS DOUBLE)")
+    """Whole seconds, rounded down also before 2024."""
+    return F.expr("CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1000000) AS DOUBLE)")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:

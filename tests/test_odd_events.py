@@ -26,3 +26,12 @@ def test_events_without_a_time_come_last(spark, sf, tmp_path, name):
     events.loc[events.event_id % 5 == 0, "ts"] = pd.NaT
     got, differ = differing(spark, sf, tmp_path, events, name)
     assert got and not differ
+
+
+@pytest.mark.parametrize("name", ["revise_inject", "revise_pass"])
+def test_seconds_before_2024_are_rounded_down(spark, sf, tmp_path, name):
+    """Half a second before an hour begins, on either side of the first of January."""
+    events = pd.read_parquet(f"{sf}/events.parquet")
+    events["ts"] = events.ts.dt.floor("h") - pd.Timedelta(days=15) - pd.Timedelta(milliseconds=500)
+    got, differ = differing(spark, sf, tmp_path, events, name)
+    assert got and not differ
