@@ -309,6 +309,19 @@ def test_suffix_dedup_in_several_levels(spark):
     check_removed(spark, rows, block_bytes=3000, bucket_bytes=500, batch=300, fan=4)
 
 
+def test_suffix_dedup_sends_packets_once(spark, monkeypatch):
+    """Digits grow with the text, so that packets of 14 kB in buckets of 40 bytes aren't stored for a second level, and tables hold no texts."""
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("abc d") for _ in range(150)) for _ in range(4)]
+    rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(2))) for i in range(80)]
+    assert 256 * 40 < sum(len(t) for _, t in rows) < 4096 * 40
+    check_removed(spark, rows, block_bytes=3000, bucket_bytes=40, fan=256)  # two levels: units whose entries nobody else has
+    tables, true = {}, suffixdedup.written
+    monkeypatch.setattr(suffixdedup, "written", lambda df, name: tables.setdefault(name, df.columns) and true(df, name))
+    check_removed(spark, rows, block_bytes=3000, bucket_bytes=40)
+    assert "packets" not in tables and tables["blocks"] == ["block", "path", "place", "packed", "n", "size"]
+
+
 def test_suffix_dedup_edge_cases(spark):
     schema = "doc_id long, text string, BLOCK int, size int"
     assert suffixdedup.remove(spark.createDataFrame([], schema)).count() == 0
